@@ -43,6 +43,7 @@ class Rule:
     many: bool = False  # not anchored at the end: may match several times
     below: bool = False  # says that a list did not pass the threshold
     name: str = field(default="")
+    hint: str = field(default="")  # a plain test that every match passes, so that most rules cost one search
 
     def java(self) -> str:
         return ("(?iu)" if self.ignore_case else "") + self.pattern
@@ -53,54 +54,64 @@ class Rule:
 
 #: The rules, in order of precedence for ties. Fixed values.
 RULES: list[Rule] = [
-    Rule("vote_cast", "he", SUBJECT_HE + r"\s+(?:הצביע(?:ה)?|תמך(?:ה)?|התנגד(?:ה)?|נמנע(?:ה)?)\s+(בעד|נגד|נמנע(?:ה)?)?\s*(?:(?:ב(?:עד)?|על|נגד|לגבי)\s+)?(?:חוק|הצעת\s+חוק)\s+" + BILL_HE + TIME_HE + END, ("subject", "vote_value", "bill", "time"), name="R1"),
-    Rule("bill_sponsorship", "he", SUBJECT_HE + r"\s+(?:יזם(?:ה)?|הגיש(?:ה)?|חתם(?:ה)?\s+על|הציע(?:ה)?)\s+(?:את\s+)?(?:הצעת\s+חוק|חוק)\s+" + BILL_HE + TIME_HE + END, ("subject", "bill", "time"), name="R2"),
-    Rule("office_held", "he", SUBJECT_HE + r"\s+(?:כיהן(?:ה)?|שימש(?:ה)?|מונה|היה|הייתה)\s+(?:כ)?" + OFFICE_HE + TIME_HE + END, ("subject", "office", "time"), name="R3"),
-    Rule("committee_membership", "he", SUBJECT_HE + r"\s+(?:היה|הייתה|כיהן(?:ה)?|חבר(?:ה)?(?:\s+ב)?)\s+(?:חבר(?:ה)?\s+)?(?:ב)?ועד(?:ת|ה)\s+" + COMMITTEE_HE + TIME_HE + END, ("subject", "committee", "time"), name="R4"),
-    Rule("committee_attendance", "he", SUBJECT_HE + r"\s+(?:נכח(?:ה)?|השתתף(?:ה)?|פקד(?:ה)?)\s+(?:בישיבת|ב)(?:ועדת|ועדה)\s+" + COMMITTEE_HE + TIME_HE + END, ("subject", "committee", "time"), name="R5"),
-    Rule("vote_cast", "en", SUBJECT_EN + r"\s+(?:voted|cast\s+(?:a|their)\s+vote)\s+(for|against|in\s+favou?r\s+of|opposed|abstained|to\s+abstain)\s+(?:on\s+|the\s+)?(?:the\s+)?" + BILL_EN + r"\s+bill" + TIME_EN + END, ("subject", "vote_value", "bill", "time"), ignore_case=True, name="R6"),
-    Rule("bill_sponsorship", "en", SUBJECT_EN + r"\s+(?:sponsored|initiated|introduced|co-?sponsored)\s+(?:the\s+)?" + BILL_EN + r"\s+bill" + TIME_EN + END, ("subject", "bill", "time"), ignore_case=True, name="R7"),
-    Rule("office_held", "en", SUBJECT_EN + r"\s+(?:served\s+as|held\s+the\s+office\s+of|was\s+appointed)\s+(?:the\s+)?" + OFFICE_EN + TIME_EN + END, ("subject", "office", "time"), ignore_case=True, name="R8"),
-    Rule("committee_membership", "en", SUBJECT_EN + r"\s+(?:was\s+a\s+member\s+of|served\s+on|sat\s+on)\s+(?:the\s+)?" + COMMITTEE_EN + r"\s+[Cc]ommittee" + TIME_EN + END, ("subject", "committee", "time"), name="R9"),
-    Rule("committee_attendance", "en", SUBJECT_EN + r"\s+(?:attended|was\s+present\s+at)\s+(?:a\s+|the\s+)?(?:session\s+of\s+)?(?:the\s+)?" + COMMITTEE_EN + r"\s+[Cc]ommittee" + TIME_EN + END, ("subject", "committee", "time"), name="R10"),
-    Rule("election_result", "he", rf"([{HE}A-Za-z'\"\-\s]{{2,50}}?)" + r"\s+(?:זכה(?:ה)?|קיבל(?:ה)?|זכתה|קיבלה)\s+(?:ב-?)?(\d{1,3})\s+(?:מנדטים|מושבים)" + TIME_HE + END, ("party", "seats", "time"), name="R11"),
-    Rule("election_result", "he", rf"([{HE}A-Za-z'\"\-\s]{{2,45}}?)" + r"\s+לא\s+עבר(?:ה)?\s+(?:את\s+)?אחוז\s+החסימה" + TIME_HE_SHORT + END, ("party", "time"), below=True, name="R12"),
-    Rule("election_result", "en", SUBJECT_EN + r"\s+(?:won|received|got)\s+(\d{1,3})\s+seats" + TIME_EN + END, ("party", "seats", "time"), ignore_case=True, name="R13"),
-    Rule("election_result", "en", SUBJECT_EN + r"\s+did\s+not\s+pass\s+(?:the\s+)?electoral\s+threshold" + TIME_EN + END, ("party", "time"), ignore_case=True, below=True, name="R14"),
-    Rule("government_decision", "he", r"(?:(?:הממשלה\s+החליטה)|(?:בהחלטת?\s+ממשלה)|(?:החלטת?\s+ממשלה))\s*(?:מספר|מס'?|מס\.?)?\s*(\d[\d/\-]*)(?:\s+(?:של\s+)?(?:הממשלה\s+)?(?:ה-?\s*)?(\d{1,2}))?[\.\?\!,]?\s*", ("decision_number", "government_number"), many=True, name="R15"),
-    Rule("government_decision", "he", r"(?:בהחלטה|להחלטה|החלטה)\s+(?:מספר|מס'?|מס\.?)\s*(\d[\d/\-]*)[\.\?\!,]?\s*", ("decision_number",), many=True, name="R16"),
-    Rule("government_decision", "en", r"(?:(?:government\s+(?:decision|resolution)(?:\s+number)?)|(?:cabinet\s+(?:decision|resolution)(?:\s+number)?)|(?:the\s+cabinet\s+decided))\s*(?:number\s+)?(?:no\.?\s+)?(\d[\d/\-]*)[\.\?\!,]?\s*", ("decision_number",), ignore_case=True, many=True, name="R17"),
+    Rule("vote_cast", "he", SUBJECT_HE + r"\s+(?:הצביע(?:ה)?|תמך(?:ה)?|התנגד(?:ה)?|נמנע(?:ה)?)\s+(בעד|נגד|נמנע(?:ה)?)?\s*(?:(?:ב(?:עד)?|על|נגד|לגבי)\s+)?(?:חוק|הצעת\s+חוק)\s+" + BILL_HE + TIME_HE + END, ("subject", "vote_value", "bill", "time"), name="R1", hint=r"חוק"),
+    Rule("bill_sponsorship", "he", SUBJECT_HE + r"\s+(?:יזם(?:ה)?|הגיש(?:ה)?|חתם(?:ה)?\s+על|הציע(?:ה)?)\s+(?:את\s+)?(?:הצעת\s+חוק|חוק)\s+" + BILL_HE + TIME_HE + END, ("subject", "bill", "time"), name="R2", hint=r"חוק"),
+    Rule("office_held", "he", SUBJECT_HE + r"\s+(?:כיהן(?:ה)?|שימש(?:ה)?|מונה|היה|הייתה)\s+(?:כ)?" + OFFICE_HE + TIME_HE + END, ("subject", "office", "time"), name="R3", hint=r"כיהן|שימש|מונה|היה|הייתה"),
+    Rule("committee_membership", "he", SUBJECT_HE + r"\s+(?:היה|הייתה|כיהן(?:ה)?|חבר(?:ה)?(?:\s+ב)?)\s+(?:חבר(?:ה)?\s+)?(?:ב)?ועד(?:ת|ה)\s+" + COMMITTEE_HE + TIME_HE + END, ("subject", "committee", "time"), name="R4", hint=r"ועד"),
+    Rule("committee_attendance", "he", SUBJECT_HE + r"\s+(?:נכח(?:ה)?|השתתף(?:ה)?|פקד(?:ה)?)\s+(?:בישיבת|ב)(?:ועדת|ועדה)\s+" + COMMITTEE_HE + TIME_HE + END, ("subject", "committee", "time"), name="R5", hint=r"נכח|השתתף|פקד"),
+    Rule("vote_cast", "en", SUBJECT_EN + r"\s+(?:voted|cast\s+(?:a|their)\s+vote)\s+(for|against|in\s+favou?r\s+of|opposed|abstained|to\s+abstain)\s+(?:on\s+|the\s+)?(?:the\s+)?" + BILL_EN + r"\s+bill" + TIME_EN + END, ("subject", "vote_value", "bill", "time"), ignore_case=True, name="R6", hint=r"(?i)vote"),
+    Rule("bill_sponsorship", "en", SUBJECT_EN + r"\s+(?:sponsored|initiated|introduced|co-?sponsored)\s+(?:the\s+)?" + BILL_EN + r"\s+bill" + TIME_EN + END, ("subject", "bill", "time"), ignore_case=True, name="R7", hint=r"(?i)sponsored|initiated|introduced"),
+    Rule("office_held", "en", SUBJECT_EN + r"\s+(?:served\s+as|held\s+the\s+office\s+of|was\s+appointed)\s+(?:the\s+)?" + OFFICE_EN + TIME_EN + END, ("subject", "office", "time"), ignore_case=True, name="R8", hint=r"(?i)served|held|appointed"),
+    Rule("committee_membership", "en", SUBJECT_EN + r"\s+(?:was\s+a\s+member\s+of|served\s+on|sat\s+on)\s+(?:the\s+)?" + COMMITTEE_EN + r"\s+[Cc]ommittee" + TIME_EN + END, ("subject", "committee", "time"), name="R9", hint=r"member|served|sat"),
+    Rule("committee_attendance", "en", SUBJECT_EN + r"\s+(?:attended|was\s+present\s+at)\s+(?:a\s+|the\s+)?(?:session\s+of\s+)?(?:the\s+)?" + COMMITTEE_EN + r"\s+[Cc]ommittee" + TIME_EN + END, ("subject", "committee", "time"), name="R10", hint=r"attended|present"),
+    Rule("election_result", "he", rf"([{HE}A-Za-z'\"\-\s]{{2,50}}?)" + r"\s+(?:זכה(?:ה)?|קיבל(?:ה)?|זכתה|קיבלה)\s+(?:ב-?)?(\d{1,3})\s+(?:מנדטים|מושבים)" + TIME_HE + END, ("party", "seats", "time"), name="R11", hint=r"מנדטים|מושבים"),
+    Rule("election_result", "he", rf"([{HE}A-Za-z'\"\-\s]{{2,45}}?)" + r"\s+לא\s+עבר(?:ה)?\s+(?:את\s+)?אחוז\s+החסימה" + TIME_HE_SHORT + END, ("party", "time"), below=True, name="R12", hint=r"החסימה"),
+    Rule("election_result", "en", SUBJECT_EN + r"\s+(?:won|received|got)\s+(\d{1,3})\s+seats" + TIME_EN + END, ("party", "seats", "time"), ignore_case=True, name="R13", hint=r"(?i)seats"),
+    Rule("election_result", "en", SUBJECT_EN + r"\s+did\s+not\s+pass\s+(?:the\s+)?electoral\s+threshold" + TIME_EN + END, ("party", "time"), ignore_case=True, below=True, name="R14", hint=r"(?i)threshold"),
+    Rule("government_decision", "he", r"(?:(?:הממשלה\s+החליטה)|(?:בהחלטת?\s+ממשלה)|(?:החלטת?\s+ממשלה))\s*(?:מספר|מס'?|מס\.?)?\s*(\d[\d/\-]*)(?:\s+(?:של\s+)?(?:הממשלה\s+)?(?:ה-?\s*)?(\d{1,2}))?[\.\?\!,]?\s*", ("decision_number", "government_number"), many=True, name="R15", hint=r"ממשלה"),
+    Rule("government_decision", "he", r"(?:בהחלטה|להחלטה|החלטה)\s+(?:מספר|מס'?|מס\.?)\s*(\d[\d/\-]*)[\.\?\!,]?\s*", ("decision_number",), many=True, name="R16", hint=r"החלטה"),
+    Rule("government_decision", "en", r"(?:(?:government\s+(?:decision|resolution)(?:\s+number)?)|(?:cabinet\s+(?:decision|resolution)(?:\s+number)?)|(?:the\s+cabinet\s+decided))\s*(?:number\s+)?(?:no\.?\s+)?(\d[\d/\-]*)[\.\?\!,]?\s*", ("decision_number",), ignore_case=True, many=True, name="R17", hint=r"(?i)government|cabinet"),
 ]
 
 MATCH = "array<struct<rule:int,start:int,end:int," + ",".join(f"{g}:string" for g in GROUPS) + ">>"
 
 
-def _groups(rule: Rule, text: Column) -> list[Column]:
-    """The groups a rule names, from one match's text or statement; '' becomes null."""
-    at = {g: i + 1 for i, g in enumerate(rule.groups)}
-    return [F.nullif(F.regexp_extract(text, rule.java(), at[g]), F.lit("")).alias(g) if g in at else F.lit(None).cast("string").alias(g) for g in GROUPS]
+#: Stands between the groups when a match is written out; taken from statements beforehand.
+MARK = "\x01"
+
+
+def _written_out(rule: Rule, text: Column) -> Column:
+    """The text with each match replaced by its marked groups, split: what stands before the match, then the groups.
+
+    One search gives the match, its place and all groups; without a match the array has one element.
+    """
+    groups = "".join(f"{MARK}${i + 1}" for i in range(len(rule.groups)))
+    return F.split(F.regexp_replace(text, rule.java(), groups), MARK)
+
+
+def _match(number: int, parts: Column, start: Column, end: Column) -> Column:
+    at = {g: i + 1 for i, g in enumerate(RULES[number].groups)}
+    groups = [F.nullif(F.get(parts, F.lit(at[g])), F.lit("")).alias(g) if g in at else F.lit(None).cast("string").alias(g) for g in GROUPS]
+    return F.struct(F.lit(number).alias("rule"), start.cast("int").alias("start"), end.cast("int").alias("end"), *groups)
 
 
 def rule_matches(number: int, text: Column) -> Column:
-    """All matches of one rule as an array (empty if the rule is of another language or does not match)."""
+    """All matches of one rule as an array (empty if the rule does not match)."""
     rule = RULES[number]
     if not rule.many:  # anchored at the end of the statement: one match at most
-        start = F.regexp_instr(text, F.lit(rule.java())) - 1
-        one = F.array(F.struct(F.lit(number).alias("rule"), start.alias("start"), F.length(text).alias("end"), *_groups(rule, text)))
-        return F.when(text.rlike(rule.java()), one).otherwise(F.array()).cast(MATCH)
+        one = lambda p: F.when(F.size(p) > 1, F.array(_match(number, p, F.length(F.get(p, F.lit(0))), F.length(text)))).otherwise(F.array()).cast(MATCH)
+        return F.flatten(F.transform(F.array(_written_out(rule, text)), one))
     found = F.regexp_extract_all(text, F.lit(rule.java()), F.lit(0))
     # the places of the matches: each is the first occurrence of its text behind the one before it
-    step = lambda acc, m: F.struct(
-        (F.call_function("locate", m, text, acc.at + 1) - 1 + F.length(m)).alias("at"),
-        F.concat(acc.out, F.array(F.struct((F.call_function("locate", m, text, acc.at + 1) - 1).alias("s"), m.alias("m")))).alias("out"),
-    )
+    place = lambda acc, m: F.call_function("locate", m, text, acc.at + 1) - 1
+    step = lambda acc, m: F.struct((place(acc, m) + F.length(m)).alias("at"), F.concat(acc.out, F.array(F.struct(place(acc, m).alias("s"), m.alias("m")))).alias("out"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,m:string>>").alias("out"))
     placed = F.aggregate(found, start, step, lambda acc: acc.out)
-    return F.transform(placed, lambda p: F.struct(F.lit(number).alias("rule"), p.s.alias("start"), (p.s + F.length(p.m)).alias("end"), *_groups(rule, p.m))).cast(MATCH)
+    return F.transform(placed, lambda p: _match(number, _written_out(rule, p.m), p.s, p.s + F.length(p.m))).cast(MATCH)
 
 
 def all_matches(text: Column, language: Column) -> Column:
-    parts = [F.when(language == r.language, rule_matches(i, text)).otherwise(F.array().cast(MATCH)) for i, r in enumerate(RULES)]
+    parts = [F.when((language == r.language) & text.rlike(r.hint), rule_matches(i, text)).otherwise(F.array().cast(MATCH)) for i, r in enumerate(RULES)]
     return F.concat(*parts)
 
 
@@ -139,7 +150,7 @@ def extract(statements: DataFrame, reference_date: Column | None = None, answers
     answers (language, text_key, answer_seq, claim_type, slots..., normalized_text, time_phrase): cached answers that
     only statements without a valid claim use; they pass the same slot check and get the method ``llm``.
     """
-    s = statements.withColumn("text", F.trim("text"))
+    s = statements.withColumn("text", F.trim(F.translate("text", MARK, " ")))
     ref = F.current_date() if reference_date is None else reference_date
     picked = s.withColumn("_m", F.when(F.length("text") > 0, without_overlaps(all_matches(F.col("text"), F.col("language")))).otherwise(F.array().cast(MATCH)))
     rows = picked.select("statement_id", "text", "language", F.posexplode("_m").alias("position", "m"))

@@ -12,8 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import has_hebrew, normalize_hebrew, transliterate_hebrew
+from ..plans.materialise import checkpointed
 from ..plans.schemas import SLOT_KINDS
 from .retrieve import top_k
 
@@ -90,7 +92,7 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("struct<score:int,reason:string>")
+@F.pandas_udf(T.StructType([T.StructField("score", T.IntegerType()), T.StructField("reason", T.StringType())]))
 def fuzzy_score(he: pd.Series, en: pd.Series, node_he: pd.Series, node_cn: pd.Series, node_en: pd.Series) -> pd.DataFrame:
     out = []
     for h, e, nh, nc, ne in zip(he, en, node_he, node_cn, node_en):
@@ -142,7 +144,7 @@ def ladder(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, fuzzy:
         steps.append(lambda m: by_similarity(m, entities))
     left, found = mentions, None
     for step in steps:
-        hits = step(left).select(*COLUMNS)
+        hits = checkpointed(step(left).select(*COLUMNS))  # two branches read it: the result and what is left
         found = hits if found is None else found.unionByName(hits)
         left = left.join(hits.select("mention_id"), "mention_id", "left_anti")
     return found
@@ -187,6 +189,7 @@ def by_substring(mentions: DataFrame, names: DataFrame) -> DataFrame:
 
 def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, names: DataFrame | None = None, tiebreaks: DataFrame | None = None, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
     """(one row a mention: status, entity_id; all candidates). names turns the substring fallback on."""
+    mentions = checkpointed(mentions)
     found = ladder(mentions, entities, aliases, fuzzy)
     out = decide(mentions, found, tiebreaks)
     if names is not None:

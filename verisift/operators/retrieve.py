@@ -70,9 +70,8 @@ def own_document(c: str = "source_document_id") -> Column:
 def vote_cast(claims: DataFrame, kb: dict[str, DataFrame], k: int = 10) -> DataFrame:
     """kb: cast_vote (person_id, vote_event_id, value), vote_event (with bill_id), bill, vote_documents (optional)."""
     c = of_type(claims, "vote_cast", "speaker_person_id", "bill_id")
-    events = kb["vote_event"].select("vote_event_id", F.col("bill_id").alias("_bill"), "occurred_at")
-    f = c.join(kb["cast_vote"].withColumnRenamed("person_id", "speaker_person_id"), "speaker_person_id")
-    f = f.join(events, "vote_event_id").where((F.col("_bill") == F.col("bill_id")) & inside(F.col("occurred_at")))
+    votes = kb["cast_vote"].withColumnRenamed("person_id", "speaker_person_id").join(kb["vote_event"].select("vote_event_id", "bill_id", "occurred_at"), "vote_event_id")
+    f = c.join(votes, ["speaker_person_id", "bill_id"]).where(inside(F.col("occurred_at")))
     f = f.join(kb["bill"].select("bill_id", "title"), "bill_id")
     f = top_k(f, ["claim_id"], [F.col("occurred_at").desc_nulls_last(), F.col("vote_event_id")], k)
     f = with_documents(f, kb.get("vote_documents"), "vote_event_id")
@@ -123,8 +122,8 @@ def committee_membership(claims: DataFrame, kb: dict[str, DataFrame], k: int = 1
 def committee_attendance(claims: DataFrame, kb: dict[str, DataFrame], k: int = 20) -> DataFrame:
     """kb: attended (person_id, attendance_event_id, presence), attendance_event."""
     c = of_type(claims, "committee_attendance", "speaker_person_id", "committee_id")
-    f = c.join(kb["attended"].withColumnRenamed("person_id", "speaker_person_id"), "speaker_person_id")
-    f = f.join(kb["attendance_event"], ["attendance_event_id", "committee_id"]).where(inside(F.col("occurred_at")))
+    seen = kb["attended"].withColumnRenamed("person_id", "speaker_person_id").join(kb["attendance_event"], "attendance_event_id")
+    f = c.join(seen, ["speaker_person_id", "committee_id"]).where(inside(F.col("occurred_at")))
     f = top_k(f, ["claim_id"], [F.col("occurred_at").desc_nulls_last(), F.col("attendance_event_id")], k)
     ids = {x: F.col(x) for x in ("speaker_person_id", "committee_id", "attendance_event_id")}
     return evidence(f, "committee_attendance", ids, presence=F.col("presence"), occurred_at=F.col("occurred_at"))

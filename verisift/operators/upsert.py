@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..plans.schemas import EDGE_DOMAINS
 
 
-def fold_batch(batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """One row a key: the last non-null value of each column by the sequence (map-side combined)."""
+def fold_batch(batch: DataFrame, keys: list[str], seq: str, best_tier: str | None = None) -> DataFrame:
+    """One row a key: the last non-null value of each column by the sequence, the best tier (map-side combined)."""
     rest = [c for c in batch.columns if c not in (*keys, seq)]
-    return batch.groupBy(*keys).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in rest])
+    last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq)))
+    return batch.groupBy(*keys).agg(*[(F.min(c) if c == best_tier else last(c)).alias(c) for c in rest])
 
 
 def upsert(current: DataFrame, batch: DataFrame, key: str, seq: str, best_tier: str | None = "source_tier", defaults: dict | None = None) -> DataFrame:
@@ -21,7 +22,7 @@ def upsert(current: DataFrame, batch: DataFrame, key: str, seq: str, best_tier:
 
     defaults: column -> columns (or a literal) that fill it when it is null in the end.
     """
-    new = fold_batch(batch, [key], seq)
+    new = fold_batch(batch, [key], seq, best_tier)
     cols = list(dict.fromkeys([*current.columns, *new.columns]))
     rename = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
     both = rename(current, "o_").join(rename(new, "n_"), F.col(f"o_{key}") == F.col(f"n_{key}"), "full_outer")

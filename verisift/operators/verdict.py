@@ -121,7 +121,7 @@ TOP = ["rank", "kind", "evidence_type", "node_ids", "span_id", "document_id", "s
 
 def bundle(verdicts: DataFrame, ranked: DataFrame, notes: DataFrame | None = None, top: int = 5) -> DataFrame:
     """Verdict and its top evidence with scores, in order; notes (claim_id, note) reach only rows for review and change nothing else."""
-    best = ranked.where(F.col("rank") <= top).groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct(*TOP))).alias("top_evidence"))
+    best = ranked.where(F.col("rank") <= top).groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct(*TOP)), lambda a, b: a["rank"] - b["rank"]).alias("top_evidence"))
     empty = F.array().cast(best.schema["top_evidence"].dataType)
     out = verdicts.join(best, "claim_id", "left").withColumn("top_evidence", F.coalesce("top_evidence", empty))
     if notes is None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import is_uuid
 from ..functions.text import parse_bool, parse_int
 from ..operators import attribution, extract, lexical, rank, resolve, retrieve, verdict
+from .materialise import checkpointed
 
 
 @dataclass
@@ -45,13 +46,13 @@ def check_claims(claims: DataFrame, kb: KnowledgeBase) -> tuple[DataFrame, DataF
     """(bundles, ranked evidence) of claims from ``extract``. Only checkable claims are retrieved for."""
     resolved = resolve.resolve_claims(claims, kb.entities, kb.aliases, kb.names, kb.fuzzy)
     resolved = resolved.withColumn("checkability", extract.claim_checkability(resolved))
-    ready = retrieval_claims(resolved)
+    ready = checkpointed(retrieval_claims(resolved))
     open_ = ready.where("checkability = 'checkable'")
     found = retrieve.retrieve(open_, kb.facts, [t for t in retrieve.REGISTRY if _has(t, kb.facts)])
     if kb.spans is not None:
         hits = lexical.search(open_.select(F.col("claim_id").alias("query_id"), F.col("normalized_text").alias("query")), kb.spans, kb.text_k)
         found = found.unionByName(lexical.text_evidence(hits))
-    ranked = rank.score(found, open_)
+    ranked = checkpointed(rank.score(found, open_))
     verdicts = verdict.decide(ready, ranked)
     return verdict.bundle(verdicts, ranked, kb.notes), ranked
 
@@ -69,7 +70,7 @@ def _has(claim_type: str, facts: dict[str, DataFrame]) -> bool:
 
 def verify(statements: DataFrame, kb: KnowledgeBase, reference_date: Column | None = None, answers: DataFrame | None = None) -> DataFrame:
     """statements (statement_id, text, language) -> one bundle a claim."""
-    claims, _ = extract.extract(statements, reference_date, answers)
+    claims = checkpointed(extract.extract(statements, reference_date, answers)[0])
     bundles, _ = check_claims(claims, kb)
     return bundles.join(claims.select("claim_id", "statement_id", "position"), "claim_id")
 
@@ -77,8 +78,8 @@ def verify(statements: DataFrame, kb: KnowledgeBase, reference_date: Column | No
 def verify_declarations(utterances: DataFrame, kb: KnowledgeBase, reference_date: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """utterances: declaration_id, text, language, uttered_at -> (declarations, attribution edges, review tasks)."""
     statements = utterances.select(F.col("declaration_id").alias("statement_id"), "text", "language")
-    claims, _ = extract.extract(statements, reference_date)
-    bundles, _ = check_claims(claims, kb)
+    claims = checkpointed(extract.extract(statements, reference_date)[0])
+    bundles = checkpointed(check_claims(claims, kb)[0])
     owners = claims.select("claim_id", F.col("statement_id").alias("declaration_id"), "position")
     edges = attribution.edges(bundles, owners)
     states = claims.join(bundles.select("claim_id", "checkability"), "claim_id")
