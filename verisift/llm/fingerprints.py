@@ -10,7 +10,8 @@ of fixed size. Likeness is shared digests over all digests of the two versions;
 
 Many pairs are peeled at once: their tables lie end to end in one numpy array, so Python works for each round, not for each document.
 
-Defined results: null text is the empty text; equal texts have equal fingerprints; extra columns pass through.
+Defined results: null text is the empty text; equal texts have equal fingerprints; extra columns pass
+through, but for those named like a result, which the result replaces.
 """
 
 from __future__ import annotations
@@ -202,22 +203,28 @@ def compared(texts: list[str], following: list[str]) -> pd.DataFrame:
     )
 
 
-def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_each: int = 4000) -> tuple[DataFrame, list, dict[str, str]]:
+def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_each: int = 1500) -> tuple[DataFrame, list, dict[str, str]]:
     """Deal rows into runs of the order (id descending, nulls last, then text), each with a copy of the next run's first.
 
-    The runs' bounds are ids of the table (quantiles, one narrow aggregate), so the first row of the next run is known
+    The runs' bounds are numeric ids of the table (near quantiles, by two narrow aggregates), so the first row of the next run is known
     to be one with that id: those rows are sent to both runs. No row passes the driver and there is no global sort.
     """
     names = own_names(df, "run", "tail", "t")
     n = df.count()
-    bounds = []
+    bounds: list = []
     if n:
         q = pieces(n, rows_each)
-        at = [i / q for i in range(q, 0, -1)]
-        got = df.agg(F.percentile_approx(id_col, at, 10 * q + 1000).alias("b"), F.max(id_col).alias("m")).first()
-        bounds = sorted({*(got.b or []), *([got.m] if got.m is not None else [])}, reverse=True)
+        rough = np.array(df.agg(F.percentile_approx(F.col(id_col).cast("double"), [i / q for i in range(1, q + 1)], 10 * q + 1000).alias("b")).first().b or [], float)
+
+        @F.pandas_udf("long")
+        def group(ids: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(rough, ids.astype("float64"), side="left"))
+
+        # the quantiles are rounded; the largest id of each stretch between them is an id of the table
+        ids = df.select(F.col(id_col).alias("i")).where("i is not null")
+        bounds = sorted((r.m for r in ids.groupBy(group("i")).agg(F.max("i").alias("m")).collect()), reverse=True)
     runs = max(1, len(bounds))
-    rising = np.array(bounds[::-1], dtype=None if all(isinstance(x, int) for x in bounds) else object)
+    rising = np.array(bounds[::-1])
 
     @F.pandas_udf("struct<run:int,first:boolean>")
     def place(ids: pd.Series) -> pd.DataFrame:  # binary search: the run of an id, and whether it is the run's first id
@@ -246,7 +253,7 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     run, tail, text = names["run"], names["tail"], names["t"]
     parts = pieces(len(bounds) or 1, 1)
     dealt = own.repartition(parts, run).sortWithinPartitions(run, tail, F.col(id_col).desc_nulls_last(), F.col(text).desc())
-    keep = [c for c in df.columns if c != text_col]
+    keep = [c for c in df.columns if c != text_col and c.lower() not in RESULT.names]
     dealt = dealt.select(*[F.col(f"`{c}`") for c in keep], run, tail, F.col(text))
     schema = T.StructType([*[df.schema[c] for c in keep], *RESULT.fields])
 
