@@ -56,11 +56,15 @@ def target_id(claim_type: Column, top: Column, fallback: Column) -> Column:
     """The first fact of the claim's own type that holds a valid id under the type's keys, in key order; else the claim."""
     out = F.lit(None).cast("string")
     for t, keys in TARGET_KEYS.items():
-        ids = F.flatten(F.transform(F.filter(top, lambda e, t=t: (e.kind == "fact") & (e.evidence_type == t)), _ids(keys)))
+        ids = F.flatten(F.transform(F.filter(top, _own_fact(t)), _ids(keys)))
         out = F.when(claim_type == t, F.try_element_at(F.filter(ids, is_uuid), F.lit(1))).otherwise(out)
     return F.coalesce(out, fallback)
 
 
+def _own_fact(claim_type: str):
+    return lambda e: (e.kind == "fact") & (e.evidence_type == claim_type)
+
+
 def _ids(keys: list[str]):
     return lambda e: F.array(*[F.try_element_at(e.node_ids, F.lit(k)) for k in keys])
 
