@@ -12,10 +12,8 @@ NAMESPACE = "00000000-0000-4000-8000-00000000beef"
 def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
     """RFC 4122 version 5: SHA-1 over namespace and name, 16 bytes, with version and variant bits set."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
-    variant = F.lower(F.conv(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8).cast("string"), 10, 16))
-    return F.concat(
-        F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12)
-    )
+    laid_out = F.regexp_replace(h, "^(.{8})(.{4}).(.{3})(.{4})(.{12}).*$", "$1-$2-5$3-$4-$5")
+    return F.overlay(laid_out, F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab"), 20, 1)
 
 
 def entity_key(kind: str | Column, ext_id: Column) -> Column:

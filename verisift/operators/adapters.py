@@ -44,8 +44,8 @@ def people(raw: DataFrame, compose: bool = False) -> DataFrame:
     )
 
 
-def positions(raw: DataFrame) -> dict[str, DataFrame]:
-    """Three lanes over one filtered base: party memberships, offices held, position terms."""
+def positions(raw: DataFrame, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Three lanes over one filtered base: party memberships, offices held, position terms. keep: raw columns to carry along."""
     base = raw.where(present("PersonToPositionID") & present("PersonID") & F.col("StartDate").isNotNull() & (F.trim(text("StartDate")) != ""))
     duty, ministry, code = text("DutyDesc"), F.when(present("GovMinistryName"), text("GovMinistryName")), F.col("PositionID").cast("int")
     kind = F.coalesce(lookup_map(POSITION_TYPES, code), blank_to_null(duty), F.lit("unknown"))
@@ -53,13 +53,13 @@ def positions(raw: DataFrame) -> dict[str, DataFrame]:
     base = base.select(
         entity_key("knesset_person", text("PersonID")).alias("person_id"), F.when(present("FactionID"), text("FactionID")).alias("faction"), text("FactionName").alias("faction_name"),
         code.alias("code"), kind.alias("office_type"), office.alias("office_ext"), F.when(kind.isin(GOVERNMENT) & ministry.isNotNull(), ministry).otherwise(F.nullif(duty, F.lit(""))).alias("office_name"),
-        entity_key("knesset_position_term", text("PersonToPositionID")).alias("position_term_id"), safe_timestamp(text("StartDate")).alias("valid_from"), safe_timestamp(text("FinishDate")).alias("valid_to"),
+        entity_key("knesset_position_term", text("PersonToPositionID")).alias("position_term_id"), safe_timestamp(text("StartDate")).alias("valid_from"), safe_timestamp(text("FinishDate")).alias("valid_to"), *keep,
     )
     held = base.where(F.col("code").isNotNull()).withColumn("office_id", entity_key("knesset_office", F.col("office_ext")))
     return {
-        "party": base.where(F.col("faction").isNotNull()).select("person_id", entity_key("knesset_party", F.col("faction")).alias("party_id"), or_label(F.col("faction_name"), "party", F.col("faction")).alias("party_name"), "valid_from", "valid_to"),
-        "office": held.select("person_id", "office_id", F.col("office_name").alias("canonical_name"), "office_type", F.lit("national").alias("scope"), "valid_from", "valid_to"),
-        "term": held.select("position_term_id", "person_id", "office_id", F.when(F.col("office_type").isin(GOVERNMENT), "government").otherwise("knesset").alias("appointing_body"), "valid_from", "valid_to", F.lit(False).alias("is_acting")),
+        "party": base.where(F.col("faction").isNotNull()).select("person_id", entity_key("knesset_party", F.col("faction")).alias("party_id"), or_label(F.col("faction_name"), "party", F.col("faction")).alias("party_name"), "valid_from", "valid_to", *keep),
+        "office": held.select("person_id", "office_id", F.col("office_name").alias("canonical_name"), "office_type", F.lit("national").alias("scope"), "valid_from", "valid_to", *keep),
+        "term": held.select("position_term_id", "person_id", "office_id", F.when(F.col("office_type").isin(GOVERNMENT), "government").otherwise("knesset").alias("appointing_body"), "valid_from", "valid_to", F.lit(False).alias("is_acting"), *keep),
     }
 
 
@@ -91,13 +91,13 @@ def bill_initiators(raw: DataFrame) -> DataFrame:
     return raw.where(ok).select(entity_key("knesset_person", text("PersonID")).alias("person_id"), entity_key("knesset_bill", text("BillID")).alias("bill_id"), F.col("Ordinal").cast("int").alias("ordinal"))
 
 
-def votes(raw: DataFrame) -> DataFrame:
-    """Events and edges in one table: ``value`` is null where the code is no vote (an event, no edge)."""
+def votes(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events and edges in one table: ``value`` is null where the code is no vote (an event, no edge). keep: raw columns to carry along."""
     member = F.regexp_replace(F.trim("kmmbr_id"), "^0+", "")
     code = F.coalesce(F.trim("vote_result").try_cast("int"), F.lit(0))
     return raw.where(present("vote_id") & F.col("kmmbr_id").isNotNull() & (F.trim("kmmbr_id") != "")).select(
         entity_key("knesset_vote", F.trim("vote_id")).alias("vote_event_id"), entity_key("knesset_person", F.when(member == "", "0").otherwise(member)).alias("person_id"),
-        F.trim("kmmbr_name").alias("person_name"), lookup_map(VOTE_CODES, code).alias("value"),
+        F.trim("kmmbr_name").alias("person_name"), lookup_map(VOTE_CODES, code).alias("value"), *keep,
     )
 
 

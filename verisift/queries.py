@@ -330,12 +330,8 @@ def enrich_votes(t: demo.Tables) -> DataFrame:
 def votes_normalise(t: demo.Tables) -> DataFrame:
     code = F.col("l_linenumber") % 5
     raw = t.lineitem.select("l_orderkey", "l_linenumber", demo.s("l_orderkey").alias("vote_id"), F.lpad(demo.s("l_suppkey"), 9, "0").alias("kmmbr_id"), F.lit(" x ").alias("kmmbr_name"), F.when(code == 4, "bad").otherwise(code.cast("string")).alias("vote_result"))
-    v = adapters.votes(raw)
-    # the adapter keeps its own columns; the raw keys are joined back through the event and counted
-    back = t.lineitem.select(F.col("l_orderkey"), "l_linenumber", keys.entity_key("knesset_vote", F.col("l_orderkey")).alias("vote_event_id"), keys.entity_key("knesset_person", F.col("l_suppkey")).alias("person_id"), demo.pick(code, "", "for", "against", "abstain", "").alias("_v"))
-    v = v.groupBy("vote_event_id", "person_id", "value").agg(F.count(F.lit(1)).alias("_n"))
-    j = back.withColumn("_v", F.nullif("_v", F.lit(""))).join(v, ["vote_event_id", "person_id"]).where(F.col("_v").eqNullSafe(F.col("value")))
-    return j.groupBy("l_orderkey", "l_linenumber", "vote_event_id", "person_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    v = adapters.votes(raw, keep=("l_orderkey", "l_linenumber"))
+    return v.groupBy("l_orderkey", "l_linenumber", "vote_event_id", "person_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -351,13 +347,8 @@ def positions_lanes(t: demo.Tables) -> DataFrame:
         F.col("o_orderkey").alias("PersonToPositionID"), F.col("o_custkey").alias("PersonID"), (F.col("o_orderkey") % 70).cast("int").alias("PositionID"), F.col("o_custkey").alias("FactionID"), F.lit("f").alias("FactionName"), gov.alias("GovMinistryID"),
         F.when(gov != 0, F.concat(F.lit("ministry "), gov.cast("string"))).alias("GovMinistryName"), F.col("o_orderpriority").alias("DutyDesc"), F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("StartDate"), F.lit(None).cast("string").alias("FinishDate"),
     )
-    lanes = adapters.positions(raw)
-    office = lanes["office"].groupBy("office_id", "office_type", "canonical_name", "person_id").agg(F.count(F.lit(1)).alias("n"))
-    terms = lanes["term"].select("position_term_id", "person_id", "office_id", "appointing_body")
-    named = t.orders.select(keys.entity_key("knesset_position_term", F.col("o_orderkey")).alias("position_term_id"), F.col("o_orderpriority").alias("duty"))
-    ministry = F.col("canonical_name").startswith("ministry")
-    # an office row belongs to a term by office, person and (unless a ministry names it) its own duty text
-    j = terms.join(named, "position_term_id").join(office, ["office_id", "person_id"]).where(ministry | (F.col("canonical_name") == F.col("duty")))
+    lanes = adapters.positions(raw, keep=("PersonToPositionID",))
+    j = lanes["term"].select("PersonToPositionID", "position_term_id", "office_id", "appointing_body").join(lanes["office"].select("PersonToPositionID", "office_type", "canonical_name"), "PersonToPositionID")
     return j.select("position_term_id", "office_id", "office_type", "appointing_body", "canonical_name")
 
 
