@@ -112,7 +112,7 @@ def s(c: str) -> Column:
 
 
 def vote_id() -> Column:
-    return F.concat_ws("-", s("l_orderkey"), s("l_suppkey"), s("l_partkey"))
+    return F.concat_ws("-", s("l_orderkey"), s("l_suppkey"), s("l_partkey"), s("l_linenumber"), F.date_format("l_shipdate", "yyyyMMdd"))
 
 
 def vote_value() -> Column:

@@ -42,7 +42,7 @@ def day(c: str):
 # ---------------------------------------------------------------- votes: the flagship, ranking, confidence, verdicts
 
 VOTES = """
-votes AS (SELECT l_suppkey AS p, l_partkey AS b, l_orderkey || '-' || l_suppkey || '-' || l_partkey AS ev, CASE l_returnflag WHEN 'A' THEN 'for' WHEN 'R' THEN 'against' ELSE 'abstain' END AS value, l_shipdate AS tm, 'doc' || l_linenumber AS doc FROM lineitem),
+votes AS (SELECT l_suppkey AS p, l_partkey AS b, l_orderkey || '-' || l_suppkey || '-' || l_partkey || '-' || l_linenumber || '-' || strftime(l_shipdate, '%Y%m%d') AS ev, CASE l_returnflag WHEN 'A' THEN 'for' WHEN 'R' THEN 'against' ELSE 'abstain' END AS value, l_shipdate AS tm, 'doc' || l_linenumber AS doc FROM lineitem),
 pairs AS (SELECT l_orderkey AS k, min(struct_pack(s := l_suppkey, p := l_partkey)) AS m FROM lineitem GROUP BY 1),
 claims AS (SELECT o_orderkey AS k, m.s AS p, m.p AS b, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CASE o_orderkey % 3 WHEN 0 THEN 'for' WHEN 1 THEN 'against' ELSE 'abstain' END END AS want,
   CASE WHEN o_orderkey % 4 <> 0 THEN make_date(year(o_orderdate), 1, 1)::TIMESTAMP END AS ts, CASE WHEN o_orderkey % 4 <> 0 THEN make_date(year(o_orderdate) + 3, 1, 1)::TIMESTAMP END AS te,
@@ -467,7 +467,7 @@ def cadence(t: demo.Tables) -> DataFrame:
 
 
 def _sentences_sql() -> str:
-    return """sen AS (SELECT l_orderkey || '-' || l_suppkey || '-' || l_partkey AS id, l_shipdate,
+    return """sen AS (SELECT l_orderkey || '-' || l_suppkey || '-' || l_partkey || '-' || l_linenumber || '-' || strftime(l_shipdate, '%Y%m%d') AS id, l_shipdate,
       translate(regexp_replace(s_name, '[#_]', '', 'g'), '0123456789', 'abcdefghij') || ' ' || CASE l_orderkey % 4 WHEN 0 THEN 'voted for the' WHEN 1 THEN 'voted against the' WHEN 2 THEN 'sponsored the' ELSE 'abstained from the' END || ' ' || translate(regexp_replace(p_name, '[#_]', '', 'g'), '0123456789', 'abcdefghij') || ' bill'
       || CASE WHEN l_suppkey % 2 = 0 THEN ' in ' || year(l_shipdate) ELSE CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' in the 18th Knesset' ELSE ' in last term' END END || '.' AS text
       FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1)"""
