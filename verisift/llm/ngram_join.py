@@ -47,6 +47,8 @@ SHARE, OF = 80, 100
 BATCH, BUCKET, COMMON = 1_500_000, 2_000_000, 48
 #: Lists up to this length give pairs; blocks of a group hold so many classes.
 SHORT, BLOCK_S, BLOCK_M = 64, 256, 1024
+#: Bytes of text hashed at once (about 60 times as much memory for a moment).
+PIECE = 1 << 20
 
 
 def floor_share(n: np.ndarray | int):
@@ -63,7 +65,7 @@ def shingled(buf: np.ndarray, offsets: np.ndarray, scan: WordScan) -> tuple[np.n
     ends = [0]
     total = 0
     lengths = np.diff(offsets)
-    for a, b in slices(lengths, 1 << 22):
+    for a, b in slices(lengths, PIECE):
         lo, hi = int(offsets[a]), int(offsets[b])
         words, first = scan(buf[lo:hi], offsets[a : b + 1] - lo)
         with np.errstate(over="ignore"):
@@ -104,7 +106,7 @@ def with_class(df: DataFrame, text_col: str = "text") -> DataFrame:
     schema = src.drop(names["t"]).withColumns({"n_shingles": F.lit(0).cast("long"), "cls": F.lit(0).cast("long"), "cls2": F.lit(0).cast("long")}).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = WordScan()
+        scan = WordScan(PIECE)
         for batch in batches:
             h, ends = shingled(*arrow_bytes(batch.column(batch.schema.get_field_index(names["t"]))), scan)
             new = [pa.array(np.diff(ends)), pa.array(signed(set_hash(h, ends, 30))), pa.array(signed(set_hash(h, ends, 40)))]
@@ -162,7 +164,7 @@ def packed_tokens(df: DataFrame, bits: int, text_col: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        scan, number = WordScan(), TaskContext.get().partitionId() << 24
+        scan, number = WordScan(PIECE), TaskContext.get().partitionId() << 24
         schema = pa.schema([("route", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("part", pa.int32()), ("cls", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
         sets: list[np.ndarray] = []
         cls: list[int] = []
