@@ -143,6 +143,15 @@ def test_search(spark):
     assert e.source_tier == 2 and e.source_document_ids == []
 
 
+def test_embedder_and_neighbours(spark):
+    d = spark.createDataFrame([(1, "aab"), (2, "aaab"), (3, "bbb"), (4, None)], "vec_id int, t string")
+    e = lexical.embedded(d, "t", lambda texts: [[t.count("a"), t.count("b")] for t in texts]).where("embedding is not null")
+    q = e.where("vec_id = 1").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = [2, 3]
+    assert [r.vec_id for r in lexical.knn_exact(q, e, 5).orderBy("rank").collect()] == want
+    assert [r.vec_id for r in lexical.knn_exact(q, e, 5, most_queries=0 + 1).orderBy("rank").collect()] == want
+
+
 def test_unknown_type_is_an_error():
     with pytest.raises(ValueError, match="no retrieval"):
         retrieve.retrieve(None, {}, ["nonsense"])

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +55,10 @@ def search(queries: DataFrame, spans: DataFrame, k: int = 20, fields: dict[str,
     best = scored.groupBy(query_key, "span_id").agg(F.max("score").alias("score"))
     best = top_k(best, [query_key], [F.col("score").desc(), F.col("span_id")], k)
     empty = queries.where(F.size(tokens(F.col(query_text))) == 0).select(query_key)
-    if empty.take(1):  # each such query gets the first k spans, so only k spans are needed
-        first = spans.select("span_id").orderBy("span_id").limit(k).withColumn("score", F.lit(1.0))
-        best = best.unionByName(empty.join(F.broadcast(first)).select(query_key, "span_id", "score"))
+    if empty.take(1):  # each such query gets the same first k spans: k ids
+        first = [r.span_id for r in spans.select("span_id").orderBy("span_id").limit(k).collect()]
+        if first:
+            best = best.unionByName(empty.select(query_key, F.explode(F.array(*[F.lit(x) for x in first])).alias("span_id"), F.lit(1.0).alias("score")))
     return best.join(spans, "span_id")
 
 
@@ -69,6 +73,21 @@ def text_evidence(hits: DataFrame, claim_key: str = "query_id") -> DataFrame:
     )
 
 
+def embedded(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[float]]], name: str = "embedding") -> DataFrame:
+    """Adds a vector of each text by a user's function over a batch of texts (null text: null)."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(s: pd.Series) -> pd.Series:
+        have = s.notna()
+        out = pd.Series([None] * len(s), dtype=object)
+        got = embedder(list(s[have])) if have.any() else []
+        for i, v in zip(np.flatnonzero(have), got):
+            out.iloc[i] = [float(x) for x in v]
+        return out
+
+    return df.withColumn(name, vectors(F.col(text)))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
