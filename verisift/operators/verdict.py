@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.schemas import ABSTAIN_BELOW, REVIEW_BELOW
-from .rank import AXES, confidence
+from .rank import AXES, overall
 
 #: A decision trace entry.
 REASON = "struct<kind:string,reason:string,source:string,count:bigint,expected:string,observed:string>"
@@ -20,11 +20,11 @@ def reason(kind: str, why: str | Column | None = None, source: str | None = None
 
 
 def facts_by_claim(ranked: DataFrame) -> DataFrame:
-    """What the comparison needs of a claim's evidence, in one aggregate."""
+    """What the comparison needs of a claim's evidence, and the best value of each axis, in one aggregate by claim.
+
+    The sets are bounded by the retrieval's limit for a claim.
+    """
     own = (F.col("kind") == "fact") & (F.col("evidence_type") == F.col("claim_type"))
-    seats = F.col("expected_seats").isNull() | F.coalesce(F.col("seats_won") == F.col("expected_seats"), F.lit(False))
-    passed = F.col("expect_passed_threshold").isNull() | F.coalesce(F.col("passed_threshold") == F.col("expect_passed_threshold"), F.lit(False))
-    same = F.col("expected_decision_id").isNull() | F.coalesce(F.try_element_at("node_ids", F.lit("government_decision_id")) == F.col("expected_decision_id"), F.lit(False))
     return ranked.groupBy("claim_id").agg(
         F.count(F.lit(1)).alias("n_evidence"),
         F.count_if(own).alias("n_facts"),
@@ -32,10 +32,11 @@ def facts_by_claim(ranked: DataFrame) -> DataFrame:
         F.count_if(own & (F.col("source_tier") == 1)).alias("n_tier1"),
         F.count_if((F.col("kind") == "fact") & (F.col("source_tier") == 1)).alias("n_tier1_any"),
         F.count_if(own & F.coalesce(F.col("presence") == "present", F.lit(False))).alias("n_present"),
-        F.count_if(own & seats & passed).alias("n_election_match"),
-        F.count_if(own & same).alias("n_decision_match"),
         F.count_if(own & F.col("vote_value").isNull()).alias("n_no_value"),
         F.array_sort(F.collect_set(F.when(own, F.col("vote_value")))).alias("recorded_values"),
+        F.collect_set(F.when(own & (F.col("evidence_type") == "election_result"), F.struct("seats_won", "passed_threshold"))).alias("results"),
+        F.collect_set(F.when(own, F.try_element_at("node_ids", F.lit("government_decision_id")))).alias("decision_ids"),
+        *[F.max(a).alias(a) for a in AXES],
     )
 
 
@@ -48,9 +49,11 @@ def decide(claims: DataFrame, ranked: DataFrame) -> DataFrame:
         "claim_id", "claim_type", "checkability", "expected_vote_value", F.col("expected_seats").cast("int").alias("expected_seats"), F.col("expect_passed_threshold").cast("boolean").alias("expect_passed_threshold"),
         F.col("government_decision_id").alias("expected_decision_id"),
     )
-    wanted = c.select("claim_id", "expected_seats", "expect_passed_threshold", "expected_decision_id")
-    facts = facts_by_claim(ranked.drop("expected_seats", "expect_passed_threshold", "expected_decision_id").join(wanted, "claim_id"))
-    j = c.join(facts, "claim_id", "left").join(confidence(ranked), "claim_id", "left")
+    j = c.join(facts_by_claim(ranked), "claim_id", "left").withColumn("overall", overall())
+    seats = lambda r: F.col("expected_seats").isNull() | F.coalesce(r.seats_won == F.col("expected_seats"), F.lit(False))
+    passed = lambda r: F.col("expect_passed_threshold").isNull() | F.coalesce(r.passed_threshold == F.col("expect_passed_threshold"), F.lit(False))
+    j = j.withColumn("n_election_match", F.size(F.filter("results", lambda r: seats(r) & passed(r))))
+    j = j.withColumn("n_decision_match", F.when(F.col("expected_decision_id").isNull(), F.col("n_facts")).otherwise(F.array_contains("decision_ids", F.col("expected_decision_id")).cast("int")))
     n = lambda x: F.coalesce(F.col(x), F.lit(0))
     is_ = lambda *t: F.col("claim_type").isin(*t)
     status_of = lambda s, *r: F.struct(F.lit(s).alias("status"), F.array(*r).cast(f"array<{REASON}>").alias("reasons"))
