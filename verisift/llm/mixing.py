@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, own_names, pieces
 
 #: Documents of one source in a bucket, about.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 
 
 def word_count(text: str = "text") -> Column:
