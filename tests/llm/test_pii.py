@@ -1,6 +1,7 @@
 import re
 
 from docs import corpus, table
+from pyspark.sql import functions as F
 
 from verisift.llm import pii
 
@@ -52,6 +53,18 @@ def test_distinct_after_collisions(spark):
     assert len({got[i].text for i in got}) == len(ips)
 
 
+def test_every_match_is_likely(spark):
+    """Alone in their texts, and replaced to the last digit."""
+    texts = [
+        "+45 12 34 56 78", "+49-30-12-34-56", "+33 61 22 33 44 55", "+33 6 12 34 56 78", "+1 (017) 555-7713", "(01) 23 456", "+12 34 56", "415-555-1234", "4 1 1 1 1 1 1 1 1 1 1 1 1", "41-11-11-11-11-11-11-11",
+        "GB29 NWBK ABCD EFGH", "DE89 3704 0044 0532 0130 00", "a@b.co", "1.2.3.4", "123-45-6789", "ab" * 16, "AKIA" + "A" * 16, "ghp_" + "a" * 36, "sk-" + "a" * 20, "Mr. Ray", "г-н Иванов", "+" + "1 2" * 20_000,
+    ]
+    likely = table(spark, [(i, t, None, None, 1) for i, t in enumerate(texts)]).select(F.col("doc_id"), F.col("text").rlike(pii.LIKELY).alias("likely"), F.regexp_substr("text", F.lit(pii.ANY)).alias("found")).collect()
+    assert all(r.likely and r.found == texts[r.doc_id] for r in likely), [texts[r.doc_id][:50] for r in likely if not (r.likely and r.found == texts[r.doc_id])]
+    got = run(spark, [f"x {t} y" for t in texts])
+    assert all(got[i].n_entities == 1 and got[i].text != f"x {t} y" for i, t in enumerate(texts))
+
+
 def test_edges(spark):
     d = table(spark, corpus()).withColumnRenamed("lang", "kinds")
     assert pii.replace(d, "k").count() == d.count() and pii.replace(d.limit(0), "k").count() == 0
