@@ -20,6 +20,28 @@ def test_without_article_element():
     assert got.startswith("A head line\nFirst para") and "cookies" not in got and "rights" not in got and "Great article" not in got
 
 
+def plain(inner):
+    return main_text(f'<html><body><div class="header">The site</div><div id=content>{inner}</div><div class="related"><p>Another story.</p></div><footer>(c)</footer></body></html>')
+
+
+def test_whole_region_without_article_element():
+    line = "A sentence of a length that is usual in running text, with some more words."
+    sections = plain(f"<h1>Head</h1><section>{f'<p>{line}</p>' * 13}</section><section>{f'<p>{line} Two.</p>' * 7}</section>")
+    assert sections == "\n".join(["Head", *[line] * 13, *[line + " Two."] * 7])
+    for open_, item, close in (("<ul>", "<li>{}</li>", "</ul>"), ("<ol>", "<li>{}</li>", "</ol>"), ("<table>", "<tr><td>{}</td></tr>", "</table>"), ("<blockquote>", "<p>{}</p>", "</blockquote>"), ("<pre>", "{}<br>", "</pre>"), ("<div>", "<p>{}</p>", "</div>")):
+        got = plain(f"<h1>Head</h1><p>{line} One.</p>{open_}{item.format(line) * 12}{close}<p>{line} End.</p>")
+        assert got == "\n".join(["Head", line + " One.", *[line] * 12, line + " End."]), open_
+        assert line in plain(f"{open_}{item.format(line) * 3}{close}")
+
+
+def test_boxes_of_the_article_itself():
+    line = "A sentence of a length that is usual in running text, with some more words."
+    inner = f'<div class="entry-header"><h1>Head</h1></div><p>{line}</p><div class="discussion"><p>{line} Discussed.</p></div><div id="legal"><p>Law.</p></div><div class="newsletter"><p>Sign up!</p></div><p>{line}</p>'
+    want = "\n".join(["Head", line, line + " Discussed.", "Law.", line])
+    assert main_text(f"<body><article>{inner}</article></body>") == want and plain(inner) == want
+    assert main_text(f"<body>{inner}</body>") == want
+
+
 def test_edges(spark):
     assert main_text(None) == "" and main_text("") == "" and main_text("<p></p>") == "" and main_text("<nav>x</nav>") == ""
     assert main_text("plain text &am") == "plain text &am" and main_text("<article><p>cut o") == "cut o"

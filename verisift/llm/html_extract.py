@@ -6,8 +6,9 @@ footers, sidebars, forms, scripts, styles; boxes whose class or id says advert,
 aside. Of the other lines the text-to-tag ratio (characters over tags, at least one) is smoothed with a Gaussian and
 lines at or above a threshold (a share of the standard deviation, as the ratio method has it) are content; neighbouring
 ones cluster. The cluster mass elects the content region: ``article`` or ``main`` elements if any hold content, else
-the smallest element that holds most of the content. Every line of the region that is not set aside is kept, so short
-paragraphs survive the smoothing.
+the lowest element around all content lines and the headline, never a list, table or quotation. Every line of the
+region that is not set aside is kept, so short paragraphs survive the smoothing; words that an article's own boxes carry
+too (header, discussion, legal) set a box aside only outside the region.
 
 Defined results: null, empty or wholly set-aside pages give the empty text; broken markup is read as the parser reads it
 (an unclosed script or style swallows the rest); repeated rows give equal texts; extra columns pass through.
@@ -32,13 +33,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NEVER = frozenset("nav header footer aside form script style noscript template head title iframe object svg math canvas button select option textarea dialog menu".split())
 RAW = frozenset("script style".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
-#: Words in a class or id that mark a box beside the article. Fixed values.
+#: Words in a class or id that mark a box beside the article, wherever it stands. Fixed values.
 BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|sidebar|aside|widgets?|related|recommend(?:ed|ations?)?|trending|share|sharing|social|comments?|respond|replies|disqus|discussion|"
-    r"search|toolbar|skip|pagination|pager|tags?|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|cookies?|gdpr|popup|newsletter|subscribe|signup|login|"
+    r"navbar|breadcrumbs?|masthead|footer|sidebar|comments?|respond|disqus|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
+#: Words that mark such a box only outside the content region: an article's own parts carry them too. Fixed values.
+PERHAPS = re.compile(
+    r"(?:^|[\s_-])(?:promo(?:tion)?s?|banner|consent|notices?|modal|overlay|nav|navigation|menus?|(?<!entry-)(?<!entry_)(?<!post-)(?<!post_)(?<!article-)(?<!article_)header|aside|widgets?|"
+    r"related|recommend(?:ed|ations?)?|trending|share|sharing|social|replies|discussion|search|toolbar|skip|tags?|copyright|legal|disclaimer)(?:$|[\s_-])",
+    re.I,
+)
+#: Elements that are no content region: parts of one.
+PARTS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split())
 SPACE = re.compile(r"\s+")
 #: An element's end implies the end of these when they are still open inside another of their kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -52,6 +60,7 @@ class Line:
     tags: int
     path: tuple[int, ...]  # open elements, outermost first
     aside: bool
+    doubt: bool = False  # in a box that is set aside outside the content region
 
 
 @dataclass
@@ -59,6 +68,7 @@ class Element:
     name: str
     number: int
     beside: bool
+    doubt: bool = False
     tags: int = field(default=0)
 
 
@@ -76,7 +86,7 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append(Line(text, self.tags, tuple(e.number for e in self.open), any(e.beside for e in self.open)))
+            self.lines.append(Line(text, self.tags, tuple(e.number for e in self.open), any(e.beside for e in self.open), any(e.doubt for e in self.open)))
             self.tags = 0
         self.text = []
 
@@ -95,12 +105,14 @@ class Lines(HTMLParser):
             return
         a = {k: v or "" for k, v in attrs}
         beside = tag in NEVER or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+        inside = any(e.name in ("article", "main") for e in self.open)
+        doubt = False
         if not beside and tag not in ("html", "body", "article", "main"):
             beside = bool(BESIDE.search(a.get("class", "")) or BESIDE.search(a.get("id", "")))
-        inside = any(e.name in ("article", "main") for e in self.open)
+            doubt = not inside and bool(PERHAPS.search(a.get("class", "")) or PERHAPS.search(a.get("id", "")))
         if tag == "header" and inside:  # a header inside the article holds its headline
             beside = False
-        self.open.append(Element(tag, len(self.names), beside))
+        self.open.append(Element(tag, len(self.names), beside, doubt))
         self.names.append(tag)
 
     def _close_upto(self, tag: str, kinds: set[str]) -> None:
@@ -140,7 +152,8 @@ def gaussian(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 def content_lines(lines: list[Line], names: list[str], share: float = 0.5) -> list[Line]:
     """The lines of the content region."""
-    near = [ln for ln in lines if not ln.aside]
+    kept = [ln for ln in lines if not ln.aside]
+    near = [ln for ln in kept if not ln.doubt] or kept
     if not near:
         return []
     ratio = np.array([len(ln.text) / max(1, ln.tags) for ln in near])
@@ -155,12 +168,18 @@ def content_lines(lines: list[Line], names: list[str], share: float = 0.5) -> li
     for kind in ("article", "main"):
         region = {e for e in mass if names[e] == kind}
         if region and sum(mass[e] for e in region) >= 0.2 * total:
-            return [ln for ln in near if region & set(ln.path)]
-    holds = [e for e, m in mass.items() if m >= 0.6 * total and names[e] not in ("p", "b", "i", "span", "a", "li", "td")]
-    if not holds:
+            return [ln for ln in kept if region & set(ln.path)]
+    # the lowest element around all content lines and the headline
+    paths = [ln.path for ln, h in zip(near, high) if h or any(names[e] == "h1" for e in ln.path)]
+    shared = 0
+    while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
+        shared += 1
+    while shared and names[paths[0][shared - 1]] in PARTS:
+        shared -= 1
+    if not shared:
         return near
-    best = max(holds)  # elements are numbered as they open: the last is the innermost
-    return [ln for ln in near if best in ln.path]
+    best = paths[0][shared - 1]
+    return [ln for ln in kept if best in ln.path]
 
 
 def main_text(html: str | None) -> str:
