@@ -9,8 +9,9 @@ exactly. Then each partition permutes its rows (a seeded permutation of cell lab
 each cell is permuted again by a seeded key. Only the partition sizes (one number each) pass the driver.
 
 Law kept: ``rows`` - shard sizes differ by one row at most. Any row is equally likely to be at any slot of any shard.
-A cell holds at most ``block_rows`` rows, whatever the keys of the input, so no key, source or group of equal texts can
-make a task large.
+A cell is a partition of its own and holds at most ``block_rows`` rows, whatever the keys of the input, so no key, source
+or group of equal texts can make a task large. The law is exact at any size: beyond 10**9 rows the draws come from a
+rejection sampler in multiple precision.
 
 Defined results: rows are placed by position, so null columns, empty or long texts and repeated rows need no rule;
 shards of an empty table are empty; columns of the input pass through. The input must give the same rows in the same
@@ -19,7 +20,9 @@ partitions when a task runs again, as a file scan does; pass ``stable=False`` fo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, own_names, pieces
+from .common import checkpointed, own_names
 
 
 def cell_sizes(rows: int, shards: int, block_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,13 +71,50 @@ def hypergeometric(rng: np.random.Generator, cells: np.ndarray, n: int) -> np.nd
     return np.concatenate([hypergeometric(rng, cells[:mid], left), hypergeometric(rng, cells[mid:], n - left)])
 
 
-def _binary(rng: np.random.Generator, a: int, b: int, n: int) -> int:
-    """Of n draws without replacement from a + b, how many are of the a; beyond numpy's range by its normal limit."""
-    if a + b < 10**9:
+def _binary(rng: np.random.Generator, a: int, b: int, n: int, most: int = 10**9) -> int:
+    """Of n draws without replacement from a + b, how many are of the a.
+
+    Beyond the range of numpy's sampler by rejection from the envelope that holds for any log-concave law (a flat middle
+    and exponential tails around the mode; Devroye 1987), with probabilities in ``DIGITS`` decimal digits.
+    """
+    if a + b < most:
         return int(rng.hypergeometric(a, b, n))
-    mean = n * a / (a + b)
-    sd = (mean * b / (a + b) * max(a + b - n, 0) / max(a + b - 1, 1)) ** 0.5
-    return int(np.clip(round(rng.normal(mean, sd)), max(0, n - b), min(a, n)))
+    lo, hi = max(0, n - b), min(a, n)
+    if lo == hi:
+        return lo
+    with localcontext() as c:
+        c.prec = DIGITS
+        log_p = lambda k: log_choose(a, k) + log_choose(b, n - k)
+        mode = min(hi, max(lo, (n + 1) * (a + 1) // (a + b + 2)))
+        top = log_p(mode)
+        p = float((top - log_choose(a + b, n)).exp())
+        w = 1 + p / 2
+        while True:
+            u, v, x = rng.random(), 1 - rng.random(), 1 - rng.random()
+            y = v * w / p if u <= w / (1 + w) else (w - math.log(v)) / p
+            k = mode + (1 if rng.random() < 0.5 else -1) * round(y)
+            if lo <= k <= hi and Decimal(x).ln() + Decimal(min(0.0, w - p * y)) <= log_p(k) - top:
+                return k
+
+
+#: Digits of a probability's logarithm; terms of Stirling's series used (Bernoulli numbers as fractions, fixed values).
+DIGITS, STIRLING = 50, ((1, 12), (-1, 360), (1, 1260), (-1, 1680), (1, 1188), (-691, 360360), (1, 156), (-3617, 122400))
+TWO_PI = Decimal("6.28318530717958647692528676655900576839433879875021164194989")
+
+
+def log_factorial(n: int) -> Decimal:
+    """By the sum of logarithms for small numbers, by Stirling's series (an error below 1e-40) from 1,000 on."""
+    if n < 1000:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n)
+    out = x * x.ln() - x + (TWO_PI * x).ln() / 2
+    for i, (top, bottom) in enumerate(STIRLING):
+        out += Decimal(top) / (bottom * x ** (2 * i + 1))
+    return out
+
+
+def log_choose(n: int, k: int) -> Decimal:
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
 def shard(df: DataFrame, shards: int, seed: int = 0, block_rows: int = 8192, stable: bool = True) -> DataFrame:
@@ -106,7 +146,8 @@ def shard(df: DataFrame, shards: int, seed: int = 0, block_rows: int = 8192, sta
         if at != n:
             raise ValueError(f"partition {p} has {at} rows and was counted with {n}; pass stable=False")
 
-    dealt = df.mapInArrow(deal, schema).repartition(pieces(len(cells), 1), cell)
+    # cell i is partition i; inside it rows go by their key (equal keys, about one cell in 10**11, by their order of arrival)
+    dealt = df.mapInArrow(deal, schema).repartitionById(max(1, len(cells)), F.col(cell))
     ranked = dealt.withColumn(key, F.row_number().over(Window.partitionBy(cell).orderBy(key)).cast("long") - 1)
     s, f = place(F.col(cell), int(sizes.sum()), shards, block_rows)
     out = ranked.withColumns({names["shard"]: s.cast("int"), names["slot"]: (f + F.col(key)).cast("long")}).drop(cell, key, "shard", "slot")
