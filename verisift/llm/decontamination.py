@@ -4,9 +4,10 @@ Words are maximal runs of letters a-z, digits and non-ASCII bytes after lower-ca
 words of a benchmark item (an item of 1 to 12 words is one window). The automaton runs over word numbers (words that no
 window holds are 0), so a text is scanned once; every hit is mapped back to code-point offsets of the original text.
 
-Scale: the automaton is shipped to the tasks in pieces of at most ``MOST_WORDS`` window words, and a benchmark of any
-size is covered by as many pieces as it needs, each with its own scan; hits are joined inside a row, so documents are
-never shuffled. Nothing grows with the documents.
+Scale: documents are never shuffled and nothing grows with them. The automaton is built once a worker process from
+windows of at most about ``MOST_WORDS`` words (about 100 bytes each), the memory bound of driver and workers. A larger benchmark
+is cut by window into pieces; the documents pass them one after the other, written between two passes with the items and
+word ranges found so far, so that one automaton is held at a time and results are the same.
 
 Defined results: null or wordless text has no hits; items without words or without an id are no items; an id that
 occurs twice owns the windows of all its rows; a window that several items share is a hit for each; equal rows get
@@ -17,19 +18,28 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import own_names, pieces
+from .common import checkpointed, own_names, pieces
 
 WINDOW = 13
-#: Window words in one automaton (about 100 bytes each in a worker).
-MOST_WORDS = 1_000_000
+#: Window words in one automaton, about.
+MOST_WORDS = 2_000_000
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
+#: What the passes hand on: items and word ranges found so far.
+FOUND = T.StructType(
+    [
+        T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))),
+    ]
+)
 HIT = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -82,6 +92,17 @@ class WindowAutomaton:
         return items, merged(spans)
 
 
+_BUILT: dict[str, WindowAutomaton] = {}
+
+
+def built(name: str, shipped: Broadcast) -> WindowAutomaton:
+    """The automaton of a broadcast list of windows, built once a process; the last one only is kept."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = WindowAutomaton(shipped.value)
+    return _BUILT[name]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -113,44 +134,52 @@ def mark_contamination(documents: DataFrame, benchmark: DataFrame, text_col: str
 
     A document is contaminated if n_hit > 0 and 20 * n_hit >= n_words.
     """
+    sc = documents.sparkSession.sparkContext
     windows = item_windows(benchmark, id_col, item_text_col).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
     total = windows.agg(F.coalesce(F.sum(F.size("window")), F.lit(0)).alias("n")).first().n
     n = pieces(total, most_words)
-    bc = []
-    for part in range(n):  # a piece holds most_words words or so: a bounded list
+    if n > 1:
+        windows = checkpointed(windows)
+    names = own_names(documents, "text", "found", "hit")
+    text, found, hit = names["text"], names["found"], names["hit"]
+    done = documents.withColumn(text, F.col(text_col).cast("binary")).withColumn(found, F.lit(None).cast(FOUND))
+    for part in range(n):
         rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == part).collect() if total else []
-        bc.append(documents.sparkSession.sparkContext.broadcast([(tuple(w.encode() for w in r.window), tuple(r["items"])) for r in rows]))
+        shipped = sc.broadcast([(tuple(w.encode() for w in r.window), tuple(r["items"])) for r in rows])
+        done = _pass(done, shipped, text, found, hit, last=part == n - 1)
+        if part < n - 1:
+            done = checkpointed(done)
+            shipped.unpersist()
+    new = {k: F.col(hit)[k] for k in HIT.names}
+    new["contaminated"] = (F.col(hit).n_hit > 0) & (F.col(hit).n_hit * 20 >= F.col(hit).n_words)
+    return done.withColumns(new).drop(hit)
+
 
-    names = own_names(documents, "text", "hit")
-    out_type = T.StructType([*documents.schema.fields, T.StructField(names["hit"], HIT)])
+def _pass(documents: DataFrame, shipped: Broadcast, text_col: str, found_col: str, hit_col: str, last: bool) -> DataFrame:
+    """One automaton over all texts. The last pass makes ``hit_col`` of text and findings, the others add to the findings."""
+    own, name = [f for f in documents.schema.fields if f.name not in (text_col, found_col)], uuid4().hex
+    out_type = T.StructType([*own, T.StructField(hit_col, HIT)] if last else [*own, T.StructField(text_col, T.BinaryType()), T.StructField(found_col, FOUND)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        autos = [WindowAutomaton(b.value) for b in bc]
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = to_arrow_schema(out_type)
+        auto, schema = built(name, shipped), to_arrow_schema(out_type)
         for batch in batches:
             rows = []
-            for value in batch.column(names["text"]):
-                text = value.as_py() or b""
+            for value, before in zip(batch.column(text_col), batch.column(found_col)):
+                text, seen = value.as_py() or b"", before.as_py() or {"items": [], "spans": []}
                 found = words(text)
-                items: set[str] = set()
-                spans: list[tuple[int, int]] = []
-                for auto in autos:
-                    i, s = auto.scan(found)
-                    items |= i
-                    spans += s
-                spans = merged(spans)
-                rows.append({"n_words": len(found), "n_hit": sum(b - a for a, b in spans), "n_items": len(items), "item_ids": sorted(items), "hit_spans": original_spans(text, spans)})
-            kept = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != names["text"]]
-            hit = pa.array(rows, schema.field(names["hit"]).type)
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(kept, schema)), hit], schema=schema)
-
-    hit = names["hit"]
-    done = documents.withColumn(names["text"], F.col(text_col).cast("binary")).mapInArrow(scan, out_type)
-    new = {k: F.col(hit)[k] for k in HIT.names}
-    new["contaminated"] = (F.col(hit).n_hit > 0) & (F.col(hit).n_hit * 20 >= F.col(hit).n_words)
-    return done.withColumns(new).drop(hit)
+                items, spans = auto.scan(found)
+                items, spans = sorted(items.union(seen["items"])), merged(spans + [(x["a"], x["b"]) for x in seen["spans"]])
+                if last:
+                    rows.append({"n_words": len(found), "n_hit": sum(b - a for a, b in spans), "n_items": len(items), "item_ids": items, "hit_spans": original_spans(text, spans)})
+                else:
+                    rows.append({"items": items, "spans": [{"a": a, "b": b} for a, b in spans]})
+            kept = [batch.column(f.name).cast(schema.field(f.name).type) for f in own]
+            made = pa.array(rows, schema.field(hit_col if last else found_col).type)
+            yield pa.RecordBatch.from_arrays([*kept, made] if last else [*kept, batch.column(text_col).cast(schema.field(text_col).type), made], schema=schema)
+
+    return documents.mapInArrow(scan, out_type)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
