@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, fingerprints, html_extract, mixing, ngram_join, pii, sharding, token_counts, toxicity, warc
-from .common import shared_dir, table
+from .common import checkpointed, shared_dir, table
 
 SHARDS = 24
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,18 +35,18 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark, "warc")
-    pages = table(spark, sf_dir, "pages")
+    path, pages = shared_dir(spark, "warc"), table(spark, sf_dir, "pages")
     warc.write_archives(pages, path)
-    captures = warc.read_archives(spark, path)
-    warc.write_index(captures.select("file", "offset", "length", "url"), path, pages.count())
-    # every record is reached through its index line; a revisit's payload is that of the response with its digest
-    listed = warc.index_lines(spark, path).select("file", "offset")
-    got = captures.withColumn("payload_digest", warc.base32_sha1(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    got = got.drop("payload").join(listed, ["file", "offset"])
-    full = got.where("record_type = 'response'").select(F.col("digest").alias("_d"), F.col("payload_bytes").alias("_b"), F.col("payload_digest").alias("_p"))
-    got = got.join(full, F.col("digest") == F.col("_d"))
-    return got.select("page_id", F.col("_b").alias("payload_bytes"), F.col("_p").alias("payload_digest"), "record_type", F.col("refers_to"))
+    placed = checkpointed(warc.scan_heads(spark, path))
+    warc.write_index(placed, path, placed.count())
+    # the record of every page, by its URL's key through the index
+    found = checkpointed(warc.look_up(pages.select(warc.url_key(warc.stored_url(F.col("url"))).alias("key")), path))
+    got = warc.read_records(found, path)
+    got = checkpointed(got.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest")))
+    # a revisit's payload is that of the response with its digest
+    full = got.where("record_type = 'response'").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("payload_bytes").alias("b"), F.max("payload_digest").alias("p"))
+    both = got.drop("payload_bytes", "payload_digest").join(full, "digest", "left").where(F.assert_true(F.coalesce(F.col("n"), F.lit(0)) == 1, "a digest without one response").isNull())
+    return both.select("page_id", F.col("b").alias("payload_bytes"), F.col("p").alias("payload_digest"), "record_type", "refers_to")
 
 
 def held_out(doc_id):
