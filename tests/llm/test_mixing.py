@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import re
 
 import pytest
@@ -23,9 +24,11 @@ def filled(sizes, weights, cap=3.0):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows", [2000, 3])
-def test_targets_and_counts(spark, bucket_rows, monkeypatch):
+@pytest.mark.parametrize("bucket_rows,few", [(2000, 100), (3, 100), (3, 0)])
+def test_targets_and_counts(spark, bucket_rows, few, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    monkeypatch.setattr(mixing, "RANKED_ROWS", 2)
     rows = corpus(5, 300) + [(1000 + i, "w " * 700, "en", "tiny", 1) for i in range(1)] + [(2000 + i, "w " * (i % 50), "en", "hot", 1) for i in range(400)]
     d = table(spark, rows)
     got = mixing.mix(d, seed=9).collect()
@@ -43,6 +46,14 @@ def test_targets_and_counts(spark, bucket_rows, monkeypatch):
         taken[r.source] += r.copies * r["size"]
     assert all(abs(taken[s] - want[s]) <= most[s] / 2 + 1e-6 for s in sizes)
     assert sum(want.values()) == pytest.approx(sum(sizes.values()))
+    # the seeded order, one document at a time
+    text, ident = (lambda r: r.text or ""), (lambda r: "" if r.doc_id is None else str(r.doc_id))
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for s in sizes:
+        part, at = (want[s] - want[s] // sizes[s] * sizes[s] if sizes[s] else 0), 0
+        for r in sorted((r for r in got if r.source == s), key=lambda r: md5(f"9\x01{ident(r)}\x01{md5(text(r))}")):
+            assert r.copies == (want[s] // sizes[s] if sizes[s] else 0) + (part > 0 and at + r["size"] / 2 <= part) or abs(at + r["size"] / 2 - part) < 1e-6
+            at += r["size"]
     again = mixing.mix(d.repartition(7), seed=9).collect()
     key = lambda rs: sorted((r.doc_id, r.copies, r.text or "") for r in rs)
     assert key(got) == key(again)
@@ -58,6 +69,21 @@ def test_given_weights_and_rows(spark):
     assert rows.columns == d.columns and {r.source: r["count"] for r in rows.groupBy("source").count().collect()} == {"y": 30, "x": 10}
 
 
+def test_weights_by_range_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANKED_ROWS", 3)
+    names = [f"s{i:02d}" for i in range(20)] + ["é", "Z", None]
+    d = spark.createDataFrame([(n,) for n in names * 2], "source string")
+    got = {r.source: r.weight for r in mixing.cyclic_weights(d, "source").collect()}
+    order = sorted(names, key=lambda s: (s is None, s or ""))
+    assert got == {s: i % 3 + 1 for i, s in enumerate(order)}
+
+
+def test_size_may_read_clashing_columns(spark):
+    d = table(spark, [(i, "a", None, "x", 1) for i in range(6)]).withColumn("size", F.lit(5)).withColumn("target", F.lit("t"))
+    got = mixing.mix(d, size=F.col("size").cast("long") * 2).collect()
+    assert {(r["size"], r.source_size, r.target, r.copies) for r in got} == {(10, 60, 60.0, 1)}
+
+
 def test_edges(spark):
     assert mixing.mix(table(spark, [])).count() == 0
     d = table(spark, [(1, None, None, None, None), (2, "", None, "a", 0), (None, "a b", None, "b", 3), (None, "a b", None, "b", 3)])
