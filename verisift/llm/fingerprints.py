@@ -10,8 +10,10 @@ of fixed size. Likeness is shared digests over all digests of the two versions;
 
 Many pairs are peeled at once: their tables lie end to end in one numpy array, so Python works for each round, not for each document.
 
-Defined results: null text is the empty text; equal texts have equal fingerprints; extra columns pass
-through, but for those named like a result, which the result replaces.
+Defined results: null text is the empty text; equal texts have equal fingerprints; rows of one id follow each other by the
+hash of their text, rows without an id come last; extra columns pass through, but for those named like a result, which the
+result replaces. Ids are whole numbers. The input must give the same rows in the same partitions when it is read again, as a
+file scan does; pass ``stable=False`` for other plans, which are checkpointed.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mix64, own_names, pieces
+from .common import U64, checkpointed, mix64, own_names, pieces
 
 HASHES = 3
 #: Cells of the fingerprint: 3 parts of 8.
 CELLS = 24
 GROW = 4
+#: A cell as bytes: count (4), key (8), check (4), little-endian.
+CELL_BYTES = 16
 
 CUT = re.compile(r"[^\n.!?,;:|]+[.!?,;:|]*")
 LONG = 160
@@ -129,10 +133,10 @@ def fingerprints(sets: list[np.ndarray]) -> list[str]:
     """The smallest sketch of each text, as text."""
     t = Tables(np.full(len(sets), CELLS // HASHES), 0)
     t.add(*flat(sets), 1)
-    rows = np.zeros((len(sets) * CELLS, 14), np.uint8)
-    rows[:, :2] = np.minimum(t.count, 65535).astype("<u2").view(np.uint8).reshape(-1, 2)
-    rows[:, 2:10] = t.key.astype("<u8").view(np.uint8).reshape(-1, 8)
-    rows[:, 10:] = t.check.astype("<u4").view(np.uint8).reshape(-1, 4)
+    rows = np.zeros((len(sets) * CELLS, CELL_BYTES), np.uint8)
+    rows[:, :4] = t.count.astype("<u4").view(np.uint8).reshape(-1, 4)
+    rows[:, 4:12] = t.key.astype("<u8").view(np.uint8).reshape(-1, 8)
+    rows[:, 12:] = t.check.astype("<u4").view(np.uint8).reshape(-1, 4)
     data = rows.reshape(len(sets), -1)
     return [base64.b64encode(r.tobytes()).decode() for r in data]
 
@@ -203,62 +207,67 @@ def compared(texts: list[str], following: list[str]) -> pd.DataFrame:
     )
 
 
-def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_each: int = 1500) -> tuple[DataFrame, list, dict[str, str]]:
-    """Deal rows into runs of the order (id descending, nulls last, then text), each with a copy of the next run's first.
+#: Bytes of text in a run, about, and runs at most: their bounds (a fixed number of bytes each) are what passes the driver.
+RUN_BYTES, MOST_RUNS = 12 << 20, 1 << 17
 
-    The runs' bounds are numeric ids of the table (near quantiles, by two narrow aggregates), so the first row of the next run is known
-    to be one with that id: those rows are sent to both runs. No row passes the driver and there is no global sort.
+
+def order_key(ids: pd.Series, ties: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Place of rows in the order as bytes that compare alike: null ids first, then the id, then two tie-breakers."""
+    null = ids.isna().to_numpy()
+    out = np.zeros((len(ids), 25), np.uint8)
+    out[:, 0] = ~null
+    for k, x in enumerate((ids.fillna(0).to_numpy(np.int64), ties.astype(np.int64), rows.astype(np.int64))):
+        out[:, 1 + 8 * k : 9 + 8 * k] = (x.view(U64) ^ U64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(out).view("S25").ravel()
+
+
+def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int | None = None) -> tuple[DataFrame, int, dict[str, str]]:
+    """Deal rows into runs of the order (id descending, nulls last, then hash of the text, then row), each with a copy of
+    the next run's first row.
+
+    The places of the runs' first rows are found beforehand from ids, hashes and row numbers alone: they are range-sorted
+    and each partition's largest is a bound. A bound is a row's own place, so that row is known to be first in its run and
+    is sent to the run before as well. Rows of one id, of no id and repeated rows are cut like all others.
     """
-    names = own_names(df, "run", "tail", "t")
-    n = df.count()
-    bounds: list = []
-    if n:
-        q = pieces(n, rows_each)
-        rough = np.array(df.agg(F.percentile_approx(F.col(id_col).cast("double"), [i / q for i in range(1, q + 1)], 10 * q + 1000).alias("b")).first().b or [], float)
-
-        @F.pandas_udf("long")
-        def group(ids: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(rough, ids.astype("float64"), side="left"))
-
-        # the quantiles are rounded; the largest id of each stretch between them is an id of the table
-        ids = df.select(F.col(id_col).alias("i")).where("i is not null")
-        bounds = sorted((r.m for r in ids.groupBy(group("i")).agg(F.max("i").alias("m")).collect()), reverse=True)
-    runs = max(1, len(bounds))
-    rising = np.array(bounds[::-1])
+    names = own_names(df, "run", "tail", "t", "h", "r")
+    run, tail, text, tie, row = (names[k] for k in ("run", "tail", "t", "h", "r"))
+    rows = df.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    rows = rows.withColumns({tie: F.xxhash64(text), row: F.monotonically_increasing_id()})
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text_col) + 16), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    runs = min(MOST_RUNS, max(1, size.n), pieces(max(size.b, 16 * size.n), run_bytes or RUN_BYTES))
+    placed = rows.select(F.col(id_col).cast("long").alias("i"), F.col(tie).alias("h"), F.col(row).alias("r")).repartitionByRange(runs, F.col("i").asc_nulls_first(), "h", "r")
+    top = placed.groupBy(F.spark_partition_id()).agg(F.max(F.struct(F.col("i").isNotNull().alias("known"), "i", "h", "r")).alias("m"))
+    found = [r.m for r in top.collect()]
+    bounds = np.sort(order_key(pd.Series([m.i for m in found], dtype="Int64"), np.array([m.h for m in found], np.int64), np.array([m.r for m in found], np.int64)))
+    runs, shipped = max(1, len(bounds)), df.sparkSession.sparkContext.broadcast(bounds)
 
     @F.pandas_udf("struct<run:int,first:boolean>")
-    def place(ids: pd.Series) -> pd.DataFrame:  # binary search: the run of an id, and whether it is the run's first id
-        null = ids.isna().to_numpy()
-        at = np.zeros(len(ids), np.int64)
-        at[~null] = np.searchsorted(rising, ids[~null].to_numpy(rising.dtype), side="left")
-        first = np.zeros(len(ids), bool)
-        first[~null] = rising[at[~null]] == ids[~null].to_numpy(rising.dtype)
-        return pd.DataFrame({"run": np.where(null, runs - 1, runs - 1 - at).astype("int32"), "first": first})
-
-    rows = df.withColumn(names["t"], F.coalesce(F.col(text_col), F.lit("")))
-    if not bounds:
-        return rows.withColumns({names["run"]: F.lit(0), names["tail"]: F.lit(False)}), bounds, names
-    # a run's first id also ends the run before it; the first run's ends the last
-    rows = rows.withColumn("_p", place(F.col(id_col)))
+    def place(ids: pd.Series, ties: pd.Series, rows: pd.Series) -> pd.DataFrame:  # binary search: the run of a row, and whether it is the run's first
+        key = order_key(ids, ties.to_numpy(), rows.to_numpy())
+        at = np.minimum(np.searchsorted(shipped.value, key, side="left"), runs - 1)
+        return pd.DataFrame({"run": (runs - 1 - at).astype("int32"), "first": shipped.value[at] == key})
+
+    # a run's first row also ends the run before it; the first run's ends the last
+    rows = rows.withColumn("_p", place(F.col(id_col).cast("long"), F.col(tie), F.col(row)))
     at = lambda r, x: F.struct(r.alias("r"), F.lit(x).alias("x"))
-    run = F.col("_p.run")
-    both = F.when(F.col("_p.first"), F.array(at(run, False), at(F.pmod(run - 1, F.lit(runs)), True))).otherwise(F.array(at(run, False)))
-    own = rows.withColumn("_q", F.explode(both)).withColumns({names["run"]: F.col("_q.r"), names["tail"]: F.col("_q.x")}).drop("_p", "_q")
-    return own, bounds, names
+    of = F.col("_p.run")
+    both = F.when(F.col("_p.first"), F.array(at(of, False), at(F.pmod(of - 1, F.lit(runs)), True))).otherwise(F.array(at(of, False)))
+    dealt = rows.withColumn("_q", F.explode(both)).withColumns({run: F.col("_q.r"), tail: F.col("_q.x")}).drop("_p", "_q")
+    return dealt.repartitionById(runs, F.col(run)).sortWithinPartitions(run, tail, *[o.desc_nulls_last() for o in (F.col(id_col).cast("long"), F.col(tie), F.col(row))]), runs, names
 
 
-def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512) -> DataFrame:
+def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512, stable: bool = True) -> DataFrame:
     """Every document against its edited text and against the next document (descending id; after the last: the first)."""
-    own, bounds, names = with_next(df, id_col, text_col)
+    if not stable:
+        df = checkpointed(df)
+    dealt, _, names = with_next(df, id_col, text_col)
     run, tail, text = names["run"], names["tail"], names["t"]
-    parts = pieces(len(bounds) or 1, 1)
-    dealt = own.repartition(parts, run).sortWithinPartitions(run, tail, F.col(id_col).desc_nulls_last(), F.col(text).desc())
     keep = [c for c in df.columns if c != text_col and c.lower() not in RESULT.names]
     dealt = dealt.select(*[F.col(f"`{c}`") for c in keep], run, tail, F.col(text))
     schema = T.StructType([*[df.schema[c] for c in keep], *RESULT.fields])
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None  # rows whose next row has not come yet
+        held: pd.DataFrame | None = None  # a row whose next row has not come yet
 
         def done(part: pd.DataFrame, following: list[str]) -> Iterator[pd.DataFrame]:
             for a in range(0, len(part), chunk):
@@ -275,19 +284,8 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             held = frame.iloc[[len(frame) - 1]] if len(frame) and not tails[-1] else None
             stray = np.flatnonzero(~tails & ~same)
             if len(stray) and stray[0] != len(frame) - 1:
-                raise ValueError("a run without its tail")
+                raise ValueError("a run without its tail: the input changed between readings; pass stable=False")
         if held is not None:
-            raise ValueError("a run without its tail")
+            raise ValueError("a run without its tail: the input changed between readings; pass stable=False")
 
-    if not bounds:
-        return _by_window(df, id_col, text_col, keep, schema)
     return dealt.mapInPandas(work, schema)
-
-
-def _by_window(df: DataFrame, id_col: str, text_col: str, keep: list[str], schema: T.StructType) -> DataFrame:
-    """Tables in which every id is null have no order to cut by; the text orders them."""
-    names = own_names(df, "id")
-    keyed = df.withColumn(names["id"], F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    if not df.take(1):
-        return df.sparkSession.createDataFrame([], schema)
-    return fingerprint(keyed, names["id"], text_col).drop(names["id"])
