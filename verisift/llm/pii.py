@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, own_names
+from .common import checkpointed, own_names, pieces
 
 #: Titles, detectors (first match wins) and for each a part that all of its matches hold. Fixed values.
 TITLES_M, TITLES_F, TITLES_N = "Mr|Herr|Monsieur|Señor|г-н|מר", "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|г-жа|גברת", "Dr|Prof|Professor"
@@ -196,7 +196,8 @@ def cased(word: Column, surrogate_: Column) -> Column:
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities: distinct (kind, normal). Adds ``stand_in``, unique in its kind and no entity itself."""
-    at = checkpointed(entities.withColumn("attempt", F.lit(0)))
+    entities = checkpointed(entities)
+    at = entities.repartition(pieces(entities.count(), 4000), "kind", "normal").withColumn("attempt", F.lit(0))
     while True:
         drawn = at.withColumn("stand_in", surrogate(F.col("kind"), F.col("normal"), stream(key, F.col("kind"), F.col("normal"), F.col("attempt")), F.col("attempt")))
         rank = F.xxhash64("normal")
@@ -279,7 +280,8 @@ def replace(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     hits = d.where(likely).select(text.alias("t")).withColumn("f", every(ANY)).withColumn("named", F.exists("f", is_name))
     hits = hits.select(F.md5("t").alias("row"), "named", F.when(F.col("named"), every(ANY_WORD)).otherwise(F.col("f")).alias("f"))
     hits = checkpointed(hits.groupBy("row").agg(F.first("named").alias("named"), F.first("f").alias("f"), F.count(F.lit(1)).alias("n")).where(F.size("f") > 0))
-    seen = checkpointed(hits.select("row", F.posexplode("f").alias("at", "entity")).withColumn("kind", type_of(F.col("entity"))))
+    spread = hits.repartition(pieces(hits.count(), 1000), "row")
+    seen = checkpointed(spread.select("row", F.posexplode("f").alias("at", "entity")).withColumn("kind", type_of(F.col("entity"))))
     done = put_back(seen, key).join(hits.select("row", "named"), "row")
 
     # back to the texts, hot ones salted
