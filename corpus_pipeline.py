@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisift.llm import decontamination, mixing, ngram_join, sharding, toxicity
-from verisift.llm.common import shared_dir, table
+from verisift.llm.common import table
 from verisift.llm.queries import SHARDS, held_out
+from verisift.plans.materialise import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, docs = shared_dir(spark, "pipeline"), table(spark, sf_dir, "documents")
+    base, docs = shared_folder(spark, "pipeline"), table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,8 +140,8 @@ def test_search(spark):
         got.setdefault(r.query_id, []).append(r.span_id)
     assert got["q1"] == ["s3", "s1"] and sorted(got["q2"]) == ["s1", "s2"] and "q3" not in got
     assert lexical.search(q, spans, 5, filters={"source_tier": 1, "document_id": None}).where("query_id = 'q1'").count() == 1
-    e = lexical.text_evidence(hits).where("claim_id = 'q1' and span_id = 's3'").first()
-    assert e.source_tier == 2 and e.source_document_ids == []
+    e = lexical.text_evidence(hits.withColumn("venue", F.lit("hall"))).where("claim_id = 'q1' and span_id = 's3'").first()
+    assert e.source_tier == 2 and e.source_document_ids == [] and e.properties == {"normalized_text": "budget budget", "venue": "hall"}
 
 
 def test_embedder_and_neighbours(spark):
@@ -171,3 +172,39 @@ def test_quality_and_metrics(spark):
     assert [r.gate for r in metrics.failed_gates(metrics.aggregate(metrics.row_metrics(gold, res))).collect()] == ["rows", "f1_claim_typing"]
     e = metrics.aggregate(metrics.row_metrics(gold.limit(0), res)).first()
     assert (e.rows, e.provenance_completeness, e.abstention_correctness, e.f1_verdict) == (0, 1.0, 1.0, 0.0)
+
+
+def test_similarity_equals_brute_force(spark):
+    """Every pair, by the plain definition; letters beyond one machine word, empty names, no common 2-gram."""
+    rng = random.Random(4)
+    word = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    names = [("abc", None), ("axbxc", None), ("a" * 70 + "b", "דן לוי"), ("", ""), (None, "לוי")] + [(word("abcd ", rng.randrange(1, 12)), word("אבגד", rng.randrange(0, 9)) if rng.random() < 0.6 else None) for _ in range(60)]
+    e = spark.createDataFrame([("p" if i % 5 else "q", f"e{i}", cn, he, word("ab", 4) if i % 3 else None) for i, (cn, he) in enumerate(names)], "kind string, entity_id string, canonical_name string, hebrew_name string, english_name string")
+    asked = [("abc", None), ("axbxc", "דן"), ("a" * 80, None), (None, "לוי דן"), (None, None)] + [(word("abcd", rng.randrange(1, 9)), word("אבגד", rng.randrange(1, 14)) if rng.random() < 0.5 else None) for _ in range(25)]
+    m = spark.createDataFrame([(f"m{i}", "p", he, en) for i, (en, he) in enumerate(asked)], "mention_id string, kind string, hebrew_name string, english_name string")
+    want = set()
+    for i, (en, he) in enumerate(asked):
+        he, en = " ".join((he or "").split()), (en or "").strip().lower()
+        rows = []
+        for r in e.collect():
+            if r.kind != "p":
+                continue
+            nhe, ncn, nen = " ".join((r.hebrew_name or "").split()), (r.canonical_name or "").strip().lower(), (r.english_name or "").strip().lower()
+            sh, sc, se = (resolve.ratio(a, b) if a and b else 0.0 for a, b in ((he, nhe), (en, ncn), (en, nen)))
+            part = resolve.partial_ratio(he, nhe) * resolve.PARTIAL if he and nhe else 0.0
+            score = int(max(sh, sc, se, int(part)))
+            if score >= resolve.FLOOR:
+                rows.append((-score, r.entity_id))
+        want |= {(f"m{i}", ident, -s) for s, ident in sorted(rows)[:5]}
+    for block in (5_000, 4):
+        got = {(r.mention_id, r.entity_id, r.score) for r in resolve.by_similarity(m, e, block=block).collect()}
+        assert got == want and ("m0", "e1", 75) in got
+
+
+def test_hashed_neighbours_recall(spark):
+    """Against the exact search on the driver's vectors: recall of the ten nearest, and the share of all pairs looked at."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.vec_id) for r in lexical.knn_exact(q, v, 10).collect()}
+    got = {(r.query_id, r.vec_id) for r in lexical.knn_hashed(q, v, 10).collect()}
+    assert len(exact & got) >= 0.9 * len(exact)

@@ -52,7 +52,7 @@ def test_gold(claims):
 
 
 def test_overlaps(spark):
-    m = lambda *x: {"rule": x[0], "start": x[1], "end": x[2], **dict.fromkeys(extract.GROUPS)}
+    m = lambda *x: {"rule": x[0], "start": x[1], "end": x[2], "parts": []}
     d = spark.createDataFrame([([m(3, 0, 10), m(1, 5, 20), m(2, 20, 25), m(0, 0, 10), m(4, 24, 26)],), ([],)], f"m {extract.MATCH}")
     got = [[(x.rule, x.start) for x in r.x] for r in d.select(extract.without_overlaps(F.col("m")).alias("x")).collect()]
     assert got == [[(1, 5), (2, 20)], []]

@@ -107,8 +107,31 @@ def test_statement_sink_and_spans(spark):
     docs = spark.createDataFrame([("d", "abc def abc", None)], "document_id string, body string, content_sha256 string")
     hit = archive.extract_spans(docs, spark.createDataFrame([("d", "def"), ("d", "zzz"), ("d", "")], "document_id string, anchor string")).collect()
     assert [(r.char_start, r.char_end) for r in hit] == [(4, 7)]
-    run = archive.run_record(spark.createDataFrame([(3, 9)], "pages int, upserted int"), "f", "a", "2024-01-01 00:00:00", "2024-01-01 00:01:00").first()
-    assert run.status == "succeeded" and run.stats == {"pages": "3", "upserted": "9"}
+
+
+def test_run_lifecycle(spark):
+    runs = archive.run_started(spark, "f", "a", "2024-01-01 00:00:00").unionByName(archive.run_started(spark, "f", "b", "2024-01-01 00:00:00"))
+    assert {r.status for r in runs.collect()} == {"running"} and runs.where("finished_at is not null").count() == 0
+    one, two = archive.run_id("f", "a", "2024-01-01 00:00:00"), archive.run_id("f", "b", "2024-01-01 00:00:00")
+    stats = lambda **k: spark.createDataFrame(list(k.items()), "stat string, value long")
+    runs = runs.withColumn("stats", F.when(F.col("run_id") == one, F.create_map(F.lit("pages"), F.lit("1"), F.lit("kept"), F.lit("7"))).otherwise(F.col("stats")))
+    done = archive.run_finished(archive.run_finished(runs, one, stats(pages=3, upserted=9), "2024-01-01 00:01:00"), two, stats(pages=0), "2024-01-01 00:02:00", failed=True)
+    again = archive.run_finished(done, one, stats(pages=99), "2025-01-01 00:00:00", failed=True)
+    got = {r.adapter: r for r in again.collect()}
+    assert (got["a"].status, got["a"].stats, got["a"].finished_at.year) == ("succeeded", {"pages": "3", "upserted": "9", "kept": "7"}, 2024)
+    assert (got["b"].status, got["b"].stats) == ("failed", {"pages": "0"})
+
+
+def test_payloads_and_report(spark, tmp_path):
+    at = dt.datetime(2024, 2, 3, 1)
+    rows = [(bytearray(b"x"), "text/html", "gov_il", "u1", at, 1, 1), (bytearray(b"x"), "text/html", "gov_il", "u2", at, 1, 2), (bytearray(b"y"), None, "gov_il", "u3", at, 1, 3)]
+    f = spark.createDataFrame(rows, "content binary, content_type string, family string, source_url string, captured_at timestamp, source_tier int, seq int")
+    _, fresh = archive.archive(f, spark.createDataFrame([], "content_sha256 string, archive_uri string"))
+    archive.write_payloads(f, fresh, str(tmp_path / "p"))
+    got = spark.read.parquet(str(tmp_path / "p")).collect()
+    assert sorted(bytes(r.content) for r in got) == [b"x", b"y"] and {(r.family, str(r.day)) for r in got} == {("gov_il", "2024-02-03")}
+    archive.write_report(fresh.groupBy("content_type").count(), str(tmp_path / "r"))
+    assert len(list((tmp_path / "r").glob("*.json"))) == 1 and spark.read.json(str(tmp_path / "r")).count() == 2
 
 
 def test_upsert_is_replay_safe_and_order_free(spark):
@@ -120,8 +143,11 @@ def test_upsert_is_replay_safe_and_order_free(spark):
     assert sorted(tuple(r) for r in out.collect()) == want
     again = upsert.upsert(out, spark.createDataFrame(rows[::-1], schema).repartition(3), "person_id", "seq", defaults=upsert.DEFAULTS["person"])
     assert sorted(tuple(r) for r in again.collect()) == want
-    adapter, counts = upsert.run_adapter(spark.createDataFrame(rows, schema), lambda p: p, lambda r: r, cur, "person_id")
-    assert adapter.count() == 3 and {r.stat: r.value for r in counts.collect()} == {"pages": 4, "parsed": 4, "upserted": 4}
+    run = upsert.run_adapter(spark.createDataFrame(rows, schema), lambda p: p, lambda r: r, cur, "person_id")
+    assert run.table.count() == 3 and {r.stat: r.value for r in run.counts.collect()} == {"pages": 4, "parsed": 4, "upserted": 4} and run.archived is None
+    pages = spark.createDataFrame(rows, schema).select("*", F.lit("c").cast("binary").alias("content"), F.lit("text/html").alias("content_type"), F.lit("gov_il").alias("family"), F.lit("u").alias("source_url"), F.current_timestamp().alias("captured_at"))
+    run = upsert.run_adapter(pages, lambda p: p.select(*schema.replace(" string", "").replace(" int", "").split(", ")), lambda r: r, cur, "person_id", archived=spark.createDataFrame([], "content_sha256 string, archive_uri string"), write=lambda c, r: r.limit(1))
+    assert run.table.count() == 1 and run.archived.count() == 1 and {r.stat: r.value for r in run.counts.collect()}["archived"] == 1
 
 
 def test_edge_modes(spark):

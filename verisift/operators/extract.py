@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import entity_key, statement_key
 from ..functions.text import blank_to_null, vote_value
-from ..functions.timescope import normalize_time_scope, utterance_time
+from ..functions.timescope import bind, normalize_time_scope, utterance_time
 from ..plans.schemas import SLOT_TEMPLATES, SLOTS, TIME_REQUIRED
 
-GROUPS = ["subject", "vote_value", "bill", "office", "committee", "party", "seats", "time", "decision_number", "government_number"]
-
 #: Pieces of the rule patterns, readable by Java and RE2 alike. Fixed values.
 HE = r"\x{0590}-\x{05FF}"
 SUBJECT_HE = rf"([{HE}A-Za-z'\"\-\s]{{2,40}}?)"
@@ -29,8 +27,6 @@ TIME_HE = r"(?:\s+(?:ב(?:-)?(\d{4}|הקדנציה(?:\s+הקודמת)?|כנסת(
 TIME_HE_SHORT = r"(?:\s+(?:ב(?:-)?(\d{4}|כנסת(?:\s+ה[-]?\d+)?)))?"
 TIME_EN = r"(?:\s+in\s+(\d{4}|the\s+\d+(?:st|nd|rd|th)\s+Knesset|last\s+term))?"
 END = r"[\.\?\!]?\s*\z"
-OFFICE_HE = rf"(שר(?:ת)?(?:\s+[{HE}\-\s]+)?|סגן(?:ית)?\s+שר(?:ת)?(?:\s+[{HE}\-\s]+)?|ראש\s+הממשלה|חבר(?:ת)?\s+כנסת|יו\"ר\s+[{HE}\-\s]+)"
-OFFICE_EN = r"(Prime\s+Minister|Minister\s+of\s+[A-Za-z\s]+|Deputy\s+Minister(?:\s+of\s+[A-Za-z\s]+)?|Member\s+of\s+Knesset|Chair(?:person)?\s+of\s+[A-Za-z\s]+)"
 
 
 @dataclass(frozen=True)
@@ -56,12 +52,12 @@ class Rule:
 RULES: list[Rule] = [
     Rule("vote_cast", "he", SUBJECT_HE + r"\s+(?:הצביע(?:ה)?|תמך(?:ה)?|התנגד(?:ה)?|נמנע(?:ה)?)\s+(בעד|נגד|נמנע(?:ה)?)?\s*(?:(?:ב(?:עד)?|על|נגד|לגבי)\s+)?(?:חוק|הצעת\s+חוק)\s+" + BILL_HE + TIME_HE + END, ("subject", "vote_value", "bill", "time"), name="R1", hint=r"חוק"),
     Rule("bill_sponsorship", "he", SUBJECT_HE + r"\s+(?:יזם(?:ה)?|הגיש(?:ה)?|חתם(?:ה)?\s+על|הציע(?:ה)?)\s+(?:את\s+)?(?:הצעת\s+חוק|חוק)\s+" + BILL_HE + TIME_HE + END, ("subject", "bill", "time"), name="R2", hint=r"חוק"),
-    Rule("office_held", "he", SUBJECT_HE + r"\s+(?:כיהן(?:ה)?|שימש(?:ה)?|מונה|היה|הייתה)\s+(?:כ)?" + OFFICE_HE + TIME_HE + END, ("subject", "office", "time"), name="R3", hint=r"כיהן|שימש|מונה|היה|הייתה"),
+    Rule("office_held", "he", SUBJECT_HE + r"\s+(?:כיהן(?:ה)?|שימש(?:ה)?|מונה|היה|הייתה)\s+(?:כ)?" + rf"(שר(?:ת)?(?:\s+[{HE}\-\s]+)?|סגן(?:ית)?\s+שר(?:ת)?(?:\s+[{HE}\-\s]+)?|ראש\s+הממשלה|חבר(?:ת)?\s+כנסת|יו\"ר\s+[{HE}\-\s]+)" + TIME_HE + END, ("subject", "office", "time"), name="R3", hint=r"כיהן|שימש|מונה|היה|הייתה"),
     Rule("committee_membership", "he", SUBJECT_HE + r"\s+(?:היה|הייתה|כיהן(?:ה)?|חבר(?:ה)?(?:\s+ב)?)\s+(?:חבר(?:ה)?\s+)?(?:ב)?ועד(?:ת|ה)\s+" + COMMITTEE_HE + TIME_HE + END, ("subject", "committee", "time"), name="R4", hint=r"ועד"),
     Rule("committee_attendance", "he", SUBJECT_HE + r"\s+(?:נכח(?:ה)?|השתתף(?:ה)?|פקד(?:ה)?)\s+(?:בישיבת|ב)(?:ועדת|ועדה)\s+" + COMMITTEE_HE + TIME_HE + END, ("subject", "committee", "time"), name="R5", hint=r"נכח|השתתף|פקד"),
     Rule("vote_cast", "en", SUBJECT_EN + r"\s+(?:voted|cast\s+(?:a|their)\s+vote)\s+(for|against|in\s+favou?r\s+of|opposed|abstained|to\s+abstain)\s+(?:on\s+|the\s+)?(?:the\s+)?" + BILL_EN + r"\s+bill" + TIME_EN + END, ("subject", "vote_value", "bill", "time"), ignore_case=True, name="R6", hint=r"(?i)vote"),
     Rule("bill_sponsorship", "en", SUBJECT_EN + r"\s+(?:sponsored|initiated|introduced|co-?sponsored)\s+(?:the\s+)?" + BILL_EN + r"\s+bill" + TIME_EN + END, ("subject", "bill", "time"), ignore_case=True, name="R7", hint=r"(?i)sponsored|initiated|introduced"),
-    Rule("office_held", "en", SUBJECT_EN + r"\s+(?:served\s+as|held\s+the\s+office\s+of|was\s+appointed)\s+(?:the\s+)?" + OFFICE_EN + TIME_EN + END, ("subject", "office", "time"), ignore_case=True, name="R8", hint=r"(?i)served|held|appointed"),
+    Rule("office_held", "en", SUBJECT_EN + r"\s+(?:served\s+as|held\s+the\s+office\s+of|was\s+appointed)\s+(?:the\s+)?" + r"(Prime\s+Minister|Minister\s+of\s+[A-Za-z\s]+|Deputy\s+Minister(?:\s+of\s+[A-Za-z\s]+)?|Member\s+of\s+Knesset|Chair(?:person)?\s+of\s+[A-Za-z\s]+)" + TIME_EN + END, ("subject", "office", "time"), ignore_case=True, name="R8", hint=r"(?i)served|held|appointed"),
     Rule("committee_membership", "en", SUBJECT_EN + r"\s+(?:was\s+a\s+member\s+of|served\s+on|sat\s+on)\s+(?:the\s+)?" + COMMITTEE_EN + r"\s+[Cc]ommittee" + TIME_EN + END, ("subject", "committee", "time"), name="R9", hint=r"member|served|sat"),
     Rule("committee_attendance", "en", SUBJECT_EN + r"\s+(?:attended|was\s+present\s+at)\s+(?:a\s+|the\s+)?(?:session\s+of\s+)?(?:the\s+)?" + COMMITTEE_EN + r"\s+[Cc]ommittee" + TIME_EN + END, ("subject", "committee", "time"), name="R10", hint=r"attended|present"),
     Rule("election_result", "he", rf"([{HE}A-Za-z'\"\-\s]{{2,50}}?)" + r"\s+(?:זכה(?:ה)?|קיבל(?:ה)?|זכתה|קיבלה)\s+(?:ב-?)?(\d{1,3})\s+(?:מנדטים|מושבים)" + TIME_HE + END, ("party", "seats", "time"), name="R11", hint=r"מנדטים|מושבים"),
@@ -73,7 +69,8 @@ RULES: list[Rule] = [
     Rule("government_decision", "en", r"(?:(?:government\s+(?:decision|resolution)(?:\s+number)?)|(?:cabinet\s+(?:decision|resolution)(?:\s+number)?)|(?:the\s+cabinet\s+decided))\s*(?:number\s+)?(?:no\.?\s+)?(\d[\d/\-]*)[\.\?\!,]?\s*", ("decision_number",), ignore_case=True, many=True, name="R17", hint=r"(?i)government|cabinet"),
 ]
 
-MATCH = "array<struct<rule:int,start:int,end:int," + ",".join(f"{g}:string" for g in GROUPS) + ">>"
+#: A match: its rule, its place, and what the rule's groups caught, in the rule's order.
+MATCH = "array<struct<rule:int,start:int,end:int,parts:array<string>>>"
 
 
 #: Stands between the groups when a match is written out; taken from statements beforehand.
@@ -89,10 +86,14 @@ def _written_out(rule: Rule, text: Column) -> Column:
     return F.split(F.regexp_replace(text, rule.java(), groups), MARK)
 
 
-def _match(number: int, parts: Column, start: Column, end: Column) -> Column:
-    at = {g: i + 1 for i, g in enumerate(RULES[number].groups)}
-    groups = [F.nullif(F.get(parts, F.lit(at[g])), F.lit("")).alias(g) if g in at else F.lit(None).cast("string").alias(g) for g in GROUPS]
-    return F.struct(F.lit(number).alias("rule"), start.cast("int").alias("start"), end.cast("int").alias("end"), *groups)
+def _match(number: int, written: Column, start: Column, end: Column) -> Column:
+    return F.struct(F.lit(number).alias("rule"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.slice(written, F.lit(2), F.lit(len(RULES[number].groups))).alias("parts"))
+
+
+def caught(group: str) -> Column:
+    """What a group caught, of a match ``m`` of any rule: the rule's place for the group comes from a table."""
+    at = F.array(*[F.lit(r.groups.index(group) if group in r.groups else -1) for r in RULES])
+    return blank_to_null(F.nullif(F.get("m.parts", F.get(at, F.col("m.rule"))), F.lit("")))
 
 
 def rule_matches(number: int, text: Column) -> Column:
@@ -124,24 +125,31 @@ def without_overlaps(matches: Column) -> Column:
 
 def slot_columns() -> dict[str, Column]:
     """Claim slots from a match's groups; blanks are null. The decision number stands in for the id until resolved."""
-    m = lambda g: blank_to_null(F.col(f"m.{g}"))
+    m = caught
     below = [i for i, r in enumerate(RULES) if r.below]
     none = F.lit(None).cast("string")
     return {
-        "speaker_person_id": m("subject"), "target_person_id": none, "bill_id": m("bill"), "committee_id": m("committee"), "office_id": m("office"), "vote_value": vote_value(F.col("m.vote_value")),
+        "speaker_person_id": m("subject"), "target_person_id": none, "bill_id": m("bill"), "committee_id": m("committee"), "office_id": m("office"), "vote_value": vote_value(m("vote_value")),
         "party_id": m("party"), "expected_seats": m("seats"), "expect_passed_threshold": F.when(F.col("m.rule").isin(below), "false"), "government_decision_id": m("decision_number"), "government_number": m("government_number"),
     }
 
 
 def violations(claim_type: Column, slots: dict[str, Column]) -> Column:
     """Messages for empty required and filled forbidden slots; an unknown type is one message."""
-    out = F.array(F.concat(F.lit("unknown claim_type: "), F.coalesce(claim_type, F.lit("null"))))
-    empty = {s: slots[s].isNull() | (slots[s].cast("string") == "") for s in SLOTS}
-    for t, (required, optional) in SLOT_TEMPLATES.items():
-        tests = [F.when(empty[s], F.lit(f"required slot {s} is empty for {t}")) for s in required]
-        tests += [F.when(~empty[s], F.lit(f"forbidden slot {s} is set for {t}")) for s in SLOTS if s not in required + optional]
-        out = F.when(claim_type == t, F.array_compact(F.array(*tests))).otherwise(out)
-    return out
+    template = F.create_map(*[x for t, (required, optional) in SLOT_TEMPLATES.items() for x in (F.lit(t), F.struct(_names(required).alias("required"), _names([*required, *optional]).alias("allowed")))])
+    is_set = F.array_compact(F.array(*[F.when(~(slots[s].isNull() | (slots[s].cast("string") == "")), F.lit(s)) for s in SLOTS]))
+    said = lambda kind, what: lambda s: F.concat(F.lit(f"{kind} slot "), s, F.lit(f" is {what} for "), claim_type)
+
+    def test(x: Column) -> Column:
+        missing = F.transform(F.filter(x.t.required, lambda s: ~F.array_contains(x.set, s)), said("required", "empty"))
+        extra = F.transform(F.filter(x.set, lambda s: ~F.array_contains(x.t.allowed, s)), said("forbidden", "set"))
+        return F.when(x.t.isNull(), F.array(F.concat(F.lit("unknown claim_type: "), F.coalesce(claim_type, F.lit("null"))))).otherwise(F.concat(missing, extra))
+
+    return bind(F.struct(F.when(claim_type.isNotNull(), F.try_element_at(template, F.coalesce(claim_type, F.lit("")))).alias("t"), is_set.alias("set")), test)
+
+
+def _names(slots: list[str] | tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(s) for s in slots]).cast("array<string>")
 
 
 def extract(statements: DataFrame, reference_date: Column | None = None, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +166,7 @@ def extract(statements: DataFrame, reference_date: Column | None = None, answers
     slots = slot_columns()
     rows = rows.select(
         "statement_id", "text", "language", "position", F.element_at(kinds, F.col("m.rule") + 1).alias("claim_type"), F.col("m.rule").alias("rule"), F.col("m.start").alias("span_start"), F.col("m.end").alias("span_end"),
-        *[c.alias(k) for k, c in slots.items()], F.col("m.time").alias("time_phrase"),
+        *[c.alias(k) for k, c in slots.items()], caught("time").alias("time_phrase"),
     )
     rows = rows.withColumn("violations", violations(F.col("claim_type"), {k: F.col(k) for k in SLOTS}))
     ident = F.concat_ws(":", F.col("statement_id").cast("string"), F.col("span_start").cast("string"), F.col("span_end").cast("string"), F.col("rule").cast("string"))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .retrieve import top_k
+from ..plans.materialise import checkpointed
+from ..plans.schemas import EVIDENCE
+from .retrieve import evidence, top_k
 
 #: BM25 constants. Fixed values.
 K1, B = 1.2, 0.75
@@ -20,26 +23,43 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def index(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(postings: token, key, tf, length; statistics: one row with n and avgdl)."""
-    d = documents.select(key, tokens(F.col(text)).alias("_t"))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avgdl"))
-    postings = d.select(key, F.size("_t").alias("length"), F.explode("_t").alias("token")).groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    return postings, stats
+def tokenised(documents: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, one array of tokens a field), written once: statistics and postings of all fields read it."""
+    return checkpointed(documents.select(key, *[tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)]))
 
 
-def bm25(queries: DataFrame, documents: DataFrame, query_key: str, query_text: str, key: str, text: str, boost: float = 1.0) -> DataFrame:
-    """(query, document, score) for all pairs that share a token. Only the queries' tokens are kept of the index."""
-    postings, stats = index(documents, key, text)
-    asked = queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("token"))  # repeated query words count again
-    wanted = postings.join(asked.select("token").distinct(), "token", "left_semi")
+def postings(tokens_: DataFrame, key: str, column: str) -> DataFrame:
+    """(token, key, tf, length)."""
+    rows = tokens_.select(key, F.size(column).alias("length"), F.explode(column).alias("token"))
+    return rows.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+
+
+def weighed(asked: DataFrame, tokens_: DataFrame, query_key: str, key: str, column: str, boost: float) -> DataFrame:
+    """(query, document, score) by one field. Only the queries' tokens are kept of the index."""
+    wanted = postings(tokens_, key, column).join(asked.select("token").distinct(), "token", "left_semi")
     df = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    s = stats.first()  # two numbers
+    s = tokens_.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(column)).alias("avgdl")).first()  # two numbers
     n, avg = float(s.n), float(s.avgdl or 1.0) or 1.0
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(avg)))
-    weighed = wanted.join(df, "token").select("token", key, part.alias("w"))
-    return asked.join(weighed, "token").groupBy(query_key, key).agg((F.sum("w") * boost).alias("score"))
+    weights = wanted.join(df, "token").select("token", key, part.alias("w"))
+    return asked.join(weights, "token").groupBy(query_key, key).agg((F.sum("w") * boost).alias("score"))
+
+
+def asked_tokens(queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+    return queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("token"))  # repeated query words count again
+
+
+def bm25(queries: DataFrame, documents: DataFrame, query_key: str, query_text: str, key: str, text: str, boost: float = 1.0) -> DataFrame:
+    """(query, document, score) for all pairs that share a token."""
+    return weighed(asked_tokens(queries, query_key, query_text), tokenised(documents, key, [text]), query_key, key, "_t0", boost)
+
+
+def best_of(queries: DataFrame, spans: DataFrame, fields: dict[str, float], query_key: str = "query_id", query_text: str = "query", key: str = "span_id") -> DataFrame:
+    """The best score over several fields, each with its own statistics and boost."""
+    asked, t = asked_tokens(queries, query_key, query_text), tokenised(spans, key, list(fields))
+    scored = [weighed(asked, t, query_key, key, f"_t{i}", boost) for i, boost in enumerate(fields.values())]
+    return reduce(DataFrame.unionByName, scored).groupBy(query_key, key).agg(F.max("score").alias("score"))
 
 
 def search(queries: DataFrame, spans: DataFrame, k: int = 20, fields: dict[str, float] | None = None, query_key: str = "query_id", query_text: str = "query", filters: dict | None = None) -> DataFrame:
@@ -48,11 +68,7 @@ def search(queries: DataFrame, spans: DataFrame, k: int = 20, fields: dict[str,
         if v is not None:
             spans = spans.where(F.col(c) == v)
     asked = queries.where(F.size(tokens(F.col(query_text))) > 0)
-    scored = None
-    for field, boost in (fields or {"text": 2.0, "normalized_text": 1.0}).items():
-        s = bm25(asked, spans, query_key, query_text, "span_id", field, boost)
-        scored = s if scored is None else scored.unionByName(s)
-    best = scored.groupBy(query_key, "span_id").agg(F.max("score").alias("score"))
+    best = best_of(asked, spans, fields or {"text": 2.0, "normalized_text": 1.0}, query_key, query_text)
     best = top_k(best, [query_key], [F.col("score").desc(), F.col("span_id")], k)
     empty = queries.where(F.size(tokens(F.col(query_text))) == 0).select(query_key)
     if empty.take(1):  # each such query gets the same first k spans: k ids
@@ -63,12 +79,13 @@ def search(queries: DataFrame, spans: DataFrame, k: int = 20, fields: dict[str,
 
 
 def text_evidence(hits: DataFrame, claim_key: str = "query_id") -> DataFrame:
-    """Hits -> rows of the evidence schema (tier 2 and score 0 where missing)."""
-    from .retrieve import evidence
-
+    """Hits -> rows of the evidence schema (tier 2 and score 0 where missing); columns it does not know stay as properties."""
+    known = {f.name for f in EVIDENCE.fields} | {claim_key}
+    rest = [c for c in hits.columns if c not in known]
+    properties = F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
     h = hits.withColumn("claim_id", F.col(claim_key))
     return evidence(
-        h, "text", {}, kind=F.lit("text"), span_id=F.coalesce(F.col("span_id"), F.col("document_id")), document_id=F.col("document_id"), text=F.col("text"), captured_at=F.col("captured_at"),
+        h, "text", {}, kind=F.lit("text"), properties=properties, span_id=F.coalesce(F.col("span_id"), F.col("document_id")), document_id=F.col("document_id"), text=F.col("text"), captured_at=F.col("captured_at"),
         source_tier=F.coalesce(F.col("source_tier"), F.lit(2)), score=F.coalesce(F.col("score"), F.lit(0.0)), source_document_ids=F.when(F.col("document_id").isNotNull(), F.array("document_id")).otherwise(F.array().cast("array<string>")),
     )
 

@@ -8,8 +8,11 @@ Candidates: mention_id, entity_id, step, reason, score.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,62 +95,119 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf(T.StructType([T.StructField("score", T.IntegerType()), T.StructField("reason", T.StringType())]))
-def fuzzy_score(he: pd.Series, en: pd.Series, node_he: pd.Series, node_cn: pd.Series, node_en: pd.Series) -> pd.DataFrame:
-    out = []
-    for h, e, nh, nc, ne in zip(he, en, node_he, node_cn, node_en):
-        sh = ratio(h, nh) if h and nh else 0.0
-        sc = ratio(e, nc) if e and nc else 0.0
-        se = ratio(e, ne) if e and ne else 0.0
-        part = partial_ratio(h, nh) * PARTIAL if h and nh else 0.0
-        exact = max(sh, sc, se)
-        reason = "fuzzy_en" if se >= sh and se >= sc else "fuzzy_cn" if sc > sh else "fuzzy_he"
-        out.append((int(max(exact, int(part))), "fuzzy_partial_he" if part > exact else reason))
-    return pd.DataFrame(out, columns=["score", "reason"]).astype({"score": np.int32})
-
-
 def grams(c: Column, q: int = 2) -> Column:
     """Distinct q-grams of a text (shorter texts: the text itself)."""
     n = F.length(c)
     return F.when(n < q, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(q)))))
 
 
-def by_similarity(mentions: DataFrame, entities: DataFrame, floor: int = FLOOR, top: int = 5) -> DataFrame:
-    """Entities of the kind that share a 2-gram with the mention, scored, at the floor or above, best five.
+#: Letters of a text that fit one machine word.
+WORD_BITS = 64
+
+
+class Names:
+    """A column of names, as an array of letter numbers, compared with one text at a time."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.length = names, np.array([len(n) for n in names], np.int64)
+        self.number = {c: i + 1 for i, c in enumerate(sorted(set("".join(names))))}
+        self.letters = np.zeros((int(self.length.max(initial=0)), len(names)), np.int32)
+        for j, n in enumerate(names):
+            self.letters[: len(n), j] = [self.number[c] for c in n]
+
+    def common(self, text: str) -> np.ndarray:
+        """Length of the longest common subsequence with every name: bit rows, all names at once."""
+        if len(text) > WORD_BITS:
+            return np.array([lcs_length(text, n) for n in self.names], np.int64)
+        masks = np.zeros(len(self.number) + 1, np.uint64)
+        for i, c in enumerate(text):
+            if c in self.number:
+                masks[self.number[c]] |= np.uint64(1 << i)
+        full = np.uint64((1 << len(text)) - 1)
+        row = np.full(len(self.names), full, np.uint64)
+        with np.errstate(over="ignore"):
+            for letters in self.letters:
+                u = row & masks[letters]
+                row = ((row + u) | (row - u)) & full
+        return len(text) - np.bitwise_count(row).astype(np.int64)
+
+    def ratios(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ratio with every name, common letters); nothing is like an empty text."""
+        common = self.common(text) if text else np.zeros(len(self.names), np.int64)
+        return np.where((self.length > 0) & (len(text) > 0), 100.0 * 2 * common / np.maximum(1, self.length + len(text)), 0.0), common
+
+
+def fuzzy_scores(he: str, en: str, nhe: Names, ncn: Names, nen: Names, floor: int) -> list[tuple[int, int, str]]:
+    """(number of the name, score, reason) of all names at the floor or above."""
+    (sh, common), (sc, _), (se, _) = nhe.ratios(he), ncn.ratios(en), nen.ratios(en)
+    exact = np.maximum(sh, np.maximum(sc, se))
+    # a window has at most the common letters of the whole, and is at its best when it has no others
+    short = np.minimum(nhe.length, len(he))
+    bound = np.where((common > 0) & (short > 0), 100.0 * 2 * common / np.maximum(1, short + common), 0.0) * PARTIAL
+    out = []
+    for i in np.flatnonzero((exact >= floor) | (bound >= floor)):
+        part = partial_ratio(he, nhe.names[i]) * PARTIAL if bound[i] >= floor and bound[i] > exact[i] else 0.0
+        score = int(max(exact[i], int(part)))
+        if score >= floor:
+            reason = "fuzzy_en" if se[i] >= sh[i] and se[i] >= sc[i] else "fuzzy_cn" if sc[i] > sh[i] else "fuzzy_he"
+            out.append((int(i), score, "fuzzy_partial_he" if part > exact[i] else reason))
+    return out
+
+
+def by_similarity(mentions: DataFrame, entities: DataFrame, floor: int = FLOOR, top: int = 5, block: int = 5_000) -> DataFrame:
+    """Every mention against every entity of its kind, at the floor or above, best five.
 
-    A ratio of 60 needs a common subsequence of 3 in 5 letters; the block asks for one common 2-gram (or a common
-    letter for texts of one letter), and a shared-gram count does not cap the pairs.
+    The mentions are a stated query set: blocks of about ``block`` are shipped to the tasks, which read the entities where they lie
+    and compare a batch of names with one text at a time. A ratio of 60 leaves no common part that a join could use
+    (``abc`` and ``axbxc`` reach 75 without a common 2-gram), so no pair is left out.
     """
     m = mentions.select("mention_id", "kind", F.when(F.length("hebrew_name") > 0, normalize_hebrew(F.col("hebrew_name"))).otherwise("").alias("he"), F.lower(F.trim(F.coalesce("english_name", F.lit("")))).alias("en"))
-    e = entities.select(
-        "kind", "entity_id", normalize_hebrew(F.col("hebrew_name")).alias("nhe"), F.lower(F.trim(F.coalesce("canonical_name", F.lit("")))).alias("ncn"), F.lower(F.trim(F.coalesce("english_name", F.lit("")))).alias("nen")
-    )
-    keys = lambda df, ident, fields: df.select(ident, "kind", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col(f)) for f in fields])))).alias("g")).where(F.length("g") > 0)
-    pairs = keys(m, "mention_id", ["he", "en"]).join(keys(e, "entity_id", ["nhe", "ncn", "nen"]), ["kind", "g"]).select("mention_id", "entity_id").distinct()
-    scored = pairs.join(m, "mention_id").join(e.drop("kind"), "entity_id").withColumn("s", fuzzy_score("he", "en", "nhe", "ncn", "nen"))
-    hits = scored.where(F.col("s.score") >= floor).select("mention_id", "entity_id", F.lit(5).alias("step"), F.col("s.reason").alias("reason"), F.col("s.score").alias("score"))
-    return top_k(hits, ["mention_id"], [F.col("score").desc(), F.col("entity_id")], top)
+    m = checkpointed(m.where((F.length("he") > 0) | (F.length("en") > 0)))
+    text = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    e = entities.select("kind", "entity_id", normalize_hebrew(F.col("hebrew_name")).alias("nhe"), text("canonical_name").alias("ncn"), text("english_name").alias("nen"))
+    n, schema = max(1, -(-m.count() // block)), T.StructType([T.StructField("mention_id", m.schema["mention_id"].dataType), T.StructField("entity_id", e.schema["entity_id"].dataType), T.StructField("reason", T.StringType()), T.StructField("score", T.IntegerType())])
+    hits = None
+    for part in range(n):
+        asked: dict[str, list[tuple]] = {}
+        for r in m.where(F.pmod(F.xxhash64("mention_id"), F.lit(n)) == part).collect():  # a block
+            asked.setdefault(r.kind, []).append((r.mention_id, r.he, r.en))
+        shipped = e.sparkSession.sparkContext.broadcast(asked)
+
+        def compare(frames: Iterator[pd.DataFrame], shipped: Broadcast = shipped) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for kind, rows in frame.groupby("kind"):
+                    ids, names, out = list(rows["entity_id"]), [Names(list(rows[c].fillna(""))) for c in ("nhe", "ncn", "nen")], []
+                    for ident, he, en in shipped.value.get(kind, []):
+                        out += [(ident, ids[i], reason, score) for i, score, reason in fuzzy_scores(he, en, *names, floor)]
+                    if out:
+                        yield pd.DataFrame({f.name: pd.Series([r[i] for r in out], dtype=object) for i, f in enumerate(schema.fields)})
+
+        found = top_k(e.mapInPandas(compare, schema), ["mention_id"], [F.col("score").desc(), F.col("entity_id")], top)
+        hits = found if hits is None else hits.unionByName(found)
+    return hits.select("mention_id", "entity_id", F.lit(5).alias("step"), "reason", "score")
 
 
 def ladder(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Candidates of the first step that has any, for each mention."""
-    steps = []
-    if "external_ids" in mentions.columns:
-        steps.append(lambda m: by_external_id(m, entities))
+    """Candidates of the first step that has any, for each mention.
+
+    The steps by key are looked up side by side and the first one kept, so mentions meet the tables once; similarity is
+    asked only for what they leave.
+    """
+    steps = [by_external_id(mentions, entities)] if "external_ids" in mentions.columns else []
     steps += [
-        lambda m: by_exact_name(m, entities),
-        lambda m: by_alias(m, aliases, normalize_hebrew(F.col("hebrew_name")), "he", 3, "alias_he"),
-        lambda m: by_alias(m, aliases, F.lower(F.trim("english_name")), "en", 3, "alias_en"),
-        lambda m: by_alias(m, aliases, transliterate_hebrew(F.col("hebrew_name")), "en", 4, "transliteration", 10),
+        by_exact_name(mentions, entities), by_alias(mentions, aliases, normalize_hebrew(F.col("hebrew_name")), "he", 3, "alias_he"), by_alias(mentions, aliases, F.lower(F.trim("english_name")), "en", 3, "alias_en"),
+        by_alias(mentions, aliases, transliterate_hebrew(F.col("hebrew_name")), "en", 4, "transliteration", 10),
     ]
-    if fuzzy:
-        steps.append(lambda m: by_similarity(m, entities))
-    left, found = mentions, None
-    for step in steps:
-        hits = checkpointed(step(left).select(*COLUMNS))  # two branches read it: the result and what is left
-        found = hits if found is None else found.unionByName(hits)
-        left = left.join(hits.select("mention_id"), "mention_id", "left_anti")
-    return found
+    hits = None
+    for i, step in enumerate(steps):
+        s = step.select(*COLUMNS, F.lit(i).alias("_at"))
+        hits = s if hits is None else hits.unionByName(s)
+    first = F.min("_at").over(Window.partitionBy("mention_id"))
+    found = checkpointed(hits.withColumn("_first", first).where("_at = _first").select(*COLUMNS))  # two branches read it: the result and what is left
+    if not fuzzy:
+        return found
+    left = mentions.join(found.select("mention_id"), "mention_id", "left_anti")
+    return found.unionByName(checkpointed(by_similarity(left, entities).select(*COLUMNS)))
 
 
 def decide(mentions: DataFrame, candidates: DataFrame, tiebreaks: DataFrame | None = None) -> DataFrame:

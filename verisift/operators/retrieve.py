@@ -67,10 +67,23 @@ def own_document(c: str = "source_document_id") -> Column:
     return F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
 
 
+#: Distinct claim keys that are broadcast to cut fact tables down before they are joined with each other.
+FEW_KEYS = 100_000
+
+
+def asked_for(facts: DataFrame, claims: DataFrame, fact_key: str, claim_key: str) -> DataFrame:
+    """The facts that a claim may ask for. Few keys (a checked number) are broadcast, so that the facts are filtered where
+    they lie; with more, most facts are asked for and stay as they are."""
+    keys = claims.select(F.col(claim_key).alias(fact_key)).distinct()
+    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    return facts.join(F.broadcast(keys), fact_key, "left_semi") if few else facts
+
+
 def vote_cast(claims: DataFrame, kb: dict[str, DataFrame], k: int = 10) -> DataFrame:
     """kb: cast_vote (person_id, vote_event_id, value), vote_event (with bill_id), bill, vote_documents (optional)."""
     c = of_type(claims, "vote_cast", "speaker_person_id", "bill_id")
-    votes = kb["cast_vote"].withColumnRenamed("person_id", "speaker_person_id").join(kb["vote_event"].select("vote_event_id", "bill_id", "occurred_at"), "vote_event_id")
+    cast, events = asked_for(kb["cast_vote"], c, "person_id", "speaker_person_id"), asked_for(kb["vote_event"], c, "bill_id", "bill_id")
+    votes = cast.withColumnRenamed("person_id", "speaker_person_id").join(events.select("vote_event_id", "bill_id", "occurred_at"), "vote_event_id")
     f = c.join(votes, ["speaker_person_id", "bill_id"]).where(inside(F.col("occurred_at")))
     f = f.join(kb["bill"].select("bill_id", "title"), "bill_id")
     f = top_k(f, ["claim_id"], [F.col("occurred_at").desc_nulls_last(), F.col("vote_event_id")], k)
@@ -122,7 +135,8 @@ def committee_membership(claims: DataFrame, kb: dict[str, DataFrame], k: int = 1
 def committee_attendance(claims: DataFrame, kb: dict[str, DataFrame], k: int = 20) -> DataFrame:
     """kb: attended (person_id, attendance_event_id, presence), attendance_event."""
     c = of_type(claims, "committee_attendance", "speaker_person_id", "committee_id")
-    seen = kb["attended"].withColumnRenamed("person_id", "speaker_person_id").join(kb["attendance_event"], "attendance_event_id")
+    attended, sessions = asked_for(kb["attended"], c, "person_id", "speaker_person_id"), asked_for(kb["attendance_event"], c, "committee_id", "committee_id")
+    seen = attended.withColumnRenamed("person_id", "speaker_person_id").join(sessions, "attendance_event_id")
     f = c.join(seen, ["speaker_person_id", "committee_id"]).where(inside(F.col("occurred_at")))
     f = top_k(f, ["claim_id"], [F.col("occurred_at").desc_nulls_last(), F.col("attendance_event_id")], k)
     ids = {x: F.col(x) for x in ("speaker_person_id", "committee_id", "attendance_event_id")}

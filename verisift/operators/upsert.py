@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.schemas import EDGE_DOMAINS
+from ..sources.archive import archive
 
 
 def fold_batch(batch: DataFrame, keys: list[str], seq: str, best_tier: str | None = None) -> DataFrame:
@@ -73,10 +75,27 @@ def merge_edges(current: DataFrame, batch: DataFrame, src: str, dst: str, seq: s
     return both.select(*keys, *[F.coalesce(c, f"_o_{c}").alias(c) for c in rest])
 
 
-def run_adapter(pages: DataFrame, parse: Callable[[DataFrame], DataFrame], normalise: Callable[[DataFrame], DataFrame], current: DataFrame, key: str, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """A batch job: raw pages -> rows -> records -> upserted table, with the run's counters."""
+@dataclass(frozen=True)
+class AdapterRun:
+    table: DataFrame  # after the upsert
+    counts: DataFrame  # (stat, value)
+    archived: DataFrame | None  # new archive rows, if pages were archived
+
+
+def run_adapter(
+    pages: DataFrame, parse: Callable[[DataFrame], DataFrame], normalise: Callable[[DataFrame], DataFrame], current: DataFrame, key: str, seq: str = "seq", archived: DataFrame | None = None, write: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+) -> AdapterRun:
+    """A batch job: raw pages -> archive -> rows -> records -> table, with the run's counters.
+
+    archived (content_sha256, archive_uri): pages (with ``content``, see ``archive``) that it does not hold become new archive
+    rows. write(current, records): what is done with the records; a keyed upsert by default.
+    """
+    fresh = archive(pages, archived)[1] if archived is not None else None
     rows = parse(pages)
     records = normalise(rows)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("stat"), "value")
     counts = count(pages, "pages").unionByName(count(rows, "parsed")).unionByName(count(records, "upserted"))
-    return upsert(current, records, key, seq), counts
+    if fresh is not None:
+        counts = counts.unionByName(count(fresh, "archived"))
+    table = write(current, records) if write else upsert(current, records, key, seq)
+    return AdapterRun(table, counts, fresh)

@@ -98,12 +98,12 @@ class Tables:
 
     # text ------------------------------------------------------------
     def sentences(self) -> DataFrame:
-        """One English sentence a line of every 1st line number, its digits written as letters."""
+        """One English sentence a line, its digits written as letters."""
         name, bill = letters(F.col("s_name")), letters(F.col("p_name"))
         verb = pick(F.col("l_orderkey") % 4, "voted for the", "voted against the", "sponsored the", "abstained from the")
         when_ = pick(F.col("l_partkey") % 3, "", " in the 18th Knesset", " in last term")
         year = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit(" in "), F.year("l_shipdate").cast("string"))).otherwise(when_)
-        j = self.lineitem.where("l_linenumber = 1").join(self.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey").join(self.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+        j = self.lineitem.join(self.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey").join(self.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
         return j.select(vote_id().alias("statement_id"), F.concat(name, F.lit(" "), verb, F.lit(" "), bill, F.lit(" bill"), year, F.lit(".")).alias("text"), F.lit("en").alias("language"), F.col("l_shipdate").alias("uttered_at"))
 
 

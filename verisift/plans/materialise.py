@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+_CHOSEN: dict[str, str] = {}
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder the session names in spark.checkpoint.dir. Where it is unset: below the warehouse, which all machines
+    see; on one machine a new temporary folder, kept for the session."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        app = spark.sparkContext.applicationId
+        if app not in _CHOSEN:
+            local = spark.sparkContext.master.startswith("local")
+            _CHOSEN[app] = tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        named = _CHOSEN[app]
+    return named.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names in spark.checkpoint.dir (one is chosen only where it is unset, as in tests)."""
+    """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()

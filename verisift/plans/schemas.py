@@ -130,5 +130,5 @@ ABSTAIN_BELOW, REVIEW_BELOW = 0.45, 0.62
 EVIDENCE = table(
     claim_id=S, evidence_type=S, kind=S, node_ids=MAP, source_document_ids=STRINGS, source_tier=I, occurred_at=TS, vote_value=S, presence=S, seats_won=I, passed_threshold=B, term_number=I,
     decision_number=S, government_number=I, title=S, canonical_name=S, office_type=S, appointing_body=S, valid_from=TS, valid_to=TS, is_acting=B, mention_count=L,
-    span_id=S, document_id=S, text=S, captured_at=TS, score=D,
+    span_id=S, document_id=S, text=S, captured_at=TS, score=D, properties=MAP,
 )

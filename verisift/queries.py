@@ -28,10 +28,14 @@ def query(sql: str | None = None) -> Callable[[Callable[[demo.Tables], DataFrame
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_records  # noqa: F401  registers more
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_records  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -312,13 +316,13 @@ def edge_guards(t: demo.Tables) -> DataFrame:
 
 
 @query(
-    """WITH ev AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS bill, o_orderdate AS tm FROM orders), h AS (SELECT o_orderkey AS id, o_custkey % 2500 AS bill, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 1 DAY END AS tm FROM orders WHERE o_orderkey % 5 = 0)
+    """WITH ev AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS bill, o_orderdate AS tm FROM orders), h AS (SELECT * FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 2500 END AS bill, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 1 DAY END AS tm FROM orders) WHERE bill IS NOT NULL)
     SELECT ev.id AS vote_event_id, coalesce(h.bill, ev.bill) AS bill_id, coalesce(h.tm, ev.tm)::DATE::VARCHAR AS occurred_at, p_partkey IS NOT NULL AS linked FROM ev LEFT JOIN h USING (id) LEFT JOIN part ON p_partkey = h.bill"""
 )
 def enrich_votes(t: demo.Tables) -> DataFrame:
     k = F.col("o_orderkey")
     events = t.orders.select(k.alias("vote_event_id"), F.when(k % 2 == 0, F.col("o_custkey")).alias("bill_id"), F.col("o_orderdate").alias("occurred_at"), F.lit("roll").alias("vote_type"))
-    headers = t.orders.where(k % 5 == 0).select(k.alias("vote_event_id"), (F.col("o_custkey") % 2500).alias("bill_id"), F.when(k % 3 == 0, F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("occurred_at"), F.lit(None).cast("string").alias("vote_type"))
+    headers = t.orders.select(k.alias("vote_event_id"), F.when(k % 5 == 0, F.col("o_custkey") % 2500).alias("bill_id"), F.when(k % 3 == 0, F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("occurred_at"), F.lit(None).cast("string").alias("vote_type"))
     updated, edges, _ = adapters.enrich_votes(events, headers, t.part.select(F.col("p_partkey").alias("bill_id")))
     linked = edges.select("vote_event_id", F.lit(True).alias("linked")).distinct()
     return updated.join(linked, "vote_event_id", "left").select("vote_event_id", "bill_id", day("occurred_at").alias("occurred_at"), F.coalesce("linked", F.lit(False)).alias("linked"))
@@ -470,7 +474,7 @@ def _sentences_sql() -> str:
     return """sen AS (SELECT l_orderkey || '-' || l_suppkey || '-' || l_partkey || '-' || l_linenumber || '-' || strftime(l_shipdate, '%Y%m%d') AS id, l_shipdate,
       translate(regexp_replace(s_name, '[#_]', '', 'g'), '0123456789', 'abcdefghij') || ' ' || CASE l_orderkey % 4 WHEN 0 THEN 'voted for the' WHEN 1 THEN 'voted against the' WHEN 2 THEN 'sponsored the' ELSE 'abstained from the' END || ' ' || translate(regexp_replace(p_name, '[#_]', '', 'g'), '0123456789', 'abcdefghij') || ' bill'
       || CASE WHEN l_suppkey % 2 = 0 THEN ' in ' || year(l_shipdate) ELSE CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' in the 18th Knesset' ELSE ' in last term' END END || '.' AS text
-      FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1)"""
+      FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey)"""
 
 
 def _rule_sql(name: str) -> str:
@@ -525,13 +529,16 @@ def slot_check(t: demo.Tables) -> DataFrame:
     return d.select("k", F.size(extract.violations(F.col("claim_type"), {c: F.col(c) for c in extract.SLOTS})).alias("violations"))
 
 
-@query()
+@query(
+    """WITH d AS (SELECT o_orderkey AS k, (o_orderkey % 3000)::VARCHAR AS n, (o_custkey % 100)::VARCHAR AS m FROM orders), x AS (SELECT *, 'החלטת ממשלה מספר ' || n || ', ' AS one, 'בהחלטה מספר ' || m || '.' AS two FROM d)
+    SELECT k::VARCHAR AS statement_id, 'government_decision' AS claim_type, n AS government_decision_id, 0::INT AS span_start, length(one)::INT AS span_end FROM x UNION ALL SELECT k::VARCHAR, 'government_decision', m, length(one)::INT, (length(one) + length(two))::INT FROM x"""
+)
 def claim_overlap(t: demo.Tables) -> DataFrame:
     """Sentences with two decision references; overlapping matches of two rules are resolved."""
     n = (F.col("o_orderkey") % 3000).cast("string")
     d = t.orders.select(demo.s("o_orderkey").alias("statement_id"), F.concat(F.lit("החלטת ממשלה מספר "), n, F.lit(", בהחלטה מספר "), (F.col("o_custkey") % 100).cast("string"), F.lit(".")).alias("text"), F.lit("he").alias("language"))
     claims, _ = extract.extract(d, F.to_date(F.lit("2024-06-01")))
-    return claims.select("statement_id", "claim_type", "government_decision_id", "government_number", "span_start", "span_end")
+    return claims.select("statement_id", "claim_type", "government_decision_id", "span_start", "span_end")
 
 
 # ---------------------------------------------------------------- text and vectors
@@ -571,12 +578,12 @@ def knn_hashed(t: demo.Tables) -> DataFrame:
 
 def source_documents(t: demo.Tables) -> DataFrame:
     return t.documents.select(
-        demo.s("doc_id").alias("document_id"), F.when(F.col("doc_id") % 10 == 0, "  ").otherwise(F.substring("text", 1, 80)).alias("title"), F.col("text").alias("body"), F.when(F.col("doc_id") % 3 == 0, 1).alias("source_tier"), F.lit("web").alias("source_type"), F.col("source").alias("url"),
+        demo.s("doc_id").alias("document_id"), F.when(F.col("doc_id") % 10 == 0, "  ").otherwise(F.col("text")).alias("title"), F.col("text").alias("body"), F.when(F.col("doc_id") % 3 == 0, 1).alias("source_tier"), F.lit("web").alias("source_type"), F.col("source").alias("url"),
         F.lit(None).cast("string").alias("archive_uri"), F.lit(None).cast("timestamp").alias("captured_at"), F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"),
     )
 
 
-@query(f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '.' ELSE coalesce(nullif(trim(substr(text, 1, 80), ' '), ''), '.') END AS t FROM documents) SELECT {uuid_sql("'evidence_span:' || doc_id")} AS span_id, doc_id::VARCHAR AS document_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS source_tier, t AS text, length(t)::INT AS char_end FROM d")
+@query(f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '.' ELSE coalesce(nullif(trim(text, ' '), ''), '.') END AS t FROM documents) SELECT {uuid_sql("'evidence_span:' || doc_id")} AS span_id, doc_id::VARCHAR AS document_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS source_tier, t AS text, length(t)::INT AS char_end FROM d")
 def span_index(t: demo.Tables) -> DataFrame:
     return archive.build_span_index(source_documents(t)).select("span_id", "document_id", "source_tier", "text", "char_end")
 
@@ -587,12 +594,17 @@ def anchored_spans(t: demo.Tables) -> DataFrame:
     return archive.extract_spans(source_documents(t), anchors).select("document_id", "char_start", "char_end", "span_id")
 
 
-@query("WITH f AS (SELECT doc_id, sha256(text) AS h, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0), old AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 7 = 1) SELECT doc_id, f.h AS content_sha256, k = 1 AND old.h IS NULL AS created FROM f LEFT JOIN old USING (h)")
+TEXTS = "SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations"
+
+
+@query(f"WITH f AS (SELECT id, sha256(text) AS h, row_number() OVER (PARTITION BY text ORDER BY id) AS k FROM ({TEXTS}) WHERE text IS NOT NULL), old AS (SELECT DISTINCT sha256(text) AS h FROM conversations) SELECT id, f.h AS content_sha256, k = 1 AND old.h IS NULL AS created FROM f LEFT JOIN old USING (h)")
 def content_dedup(t: demo.Tables) -> DataFrame:
-    f = t.documents.where("doc_id % 2 = 0").select("doc_id", F.col("text").cast("binary").alias("content"), F.lit("text/plain").alias("content_type"), F.lit("statements").alias("family"), F.col("source").alias("source_url"), F.lit("2024-02-03 01:02:03").cast("timestamp").alias("captured_at"), F.lit(2).alias("source_tier"), F.col("doc_id").alias("seq"))
-    old = t.documents.where("doc_id % 7 = 1").select(F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"), F.lit("old").alias("archive_uri")).distinct()
-    answers, _ = archive.archive(f, old)
-    return answers.select("doc_id", "content_sha256", "created")
+    """All documents and turns fetched again after all turns were archived."""
+    rows = t.documents.select(F.concat(F.lit("d"), demo.s("doc_id")).alias("id"), "text").unionByName(t.conversations.select(F.concat(F.lit("c"), demo.s("conv_id"), F.lit("-"), demo.s("turn")).alias("id"), "text"))
+    f = rows.where("text IS NOT NULL").select("id", F.col("text").cast("binary").alias("content"), F.lit("text/plain").alias("content_type"), F.lit("statements").alias("family"), F.col("id").alias("source_url"), F.lit("2024-02-03 01:02:03").cast("timestamp").alias("captured_at"), F.lit(2).alias("source_tier"), F.col("id").alias("seq"))
+    _, old = archive.archive(f.where(F.col("id").startswith("c")), t.spark.createDataFrame([], "content_sha256 string, archive_uri string"))
+    answers, _ = archive.archive(f, old.select("content_sha256", "archive_uri"))
+    return answers.select("id", "content_sha256", "created")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN 's3://archive/' || CASE doc_id % 2 WHEN 0 THEN 'gov_il' ELSE 'elections' END || '/2024/02/' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') || '/' || sha256(text) || '.' || CASE doc_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'html' ELSE 'bin' END END AS uri, doc_id % 9 <> 0 AS valid FROM documents")
@@ -700,15 +712,15 @@ def load_report(t: demo.Tables) -> DataFrame:
 
 
 def gold(t: demo.Tables) -> tuple[DataFrame, DataFrame]:
-    """labels as gold rows: quality and toxicity decide the expectation; a result row for each document."""
-    g = t.labels.select(F.col("doc_id").alias("id"), F.array(F.when(F.col("quality") == 1, "vote_cast").otherwise("office_held")).alias("expected_claim_types"), F.when(F.col("toxic") == 1, "non_checkable").otherwise("supported").alias("expected_verdict"), F.lit(None).cast("string").alias("expected_verdict_live"))
-    r = t.documents.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "vote_cast").otherwise("office_held").alias("claim_type"), F.when(F.col("doc_id") % 5 == 0, "non_checkable").otherwise("supported").alias("status"), (F.col("doc_id") % 4).cast("long").alias("n_evidence"))
+    """labels as gold rows: quality and toxicity decide the expectation, every third has no result under its id; a result row for each document."""
+    g = t.labels.select(F.when(F.col("doc_id") % 3 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("id"), F.array(F.when(F.col("quality") == 1, "vote_cast").otherwise("office_held")).alias("expected_claim_types"), F.when(F.col("toxic") == 1, "non_checkable").otherwise("supported").alias("expected_verdict"), F.lit(None).cast("string").alias("expected_verdict_live"))
+    r = t.documents.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "vote_cast").otherwise("office_held").alias("claim_type"), F.when(F.col("doc_id") % 5 == 0, "non_checkable").otherwise("supported").alias("status"), (F.col("doc_id") % 4).cast("long").alias("n_evidence"))
     return g, r
 
 
 ROWS = """
-r AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'vote_cast' ELSE 'office_held' END AS t, CASE WHEN doc_id % 5 = 0 THEN 'non_checkable' ELSE 'supported' END AS s, doc_id % 4 AS n FROM documents WHERE doc_id % 3 <> 0),
-m AS (SELECT g.doc_id AS id, CASE WHEN r.id IS NULL THEN 0.0 WHEN r.t = CASE WHEN quality = 1 THEN 'vote_cast' ELSE 'office_held' END THEN 1.0 ELSE 0.0 END AS p, r.id IS NOT NULL AS has, r.s, r.s = CASE WHEN toxic = 1 THEN 'non_checkable' ELSE 'supported' END AS vm, CASE WHEN r.s = 'supported' THEN r.n > 0 END AS prov FROM labels g LEFT JOIN r ON r.id = g.doc_id),
+r AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'vote_cast' ELSE 'office_held' END AS t, CASE WHEN doc_id % 5 = 0 THEN 'non_checkable' ELSE 'supported' END AS s, doc_id % 4 AS n FROM documents),
+m AS (SELECT g.doc_id AS id, CASE WHEN r.id IS NULL THEN 0.0 WHEN r.t = CASE WHEN quality = 1 THEN 'vote_cast' ELSE 'office_held' END THEN 1.0 ELSE 0.0 END AS p, r.id IS NOT NULL AS has, r.s, r.s = CASE WHEN toxic = 1 THEN 'non_checkable' ELSE 'supported' END AS vm, CASE WHEN r.s = 'supported' THEN r.n > 0 END AS prov FROM labels g LEFT JOIN r ON r.id = CASE WHEN g.doc_id % 3 = 0 THEN -g.doc_id - 1 ELSE g.doc_id END),
 met AS (SELECT count(*)::DOUBLE AS rows, avg(p)::DOUBLE AS mean_claim_typing_precision, avg(p)::DOUBLE AS mean_claim_typing_recall, coalesce(avg(CASE WHEN p > 0 THEN p END), 0)::DOUBLE AS f1_claim_typing, coalesce(avg(vm::INT), 0)::DOUBLE AS f1_verdict,
   (count(*) FILTER (s = 'non_checkable') / count(s))::DOUBLE AS abstention_rate, coalesce(avg(prov::INT), 1)::DOUBLE AS provenance_completeness, coalesce(avg(CASE WHEN s = 'non_checkable' THEN vm::INT END), 1)::DOUBLE AS abstention_correctness FROM m)
 """
@@ -751,18 +763,41 @@ def sentence_kb(t: demo.Tables) -> verify.KnowledgeBase:
     return verify.KnowledgeBase({**t.vote_kb(), "sponsored": sponsored}, entities, aliases, fuzzy=False)
 
 
+NAMES_OF = "lower(translate(regexp_replace({}, '[#_]', '', 'g'), '0123456789', 'abcdefghij'))"
+CHECKED = f"""{_claims_sql()},
+    pe AS (SELECT {NAMES_OF.format('s_name')} AS n, count(*) AS k, min(s_suppkey) AS id FROM supplier GROUP BY 1), bi AS (SELECT {NAMES_OF.format('p_name')} AS n, count(*) AS k, min(p_partkey) AS id FROM part GROUP BY 1),
+    c AS (SELECT cl.id, claim_type, vote, CASE WHEN pe.k = 1 AND bi.k = 1 THEN CASE WHEN claim_type = 'vote_cast' AND time_phrase IS NULL THEN 'insufficient_time_scope' ELSE 'checkable' END ELSE 'insufficient_entity_resolution' END AS chk,
+      pe.id AS p, bi.id AS b, CASE WHEN time_phrase = 'last term' THEN TIMESTAMP '2020-12-22' WHEN time_phrase LIKE '%18th%' THEN TIMESTAMP '2009-02-24' ELSE make_date(try_cast(time_phrase AS INT), 1, 1)::TIMESTAMP END AS ts,
+      CASE WHEN time_phrase = 'last term' THEN TIMESTAMP '2022-11-15 23:59:59' WHEN time_phrase LIKE '%18th%' THEN TIMESTAMP '2013-02-05 23:59:59' ELSE make_date(try_cast(time_phrase AS INT), 12, 31)::TIMESTAMP + INTERVAL 1 DAY - INTERVAL 1 SECOND END AS te
+      FROM cl LEFT JOIN pe ON pe.n = lower(speaker) LEFT JOIN bi ON bi.n = lower(bill)),
+    v AS (SELECT l_suppkey AS p, l_partkey AS b, l_orderkey || '-' || l_suppkey || '-' || l_partkey || '-' || l_linenumber || '-' || strftime(l_shipdate, '%Y%m%d') AS ev, CASE l_returnflag WHEN 'A' THEN 'for' WHEN 'R' THEN 'against' ELSE 'abstain' END AS value, l_shipdate AS tm, l_linenumber AS doc FROM lineitem),
+    f AS (SELECT c.id, v.value, v.doc, row_number() OVER (PARTITION BY c.id ORDER BY v.tm DESC, v.ev) AS rn FROM c JOIN v USING (p, b) WHERE chk = 'checkable' AND claim_type = 'vote_cast' AND tm >= ts AND tm <= te),
+    fa AS (SELECT id, count(*) AS n, count(DISTINCT doc) AS docs, list_sort(list(DISTINCT value)) AS vals FROM f WHERE rn <= 10 GROUP BY id),
+    sp AS (SELECT DISTINCT p, b, 1 AS one FROM v),
+    j AS (SELECT c.*, CASE WHEN chk <> 'checkable' THEN 0 WHEN claim_type = 'vote_cast' THEN coalesce(fa.n, 0) ELSE coalesce(sp.one, 0) END AS n, vals,
+      CASE WHEN claim_type = 'vote_cast' THEN 0.9 + 0.1 * CASE WHEN docs <= 1 THEN 0.3 WHEN docs = 2 THEN 0.7 ELSE 1.0 END ELSE 0.85 END AS o FROM c LEFT JOIN fa USING (id) LEFT JOIN sp ON sp.p = c.p AND sp.b = c.b),
+    bundle AS (SELECT id AS statement_id, claim_type, chk AS checkability, n, round(CASE WHEN n > 0 THEN o ELSE 0 END, 4)::DOUBLE AS overall,
+      CASE WHEN chk <> 'checkable' THEN 'non_checkable' WHEN n = 0 THEN 'insufficient_evidence' WHEN claim_type = 'bill_sponsorship' THEN 'supported' WHEN vals = [vote] THEN 'supported' WHEN list_contains(vals, vote) THEN 'mixed' ELSE 'contradicted' END AS status FROM j)"""
+
+
 @query(
-    f"""WITH {_claims_sql()}, pe AS (SELECT lower(translate(regexp_replace(s_name, '[#_]', '', 'g'), '0123456789', 'abcdefghij')) AS n, count(*) AS k FROM supplier GROUP BY 1),
-    bi AS (SELECT lower(translate(regexp_replace(p_name, '[#_]', '', 'g'), '0123456789', 'abcdefghij')) AS n, count(*) AS k FROM part GROUP BY 1)
-    SELECT cl.id AS statement_id, claim_type, CASE WHEN pe.k = 1 AND bi.k = 1 THEN CASE WHEN claim_type = 'vote_cast' AND time_phrase IS NULL THEN 'insufficient_time_scope' ELSE 'checkable' END ELSE 'insufficient_entity_resolution' END AS checkability
-    FROM cl LEFT JOIN pe ON pe.n = lower(speaker) LEFT JOIN bi ON bi.n = lower(bill)"""
+    f"""WITH {CHECKED} SELECT statement_id, claim_type, checkability, status, overall, n::BIGINT AS n_evidence, least(n, 5)::INT AS n_top,
+    CASE WHEN checkability <> 'checkable' THEN checkability = 'insufficient_entity_resolution' WHEN n = 0 THEN true ELSE overall < 0.62 OR status = 'mixed' END AS needs_human_review FROM bundle"""
 )
 def statement_check(t: demo.Tables) -> DataFrame:
+    """Statements -> claims -> resolved ids -> facts -> ranking -> verdicts with their top evidence, compared as a whole."""
     b = verify.verify(t.sentences(), sentence_kb(t), F.to_date(F.lit("2024-06-01")))
-    return b.select("statement_id", "claim_type", "checkability")
+    return b.select("statement_id", "claim_type", "checkability", "status", F.col("confidence.overall").alias("overall"), "n_evidence", F.size("top_evidence").alias("n_top"), "needs_human_review")
 
 
-@query()
+RELATION_OF = """CASE status WHEN 'supported' THEN 'supported_by' WHEN 'contradicted' THEN 'contradicted_by' WHEN 'mixed' THEN 'overstates' WHEN 'insufficient_evidence' THEN 'not_checkable_against_record'
+    ELSE CASE checkability WHEN 'insufficient_entity_resolution' THEN 'entity_ambiguous' WHEN 'insufficient_time_scope' THEN 'time_scope_mismatch' ELSE 'not_checkable_against_record' END END"""
+
+
+@query(
+    f"""WITH {CHECKED} SELECT sen.id AS declaration_id, CASE WHEN claim_type IS NULL THEN 'unknown' ELSE 'formal_action' END AS claim_family, CASE WHEN claim_type IS NULL THEN 'not_checkable' WHEN checkability = 'checkable' THEN 'checkable_formal_action' ELSE checkability END AS checkability,
+    CASE WHEN claim_type IS NULL THEN 'not_checkable_against_record' ELSE {RELATION_OF} END AS overall_relation FROM sen LEFT JOIN bundle ON statement_id = sen.id"""
+)
 def declaration_attribution(t: demo.Tables) -> DataFrame:
     u = t.sentences().withColumnRenamed("statement_id", "declaration_id")
     d, _, _ = verify.verify_declarations(u, sentence_kb(t), F.to_date(F.lit("2024-06-01")))

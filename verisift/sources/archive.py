@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import uuid5
@@ -85,12 +85,27 @@ def write_statements(statements: DataFrame, claims: DataFrame, existing_statemen
     return new, rows.join(existing_claims.select("statement_id", "claim_id"), ["statement_id", "claim_id"], "left_anti")
 
 
-def run_record(stats: DataFrame, family: str, adapter: str, started, finished, failed: bool = False) -> DataFrame:
-    """stats: one row of counters -> the finished run's row (counters merged into a map)."""
-    counters = F.create_map(*[x for c in stats.columns for x in (F.lit(c), F.col(c).cast("string"))])
-    return stats.select(
-        F.lit(str(uuid.uuid5(uuid.NAMESPACE_URL, f"{family}/{adapter}/{started}"))).alias("run_id"), F.lit(family).alias("source_family"), F.lit(adapter).alias("adapter"),
-        F.lit(started).cast("timestamp").alias("started_at"), F.lit(finished).cast("timestamp").alias("finished_at"), F.lit("failed" if failed else "succeeded").alias("status"), counters.alias("stats"),
+def run_id(family: str, adapter: str, started) -> str:
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{family}/{adapter}/{started}"))
+
+
+def run_started(spark: SparkSession, family: str, adapter: str, started) -> DataFrame:
+    """The row of a run that has begun."""
+    row = (run_id(family, adapter, started), family, adapter, str(started))
+    df = spark.createDataFrame([row], "run_id string, source_family string, adapter string, started_at string")
+    return df.select("run_id", "source_family", "adapter", F.col("started_at").cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit("running").alias("status"), F.create_map().cast("map<string,string>").alias("stats"))
+
+
+def run_finished(runs: DataFrame, ident: str, stats: DataFrame, finished, failed: bool = False) -> DataFrame:
+    """The table of runs with one run ended. stats (stat, value) are merged into its counters, a new value over an old one;
+    a run that has ended already keeps its end."""
+    new = F.map_from_entries(F.collect_list(F.struct(F.col("stat"), F.col("value").cast("string"))))
+    open_ = (F.col("run_id") == ident) & (F.col("status") == "running")
+    merged = lambda s: F.map_concat(F.map_filter("stats", lambda k, v: ~F.map_contains_key(s, k)), s)
+    counters = stats.agg(new.alias("_s")).select(F.lit(ident).alias("run_id"), "_s")
+    return runs.join(F.broadcast(counters), "run_id", "left").select(
+        "run_id", "source_family", "adapter", "started_at", F.when(open_, F.lit(finished).cast("timestamp")).otherwise(F.col("finished_at")).alias("finished_at"),
+        F.when(open_, "failed" if failed else "succeeded").otherwise(F.col("status")).alias("status"), F.when(open_, merged(F.col("_s"))).otherwise(F.col("stats")).alias("stats"),
     )
 
 

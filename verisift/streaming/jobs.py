@@ -11,62 +11,100 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators import metrics
 from ..operators.review import AFTER, FINAL
-from ..operators.upsert import upsert
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions of a table (one folder each)."""
+def use_rocksdb(spark: SparkSession) -> None:
+    """State on disk: it may be larger than memory, and state of arbitrary shape needs it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def versions(spark: SparkSession, path: str, prefix: str = "v") -> list[int]:
+    """Numbers of the complete folders of a table, one for each batch."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v") and fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")))
+    return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if s.getPath().getName().startswith(prefix) and fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")))
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version of a table that each batch writes anew (reports)."""
     v = versions(spark, path)
     return spark.read.parquet(f"{path}/v{v[-1]}") if v else None
 
 
-def write_version(df: DataFrame, path: str, batch: int) -> None:
+def appended(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a table to which each batch adds a folder."""
+    return spark.read.parquet(*[f"{path}/v{v}" for v in versions(spark, path)])
+
+
+def write_version(df: DataFrame, path: str, batch: int, prefix: str = "v") -> None:
     """A batch's result is a folder named after it, so a replayed batch overwrites itself."""
-    df.write.mode("overwrite").parquet(f"{path}/v{batch}")
+    df.write.mode("overwrite").parquet(f"{path}/{prefix}{batch}")
 
 
-def before(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    """The table as it was before a batch."""
-    v = [x for x in versions(spark, path) if x < batch]
-    return spark.read.parquet(f"{path}/v{v[-1]}") if v else None
+def latest(rows: DataFrame, key: str, best_tier: str = "source_tier") -> DataFrame:
+    """One row a key: of each column the value with the highest sequence (its own column ``_s_..``), the best tier."""
+    columns = [c for c in rows.columns if c != key and not c.startswith("_s_")]
+    return rows.groupBy(key).agg(
+        *[F.min(c).alias(c) if c == best_tier else F.max_by(c, f"_s_{c}").alias(c) for c in columns], *[F.max(f"_s_{c}").alias(f"_s_{c}") for c in columns]
+    )
+
+
+def changes(records: DataFrame, key: str, seq: str) -> DataFrame:
+    """A batch's records, folded; a null changes nothing."""
+    columns = [c for c in records.columns if c not in (key, seq)]
+    return latest(records.withColumns({f"_s_{c}": F.when(F.col(c).isNotNull(), F.col(seq)) for c in columns}).drop(seq), key)
 
 
-def ingest_stream(spark: SparkSession, landing: str, schema, parse: Callable[[DataFrame], DataFrame], key: str, table_path: str, checkpoint: str, file_format: str = "json", seq: str = "seq") -> StreamingQuery:
-    """New landed files -> parsed records -> keyed upsert. Replaying a batch gives the same table."""
-    pages = spark.readStream.schema(schema).format(file_format).load(landing)
+def table_state(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame | None:
+    known = lambda prefix: [v for v in versions(spark, path, prefix) if before is None or v < before]
+    bases = known("b")
+    base = bases[-1] if bases else -1
+    parts = [f"{path}/b{base}"] * bool(bases) + [f"{path}/d{v}" for v in known("d") if v > base]
+    return latest(spark.read.parquet(*parts), key) if parts else None
+
+
+def current_table(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame | None:
+    """A keyed table as of all its batches (or those before one): the last compacted state and the changes since, folded.
+
+    The sequence decides, whatever the order in which the batches brought the records.
+    """
+    state = table_state(spark, path, key, before)
+    return None if state is None else state.select(*[c for c in state.columns if not c.startswith("_s_")])
+
+
+def ingest_stream(
+    spark: SparkSession, landing: str, schema, parse: Callable[[DataFrame], DataFrame], key: str, table_path: str, checkpoint: str, file_format: str = "json", seq: str = "seq", compact_every: int = 16, files_each: int | None = None
+) -> StreamingQuery:
+    """New landed files -> parsed records -> keyed upsert. Replaying a batch gives the same table.
+
+    A batch writes only its own changes, one row a key; ``current_table`` folds them over the last compacted state. Every
+    ``compact_every`` batches the state is written anew, so work and storage follow the changes, not batches times table.
+    """
+    reader = spark.readStream.schema(schema).format(file_format)
+    pages = (reader if files_each is None else reader.option("maxFilesPerTrigger", files_each)).load(landing)
 
     def apply(batch: DataFrame, number: int) -> None:
-        records = parse(batch)
-        old = before(batch.sparkSession, table_path, number)
-        empty = records.drop(seq).limit(0)
-        write_version(upsert(empty if old is None else old, records, key, seq), table_path, number)
+        write_version(changes(parse(batch), key, seq), table_path, number, "d")
+        if (number + 1) % compact_every == 0:
+            write_version(table_state(batch.sparkSession, table_path, key, number + 1), table_path, number, "b")
 
     return pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def dedup_stream(stream: DataFrame, content: str, archive_path: str, checkpoint: str) -> StreamingQuery:
-    """Rows whose content hash the archive does not have yet are appended to it once (exact, against the archive itself)."""
+def dedup_stream(stream: DataFrame, content: str, archive_path: str, checkpoint: str, held: DataFrame | None = None) -> StreamingQuery:
+    """Rows whose content no earlier batch brought are appended once. The hashes seen are the stream's state, so a batch
+    reads nothing of what was written before; held (content_sha256) are contents the archive has from elsewhere."""
+    rows = stream.withColumn("content_sha256", F.sha2(F.col(content).cast("binary"), 256)).dropDuplicates(["content_sha256"])
 
     def apply(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("content_sha256", F.sha2(F.col(content).cast("binary"), 256)).dropDuplicates(["content_sha256"])
-        seen = [x for x in versions(batch.sparkSession, archive_path) if x < number]
-        if seen:
-            old = batch.sparkSession.read.parquet(*[f"{archive_path}/v{x}" for x in seen]).select("content_sha256")
-            rows = rows.join(old, "content_sha256", "left_anti")
-        write_version(rows, archive_path, number)
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        write_version(batch if held is None else batch.join(held.select("content_sha256"), "content_sha256", "left_anti"), archive_path, number)
+
+    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dedup_bounded(stream: DataFrame, content: str, at: str, delay: str) -> DataFrame:
