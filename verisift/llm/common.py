@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.materialise import checkpointed, shared_folder  # noqa: F401
+
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 _M1 = U64(0xBF58476D1CE4E5B9)
@@ -35,18 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Materialise a small intermediate table in the shared folder (``spark.checkpoint.dir``).
-
-    The folder is the session's own; only where it is unset (tests on one machine) one is chosen here.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or fallback_dir or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def own_names(df: DataFrame, *wanted: str) -> dict[str, str]:
     """For helper columns: names that no input column has (case-blind, as Spark resolves them)."""
     taken = {c.lower() for c in df.columns}
@@ -144,9 +134,8 @@ def arrow_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for a written table, below the shared folder the session names (else a folder for tests)."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder as Parquet and read again: smaller than a checkpoint, which holds plain rows."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, fingerprints, html_extract, mixing, ngram_join, pii, sharding, token_counts, toxicity, warc
-from .common import checkpointed, shared_dir, table
+from .common import shared_folder, table, written
 
 SHARDS = 24
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,14 +35,14 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pages = shared_dir(spark, "warc"), table(spark, sf_dir, "pages")
+    path, pages = shared_folder(spark, "warc"), table(spark, sf_dir, "pages")
     warc.write_archives(pages, path)
-    placed = checkpointed(warc.scan_heads(spark, path))
+    placed = written(warc.scan_heads(spark, path), "placed")
     warc.write_index(placed, path, placed.count())
     # the record of every page, by its URL's key through the index
-    found = checkpointed(warc.look_up(pages.select(warc.url_key(warc.stored_url(F.col("url"))).alias("key")), path))
+    found = written(warc.look_up(pages.select(warc.url_key(warc.stored_url(F.col("url"))).alias("key")), path).drop("key"), "found")
     got = warc.read_records(found, path)
-    got = checkpointed(got.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest")))
+    got = written(got.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest")), "read")
     # a revisit's payload is that of the response with its digest
     full = got.where("record_type = 'response'").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("payload_bytes").alias("b"), F.max("payload_digest").alias("p"))
     both = got.drop("payload_bytes", "payload_digest").join(full, "digest", "left").where(F.assert_true(F.coalesce(F.col("n"), F.lit(0)) == 1, "a digest without one response").isNull())
