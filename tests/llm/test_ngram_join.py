@@ -1,8 +1,10 @@
+import collections
 import random
 import re
 
 import pytest
 from docs import corpus, table
+from pyspark.sql import functions as F
 
 from verisift.llm import ngram_join
 from verisift.llm.components import components
@@ -76,7 +78,17 @@ def test_edges(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(d).collect()), key=str)
     assert got == sorted([(None, 2, 5), (5, 2, 5), (None, 1, None), (7, 0, 7), (8, 0, 8), (8, 0, 8)], key=str)
     kept = ngram_join.keep_one(table(spark, rows))
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 5), (False, 7), (False, 8), (True, 0), (True, 0)]
+    # 5 stays for its group with the row without an id; the other row without one is alone; 7 and both rows of 8 have no words
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 5), (False, 7), (False, 8), (False, 8), (True, 0)]
+
+
+def test_keep_one_decides_by_row(spark):
+    """Two texts under one id; copies under one id; copies without an id; rows without words."""
+    t = lambda seed: " ".join(f"w{(seed * 7919 + k * 31) % 997}" for k in range(40))
+    rows = [(1, t(1)), (1, t(2)), (2, t(2)), (3, t(3)), (3, t(3)), (None, t(4)), (None, t(4)), (None, t(3)), (9, " "), (9, " "), (None, None)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("o", F.lit(1)))
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == collections.Counter([(1, t(1)), (1, t(2)), (3, t(3)), (None, t(4)), (9, " "), (9, " "), (None, None)]) and kept.columns == ["doc_id", "text", "o"]
 
 
 def test_components(spark):

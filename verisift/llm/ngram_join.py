@@ -459,8 +459,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near copies stays: the one with the least id. Rows without an id stay as they are."""
-    marks = near_duplicates(df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")), "i", "t")
-    stay = marks.where("i = component_id").select(F.col("i").alias("_stay")).distinct()
-    kept = df.join(stay, F.col(f"`{id_col}`") == F.col("_stay")).drop("_stay").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(f"`{id_col}`").isNull()))
+    """One row of each group of near copies stays: the one with the least id (rows without an id come last), of several
+    texts under that id the one with the least hash. Rows without words link with nothing and all stay."""
+    names = own_names(df, "key")
+    ident, text, key = F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), names["key"]
+    wordless = ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    place = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.xxhash64(text).alias("hash"))
+    marks = near_duplicates(df.where(~wordless).select(place.alias("o"), text.alias("t")), "o", "t")
+    name = lambda o: F.concat_ws("\x01", o["none"].cast("string"), F.coalesce(o["id"].cast("string"), F.lit("")), o["hash"].cast("string"))
+    stay = marks.where(F.col("o").eqNullSafe(F.col("component_id"))).select(name(F.col("o")).alias(key)).distinct()
+    kept = df.where(~wordless).withColumn(key, name(place)).join(stay, key).dropDuplicates([key]).drop(key)
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(df.where(wordless))
