@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialise import checkpointed
+from ..plans.materialise import checkpointed, shared_folder
 from ..plans.schemas import EVIDENCE
 from .retrieve import evidence, top_k
 
@@ -133,19 +135,109 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "
     return out
 
 
-def knn_hashed(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vec: str = "embedding", tables: int = 8, width: float = 0.7) -> DataFrame:
-    """Approximate cosine neighbours: random-projection buckets on normalised vectors, then exact scores of bucket mates.
+#: The index is fitted on at most so many rows, and so many numbers, of a sample by hash.
+SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 8_000_000
 
-    Candidates k' = max(4k, 100) a query are rescored.
+
+@dataclass(frozen=True)
+class Lists:
+    """Unit centres; a vector belongs to the list of the centre it is nearest to."""
+
+    centres: np.ndarray
+    probes: int  # lists a query looks into
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.centres.T).argmax(axis=1)
+
+    def near(self, x: np.ndarray) -> np.ndarray:
+        """For each query, which lists it looks into."""
+        out = np.zeros((len(x), len(self.centres)), bool)
+        best = np.argpartition(-(x @ self.centres.T), self.probes - 1, axis=1)[:, : self.probes]
+        out[np.arange(len(x))[:, None], best] = True
+        return out
+
+
+def unit(vectors: list | pd.Series) -> np.ndarray:
+    if not len(vectors):
+        return np.zeros((0, 0), np.float32)
+    x = np.array([np.asarray(v, np.float32) for v in vectors], np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def fit_lists(vectors: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", recall: float = 0.97, seed: int = 1) -> Lists:
+    """Centres by spherical k-means over a bounded sample, and as many probes as the sample's own neighbours need for the recall."""
+    first = vectors.select(F.size(vec).alias("d")).where("d > 0").first()
+    if first is None:
+        return Lists(np.ones((1, 1), np.float32), 1)
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // first.d))
+    got = vectors.select(key, vec).where(norm(F.col(vec)) > 0).orderBy(F.xxhash64(key), key).limit(most).collect()
+    x, rng = unit([r[vec] for r in got]), np.random.default_rng(seed)
+    if not len(x):
+        return Lists(np.ones((1, first.d), np.float32), 1)
+    centres = x[rng.permutation(len(x))[: max(1, math.ceil(math.sqrt(len(x))))]].copy()
+    for _ in range(8):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        full = np.bincount(own, minlength=len(centres)) > 0
+        centres[full] = sums[full] / np.maximum(np.linalg.norm(sums[full], axis=1, keepdims=True), 1e-30)
+    # where the true neighbours of some sample rows lie in their order of lists
+    asked = x[:: max(1, len(x) // 300)]
+    scores = asked @ x.T
+    near = np.argpartition(-scores, min(k, len(x) - 1), axis=1)[:, : k + 1]
+    own, order = (x @ centres.T).argmax(axis=1), np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
+    ranks = np.sort(np.take_along_axis(order, own[near], axis=1).ravel())
+    return Lists(centres, int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]) + 1)
+
+
+def index_vectors(vectors: DataFrame, lists: Lists, path: str, vec: str = "embedding") -> DataFrame:
+    """Every row with its list, written by list, so that a search reads only the lists it looks into."""
+    shipped = vectors.sparkSession.sparkContext.broadcast(lists)
+
+    @F.pandas_udf("int")
+    def own(v: pd.Series) -> pd.Series:
+        return pd.Series(shipped.value.of(unit(v)).astype("int32"))
+
+    rows = vectors.where(norm(F.col(vec)) > 0).withColumn("list", own(F.col(vec)))
+    rows.write.partitionBy("list").parquet(path)
+    return vectors.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def knn_hashed(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vec: str = "embedding", most_queries: int = 10_000, recall: float = 0.97) -> DataFrame:
+    """Approximate cosine neighbours: vectors are hashed to the nearest of a sample's centres, a query looks into the
+    lists of its nearest centres, and what lies there is scored exactly.
+
+    All rows are indexed. The queries are a stated set, shipped in blocks of a checked size to the lists, which stay where
+    they are, so a list that holds a third of the rows is read in as many tasks as it has parts.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    unit = Normalizer(inputCol="v", outputCol="u", p=2.0)
-    a = unit.transform(queries.select(F.col(query_key), F.col(vec).alias("_q"), array_to_vector(vec).alias("v"))).drop("v")
-    b = unit.transform(vectors.select(F.col(key), F.col(vec).alias("_x"), array_to_vector(vec).alias("v"))).drop("v")
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=width, numHashTables=tables, seed=1).fit(b)
-    near = model.approxSimilarityJoin(a, b, 2.0, "distance").select(F.col(f"datasetA.{query_key}").alias(query_key), F.col(f"datasetB.{key}").alias(key), "distance", F.col("datasetA._q").alias("_q"), F.col("datasetB._x").alias("_x"))
-    near = top_k(near.where(F.col(key) != F.col(query_key)), [query_key], [F.col("distance"), F.col(key)], max(4 * k, 100))
-    scored = near.select(query_key, key, (dot(F.col("_q"), F.col("_x")) / (norm(F.col("_q")) * norm(F.col("_x")))).alias("score"))
-    return top_k(scored, [query_key], [F.col("score").desc(), F.col(key)], k, rank="rank")
+    lists = fit_lists(vectors, k, key, vec, recall)
+    table = index_vectors(vectors.select(key, vec), lists, shared_folder(vectors.sparkSession, "lists"), vec)
+    n = queries.count()
+    passes, out = max(1, math.ceil(n / most_queries)), None
+    types = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
+    for i in range(passes):
+        part = (queries if passes == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == i)).where(norm(F.col(vec)) > 0).select(query_key, vec).collect()
+        q = unit([r[vec] for r in part])
+        fits = len(part) and q.shape[1] == lists.centres.shape[1]  # not so for an empty table
+        looks = lists.near(q) if fits else np.zeros((len(part), len(lists.centres)), bool)
+        shipped = vectors.sparkSession.sparkContext.broadcast(([r[query_key] for r in part], q, looks))
+
+        def compare(frames: Iterator[pd.DataFrame], shipped: Broadcast = shipped) -> Iterator[pd.DataFrame]:
+            ids, q, looks = shipped.value
+            for frame in frames:
+                for number, rows in frame.groupby("list"):
+                    asked = np.flatnonzero(looks[:, int(number)])
+                    if not len(asked):
+                        continue
+                    own = rows[key].to_numpy()
+                    s = q[asked].astype(np.float64) @ unit(rows[vec]).astype(np.float64).T
+                    s[np.equal.outer(np.array([ids[a] for a in asked], dtype=object), own.astype(object))] = -np.inf  # not its own neighbour
+                    best = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]  # more cannot be among the k nearest
+                    out = [(ids[a], own[j], float(s[r, j])) for r, a in enumerate(asked) for j in best[r] if np.isfinite(s[r, j])]
+                    yield pd.DataFrame({c: pd.Series([x[m] for x in out], dtype=object) for m, c in enumerate((query_key, key, "score"))})
+
+        used = [int(x) for x in np.flatnonzero(looks.any(axis=0))]
+        got = table.where(F.col("list").isin(used)).mapInPandas(compare, types) if used else vectors.sparkSession.createDataFrame([], types)
+        got = top_k(got, [query_key], [F.col("score").desc(), F.col(key)], k, rank="rank")
+        out = got if out is None else out.unionByName(got)
+    return out
