@@ -163,11 +163,9 @@ def extract(statements: DataFrame, reference_date: Column | None = None, answers
     picked = s.withColumn("_m", F.when(F.length("text") > 0, without_overlaps(all_matches(F.col("text"), F.col("language")))).otherwise(F.array().cast(MATCH)))
     rows = picked.select("statement_id", "text", "language", F.posexplode("_m").alias("position", "m"))
     kinds = F.array(*[F.lit(r.claim_type) for r in RULES])
-    slots = slot_columns()
-    rows = rows.select(
-        "statement_id", "text", "language", "position", F.element_at(kinds, F.col("m.rule") + 1).alias("claim_type"), F.col("m.rule").alias("rule"), F.col("m.start").alias("span_start"), F.col("m.end").alias("span_end"),
-        *[c.alias(k) for k, c in slots.items()], caught("time").alias("time_phrase"),
-    )
+    # the slots become columns by a generator, so what reads them (slot check, keys) does not compute them again
+    made = F.struct(F.element_at(kinds, F.col("m.rule") + 1).alias("claim_type"), F.col("m.rule").alias("rule"), F.col("m.start").alias("span_start"), F.col("m.end").alias("span_end"), *[c.alias(k) for k, c in slot_columns().items()], caught("time").alias("time_phrase"))
+    rows = rows.select("statement_id", "text", "language", "position", F.inline(F.array(made)))
     rows = rows.withColumn("violations", violations(F.col("claim_type"), {k: F.col(k) for k in SLOTS}))
     ident = F.concat_ws(":", F.col("statement_id").cast("string"), F.col("span_start").cast("string"), F.col("span_end").cast("string"), F.col("rule").cast("string"))
     rows = rows.withColumns({"claim_id": entity_key("claim", ident), "raw_text": F.col("text"), "normalized_text": F.trim(F.substring("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))), "method": F.lit("rules")})
