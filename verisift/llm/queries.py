@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, html_extract, mixing, ngram_join, pii, sharding, token_counts, toxicity, warc
+from . import conversation_trie, decontamination, fingerprints, html_extract, mixing, ngram_join, pii, sharding, token_counts, toxicity, warc
 from .common import shared_folder, table, written
 
 SHARDS = 24
@@ -85,6 +85,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv")
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), lender=c - c % 5, lent=F.crc32(c.cast("string").cast("binary")) % 9)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_sharding, op2_decontamination, op3_html_extraction, op4_warc, op5_toxicity, op6_mixing, op7_fingerprints, op8_pii_surrogates, op9_token_counts, op10_ngram_join, pipeline]
+    ops = [op1_sharding, op2_decontamination, op3_html_extraction, op4_warc, op5_toxicity, op6_mixing, op7_fingerprints, op8_pii_surrogates, op9_token_counts, op10_ngram_join, op13_conversation_trie, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -153,5 +158,25 @@ FROM d LEFT JOIN n ON n.r = d.r
 """
 
 
+# crc32 of a decimal, bit by bit: DuckDB has no such function
+CRC32 = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({x}::VARCHAR, ''), lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+OP13 = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY i) AS turns FROM t GROUP BY c),
+h AS (SELECT c, turns, {CRC32.format(x="c")} % 9 AS h FROM g),
+r AS (SELECT h.c, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN g b ON b.c = h.c - h.c % 5),
+m AS (SELECT c, d, turns[1:d] AS path, d = len(turns) AS ends, CASE WHEN d > 0 THEN strlen(turns[d].text) ELSE 0 END AS bytes FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY path, d),
+k AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS saved FROM n LEFT JOIN k USING (path, d)),
+u AS (SELECT path[1:a] AS path, a AS d, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved FROM (SELECT path, n_children, saved, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN u USING (path, d) LEFT JOIN n p ON f.d > 0 AND p.d = f.d - 1 AND p.path = f.path[1:f.d - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op4_warc": OP4, "op6_mixing": OP6, "op10_ngram_join": OP10}
+    return {"op2_decontamination": OP2, "op4_warc": OP4, "op6_mixing": OP6, "op10_ngram_join": OP10, "op13_conversation_trie": OP13}
