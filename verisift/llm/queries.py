@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, decontamination, fingerprints, html_extract, mixing, ngram_join, pii, sharding, token_counts, toxicity, warc
+from . import conversation_trie, decontamination, fingerprints, hard_negatives, html_extract, mixing, ngram_join, pii, quality_outliers, sharding, token_counts, toxicity, warc
 from .common import shared_folder, table, written
 
 SHARDS = 24
@@ -85,6 +85,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_outliers.quality(table(spark, sf_dir, "documents")).drop("distance")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=vec_id % 50 == 0, label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("conv")
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), lender=c - c % 5, lent=F.crc32(c.cast("string").cast("binary")) % 9)
@@ -97,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_sharding, op2_decontamination, op3_html_extraction, op4_warc, op5_toxicity, op6_mixing, op7_fingerprints, op8_pii_surrogates, op9_token_counts, op10_ngram_join, op13_conversation_trie, pipeline]
+    ops = [op1_sharding, op2_decontamination, op3_html_extraction, op4_warc, op5_toxicity, op6_mixing, op7_fingerprints, op8_pii_surrogates, op9_token_counts, op10_ngram_join, op11_quality_rules, op12_hard_negatives, op13_conversation_trie, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -158,6 +167,16 @@ FROM d LEFT JOIN n ON n.r = d.r
 """
 
 
+OP12 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT ar, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) AS slot FROM s WHERE same QUALIFY slot <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.ar, slot ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.ar = p.ar AND NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 # crc32 of a decimal, bit by bit: DuckDB has no such function
 CRC32 = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({x}::VARCHAR, ''), lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
     lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
@@ -179,4 +198,4 @@ FROM f JOIN u USING (path, d) LEFT JOIN n p ON f.d > 0 AND p.d = f.d - 1 AND p.p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op4_warc": OP4, "op6_mixing": OP6, "op10_ngram_join": OP10, "op13_conversation_trie": OP13}
+    return {"op2_decontamination": OP2, "op4_warc": OP4, "op6_mixing": OP6, "op10_ngram_join": OP10, "op12_hard_negatives": OP12, "op13_conversation_trie": OP13}
