@@ -131,15 +131,19 @@ def factored(scatter: DataFrame) -> DataFrame:
 
 
 LINE = [*(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS), "size"]
-SUMS = [F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS)]
 
 
-def estimated(sums: DataFrame) -> DataFrame:
+def sums() -> list[Column]:
+    """What a covariance needs of its vectors; whole numbers."""
+    return [F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS)]
+
+
+def estimated(summed: DataFrame) -> DataFrame:
     """Sums of whole numbers -> mean, factor and determinant of the covariance with the least spread added."""
     mean = {f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)}
     least = lambda i, j: F.lit((SPREAD[i] * SCALE) ** 2 if i == j else 0.0)
     cov = {f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + least(i, j) for i, j in PAIRS}
-    return factored(sums.withColumns(mean).withColumns(cov))
+    return factored(summed.withColumns(mean).withColumns(cov))
 
 
 def with_distance(vectors: DataFrame) -> DataFrame:
@@ -180,8 +184,8 @@ def starts(vectors: DataFrame, groups: int) -> DataFrame:
     d = d.withColumn("r", F.greatest(length, F.lit(1e-9)))
     whole = lambda c: F.round(1024 * c).cast("long")
     d = d.select("grp", *[whole(F.tanh(f"z{i}")).alias(f"t{i}") for i in range(P)], *[whole(F.col(f"z{i}") / F.col("r")).alias(f"u{i}") for i in range(P)])
-    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(f"t{i}").alias(f"a{i}") for i in range(P)], *[F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"b{i}{j}") for i, j in PAIRS], *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"e{i}{j}") for i, j in PAIRS]]
-    d = d.groupBy("grp").agg(*sums).join(middle, "grp")
+    of_scores = [F.count(F.lit(1)).alias("n"), *[F.sum(f"t{i}").alias(f"a{i}") for i in range(P)], *[F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"b{i}{j}") for i, j in PAIRS], *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"e{i}{j}") for i, j in PAIRS]]
+    d = d.groupBy("grp").agg(*of_scores).join(middle, "grp")
     cov = lambda i, j: F.col(f"b{i}{j}") / F.col("n") - F.col(f"a{i}") / F.col("n") * (F.col(f"a{j}") / F.col("n"))
     d = d.withColumns({f"v{i}": cov(i, i) + 1 for i in range(P)})
     scale = lambda i, j: F.col(f"sd{i}") * F.col(f"sd{j}")
@@ -199,9 +203,9 @@ def concentrated(vectors: DataFrame, estimates: DataFrame, groups: int) -> DataF
     """One concentration step of every group and start; ``moved`` tells whether the subset's sums changed the estimate."""
     d = with_distance(vectors.join(near(estimates, groups), "grp"))
     cut = reached(d, ["grp", "start"], SUBSET, "cut")
-    sums = d.join(near(cut, groups), ["grp", "start"]).where(bucket(F.col("d2")) <= F.col("cut")).groupBy("grp", "start").agg(*SUMS)
+    inner = d.join(near(cut, groups), ["grp", "start"]).where(bucket(F.col("d2")) <= F.col("cut")).groupBy("grp", "start").agg(*sums())
     old = estimates.select("grp", "start", F.struct(*LINE).alias("old"))
-    return estimated(sums).join(old, ["grp", "start"]).select("grp", "start", *LINE, (F.struct(*LINE) != F.col("old")).alias("moved"))
+    return estimated(inner).join(old, ["grp", "start"]).select("grp", "start", *LINE, (F.struct(*LINE) != F.col("old")).alias("moved"))
 
 
 def scaled(vectors: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
@@ -241,7 +245,7 @@ def fit(docs: DataFrame) -> tuple[DataFrame, int]:
             break
     raw = written(scaled(vectors, estimates.select("grp", *LINE), groups), "raw")
     inner = with_distance(vectors.join(near(raw, groups), "grp")).where(F.col("d2") / F.col("factor") <= chi_square(0.975))
-    last = written(estimated(inner.groupBy("grp").agg(*SUMS)).select("grp", *LINE), "reweighted")
+    last = written(estimated(inner.groupBy("grp").agg(*sums())).select("grp", *LINE), "reweighted")
     return written(sizes.join(scaled(vectors, last, groups), "grp").drop("grp"), "estimates"), groups
 
 

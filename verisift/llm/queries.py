@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import conversation_trie, decontamination, fingerprints, hard_negatives, html_extract, mixing, ngram_join, pii, quality_outliers, sharding, token_counts, toxicity, warc
 from .common import shared_folder, table, written
+from .quality_sql import OP11
 
 SHARDS = 24
 VOCABULARY = "byte_bpe_50k.json"
@@ -198,4 +199,4 @@ FROM f JOIN u USING (path, d) LEFT JOIN n p ON f.d > 0 AND p.d = f.d - 1 AND p.p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op4_warc": OP4, "op6_mixing": OP6, "op10_ngram_join": OP10, "op12_hard_negatives": OP12, "op13_conversation_trie": OP13}
+    return {"op2_decontamination": OP2, "op4_warc": OP4, "op6_mixing": OP6, "op10_ngram_join": OP10, "op11_quality_rules": OP11, "op12_hard_negatives": OP12, "op13_conversation_trie": OP13}
