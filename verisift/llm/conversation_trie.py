@@ -113,7 +113,9 @@ def _subtrees(nodes: DataFrame, members: DataFrame, height: int) -> DataFrame:
     key = [F.col("up").alias("depth"), F.col("u1").alias("k1"), F.col("u2").alias("k2")]
     # a node's least conversation passes through every ancestor, so an equality join finds those in its band
     own = nodes.select("conv", "band", "depth", "leaves", "saved").join(way, ["conv", "band"]).where("up <= depth").drop("depth")
-    own = written(own.groupBy(*key, "band").agg(F.min("conv").alias("conv"), *sums), "within")
+    own = own.groupBy(*key, "band").agg(F.min("conv").alias("conv"), *sums)
+    own.write.partitionBy("band").parquet(f"{folder}/within")  # a round reads its own band
+    own = spark.read.schema(own.schema).parquet(f"{folder}/within")
     last = own.agg(F.max("band")).first()[0]
     if not last:
         return own
