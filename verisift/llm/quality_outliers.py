@@ -5,12 +5,12 @@ Base rules reject short and repetitive texts. What passes becomes a vector of fi
 and is rejected when its robust Mahalanobis distance within its language and source is too large.
 
 MCD by deterministic starts: quantile spreads without correlation, the correlation of tanh scores, and the spatial-sign
-covariance. From each, concentration steps take the three quarters of the vectors nearest by the current estimate and
+covariance. From each, concentration steps take the half of the vectors nearest by the current estimate and
 estimate anew; after two steps the start with the least determinant goes on until nothing changes. Then one reweighting
 step, as in FAST-MCD; both scatters are scaled so that the median distance is that of the normal law, but never down.
 
 All of it is DataFrame code over whole tables, without Python on the executors. Texts are read once and never exchanged; what is
-exchanged is a few numbers a document, and a few sums for each group, start and task. A step finds the three-quarter point of
+exchanged is a few numbers a document, and a few sums for each group, start and task. A step finds the middle of
 each group's distances from counts by bucket (64 to a doubling; what shares the last bucket is in), so no group is ever
 sorted or gathered. Sums are of whole numbers, so results do not depend on partitioning. Estimates are broadcast only while
 there are at most ``FEW_GROUPS`` groups; beyond that they are joined.
@@ -37,7 +37,7 @@ from .common import own_names, shared_folder, written
 SCALE = 128  # steps of a transformed statistic
 SPREAD = (0.25, 0.05, 0.1, 0.15, 0.15)  # least standard deviation of each
 P = len(SPREAD)
-SUBSET = (3, 4)  # the share of vectors a concentration step keeps
+SUBSET = (1, 2)  # the share of vectors a concentration step keeps; what makes up less than the rest cannot move an estimate
 LEAST_ROWS = 100
 FEW_GROUPS = 100_000
 TRIAL_STEPS = 2
