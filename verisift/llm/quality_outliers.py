@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import own_names, shared_folder, written
 
 SCALE = 128  # steps of a transformed statistic
-SPREAD = (0.25, 0.05, 0.1, 0.15, 0.15)  # least standard deviation of each
+SPREAD = (0.25, 0.05, 0.1, 0.2, 0.2)  # least standard deviation of each
 P = len(SPREAD)
 SUBSET = (1, 2)  # the share of vectors a concentration step keeps; what makes up less than the rest cannot move an estimate
 LEAST_ROWS = 100
