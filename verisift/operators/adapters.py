@@ -107,7 +107,7 @@ def attendance(raw: DataFrame, lookup: DataFrame) -> tuple[DataFrame, DataFrame]
         entity_key("knesset_session", text("CommitteeSessionID")).alias("attendance_event_id"), entity_key("knesset_committee", text("CommitteeID")).alias("committee_id"),
         safe_timestamp(text("StartDate")).alias("occurred_at"), F.from_json("attended_mk_individual_ids", "array<string>").alias("_ids"),
     )
-    edges = base.select("attendance_event_id", F.explode(F.filter(F.transform("_ids", lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))).alias("mk_individual_id"))
+    edges = base.select("attendance_event_id", F.explode_outer(F.filter(F.transform("_ids", lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))).alias("mk_individual_id")).where("mk_individual_id IS NOT NULL")
     edges = edges.join(lookup, "mk_individual_id").select(entity_key("knesset_person", text("PersonID")).alias("person_id"), "attendance_event_id", F.lit("present").alias("presence"))
     return base.drop("_ids"), edges.distinct()
 

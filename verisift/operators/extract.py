@@ -161,7 +161,8 @@ def extract(statements: DataFrame, reference_date: Column | None = None, answers
     s = statements.withColumn("text", F.trim(F.translate("text", MARK, " ")))
     ref = F.current_date() if reference_date is None else reference_date
     picked = s.withColumn("_m", F.when(F.length("text") > 0, without_overlaps(all_matches(F.col("text"), F.col("language")))).otherwise(F.array().cast(MATCH)))
-    rows = picked.select("statement_id", "text", "language", F.posexplode("_m").alias("position", "m"))
+    # outer, as for a plain explode the optimizer adds a filter on the array's size, which would match all rules again
+    rows = picked.select("statement_id", "text", "language", F.posexplode_outer("_m").alias("position", "m")).where("m IS NOT NULL")
     kinds = F.array(*[F.lit(r.claim_type) for r in RULES])
     # the slots become columns by a generator, so what reads them (slot check, keys) does not compute them again
     made = F.struct(F.element_at(kinds, F.col("m.rule") + 1).alias("claim_type"), F.col("m.rule").alias("rule"), F.col("m.start").alias("span_start"), F.col("m.end").alias("span_end"), *[c.alias(k) for k, c in slot_columns().items()], caught("time").alias("time_phrase"))

@@ -49,7 +49,7 @@ def weighed(asked: DataFrame, tokens_: DataFrame, query_key: str, key: str, colu
 
 
 def asked_tokens(queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
-    return queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("token"))  # repeated query words count again
+    return queries.select(query_key, F.explode_outer(tokens(F.col(query_text))).alias("token")).where("token IS NOT NULL")  # repeated query words count again
 
 
 def bm25(queries: DataFrame, documents: DataFrame, query_key: str, query_text: str, key: str, text: str, boost: float = 1.0) -> DataFrame:

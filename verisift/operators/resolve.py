@@ -239,9 +239,9 @@ def by_substring(mentions: DataFrame, names: DataFrame) -> DataFrame:
     m = mentions.select("mention_id", "kind", text.alias("t")).where(F.length("t") > 0)
     n = names.select("kind", "entity_id", F.lower("name").alias("n")).where(F.length("n") > 0)
     q = lambda c: F.concat(grams(c, 1), grams(c, 2), grams(c, 3))
-    gram_rows = n.select("kind", "entity_id", "n", F.explode(F.array_distinct(q(F.col("n")))).alias("g"))
+    gram_rows = n.select("kind", "entity_id", "n", F.explode_outer(F.array_distinct(q(F.col("n")))).alias("g")).where("g IS NOT NULL")
     df = gram_rows.groupBy("kind", "g").agg(F.count(F.lit(1)).alias("df"))
-    asked = m.select("mention_id", "kind", "t", F.explode(grams(F.col("t"), 3)).alias("g")).join(df, ["kind", "g"], "left")
+    asked = m.select("mention_id", "kind", "t", F.explode_outer(grams(F.col("t"), 3)).alias("g")).where("g IS NOT NULL").join(df, ["kind", "g"], "left")
     rare = top_k(asked.withColumn("df", F.coalesce("df", F.lit(0))), ["mention_id"], [F.col("df"), F.col("g")], 1)
     hit = rare.where("df > 0").join(gram_rows, ["kind", "g"]).where(F.col("n").contains(F.col("t"))).groupBy("mention_id").agg(F.count_distinct("entity_id").alias("k"), F.min("entity_id").alias("entity_id"))
     return hit.where("k = 1").select("mention_id", "entity_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .materialise import spread
+
 
 class Tables:
     """Lazy reads of one data folder, and the views built on them."""
@@ -15,7 +17,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
 
     # facts -----------------------------------------------------------
     def vote_events(self) -> DataFrame:

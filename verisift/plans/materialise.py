@@ -29,6 +29,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+SPREAD_FROM, SPREAD_TO = 1 << 19, 256 << 20  # bytes
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A small table that its files give in few parts (a row group is one part): its rows are dealt to all cores.
+
+    The bounds keep the exchange small: tiny tables stay whole, and files of large ones give parts enough.
+    """
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if not SPREAD_FROM <= size <= SPREAD_TO:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    parts = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if parts >= 4 * cores else scan.repartition(2 * cores)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

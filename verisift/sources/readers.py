@@ -59,7 +59,7 @@ def extract_result_tables(pages: DataFrame, html: str = "html") -> DataFrame:
     p = pages.withColumn("_n", nums)
     total = lambda i: F.coalesce(F.try_element_at(F.col("_n"), F.lit(i)).try_cast("long"), F.lit(0))
     p = p.withColumns({"eligible_voters": total(1), "votes_cast": total(2), "valid_votes": total(4), "invalid_votes": total(5)})
-    lines = p.withColumn("_tr", F.explode(F.split(F.regexp_extract(html, BODY, 1), "<tr>"))).where(F.col("_tr").contains('scope="row"'))
+    lines = p.withColumn("_tr", F.explode_outer(F.split(F.regexp_extract(html, BODY, 1), "<tr>"))).where(F.col("_tr").contains('scope="row"'))
     lines = lines.withColumn("_td", F.regexp_extract_all("_tr", F.lit(CELL), F.lit(1))).where(F.size("_td") >= 4)
     votes = F.regexp_replace(F.regexp_extract(F.element_at("_td", -1), FLOAT_DIV, 1), ",", "").try_cast("long")
     cell = lambda i: strip_tags(F.element_at("_td", i))
