@@ -28,13 +28,13 @@ def query(sql: str | None = None) -> Callable[[Callable[[demo.Tables], DataFrame
 
 
 def queries() -> dict[str, Query]:
-    from . import queries_records  # noqa: F401  registers more
+    from . import queries_checks, queries_records  # noqa: F401  register more
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queries_records  # noqa: F401
+    from . import queries_checks, queries_records  # noqa: F401
 
     return dict(_SQL)
 

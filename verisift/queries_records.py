@@ -367,15 +367,15 @@ def unarchived(t: demo.Tables) -> DataFrame:
 # ---------------------------------------------------------------- streams, run to their end
 
 
-def batches(rows: DataFrame, name: str) -> tuple[str, T.StructType]:
+def batches(rows: DataFrame, name: str, files: int = 4) -> tuple[str, T.StructType]:
     """Rows landed as a few files, for a stream to take one at a time."""
     path = shared_folder(rows.sparkSession, name)
-    rows.repartition(4).write.parquet(path)
+    rows.repartition(files).write.parquet(path)
     return path, rows.schema
 
 
-def stream_of(rows: DataFrame, name: str) -> DataFrame:
-    path, schema = batches(rows, name)
+def stream_of(rows: DataFrame, name: str, files: int = 4) -> DataFrame:
+    path, schema = batches(rows, name, files)
     return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
