@@ -37,7 +37,7 @@ def spread(scan: DataFrame) -> DataFrame:
 
     The bounds keep the exchange small: tiny tables stay whole, and files of large ones give parts enough.
     """
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if not SPREAD_FROM <= size <= SPREAD_TO:
         return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
