@@ -95,12 +95,13 @@ class Best:
     """The k best rows for each of n searches: higher scores first, ties by id, null ids last."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.least, self.parts, self.size = k, np.full(n, np.iinfo(np.int64).min), [], 0
+        self.k, self.least, self.parts, self.fresh, self.added = k, np.full(n, np.iinfo(np.int64).min), [], 0, 0
 
     def add(self, search: np.ndarray, score: np.ndarray, ids: np.ndarray, nulls: np.ndarray) -> None:
+        """Rows are cut down once enough new ones stand, and early on, so that what is looked for soon gets narrow."""
         self.parts.append((search, score, ids, nulls))
-        self.size += len(search)
-        if self.size > BUFFER or len(self.parts) in (1, 4, 16):
+        self.fresh, self.added = self.fresh + len(search), self.added + 1
+        if self.fresh > BUFFER or self.added in (1, 4, 16):
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, ...]:
@@ -114,7 +115,7 @@ class Best:
         keep, full = place < self.k, place == self.k - 1
         self.least[search[full]] = np.maximum(self.least[search[full]], score[full])
         kept = search[keep], score[keep], ids[keep], nulls[keep]
-        self.parts, self.size = [kept], int(keep.sum())
+        self.parts, self.fresh = [kept], 0
         return kept
 
 
