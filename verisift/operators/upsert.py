@@ -15,6 +15,8 @@ from ..sources.archive import archive
 def fold_batch(batch: DataFrame, keys: list[str], seq: str, best_tier: str | None = None) -> DataFrame:
     """One row a key: the last non-null value of each column by the sequence, the best tier (map-side combined)."""
     rest = [c for c in batch.columns if c not in (*keys, seq)]
+    if not rest:
+        return batch.select(*keys).distinct()
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq)))
     return batch.groupBy(*keys).agg(*[(F.min(c) if c == best_tier else last(c)).alias(c) for c in rest])
 
@@ -22,7 +24,7 @@ def fold_batch(batch: DataFrame, keys: list[str], seq: str, best_tier: str | Non
 def upsert(current: DataFrame, batch: DataFrame, key: str, seq: str, best_tier: str | None = "source_tier", defaults: dict | None = None) -> DataFrame:
     """New keys are inserted, existing rows take each non-null new value. A tier column keeps its best (lowest) value.
 
-    defaults: column -> columns (or a literal) that fill it when it is null in the end.
+    defaults: column -> columns (or a literal) that fill it when it is null in the end, in the rows that the batch touches.
     """
     new = fold_batch(batch, [key], seq, best_tier)
     cols = list(dict.fromkeys([*current.columns, *new.columns]))
@@ -35,10 +37,11 @@ def upsert(current: DataFrame, batch: DataFrame, key: str, seq: str, best_tier:
             return old if fresh is None else fresh
         return F.least(old, fresh) if c == best_tier else F.coalesce(fresh, old)
 
-    out = both.select(*[merged(c).alias(c) for c in cols])
+    out = both.select(*[merged(c).alias(c) for c in cols], F.col(f"n_{key}").isNotNull().alias("_touched"))
     for c, fills in (defaults or {}).items():
-        out = out.withColumn(c, F.coalesce(*([F.col(c)] if c in cols else []), *[F.col(f) if f in cols else F.lit(f) for f in fills]))
-    return out
+        fill = F.when(F.col("_touched"), F.coalesce(*[F.col(f) if f in cols else F.lit(f) for f in fills]))
+        out = out.withColumn(c, F.coalesce(*([F.col(c)] if c in cols else []), fill))
+    return out.drop("_touched")
 
 
 #: What a new row's empty columns become: other columns, then the empty string. Fixed values.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .functions.keys import statement_key
 from .operators import extract, rank, resolve, upsert, verdict
-from .plans import demo, verify
+from .plans import demo, ingest, verify
 from .plans.materialise import shared_folder
 from .plans.schemas import SLOTS
 from .queries import CHECKED, query, sentence_kb
@@ -194,10 +194,10 @@ def payload_samples(t: demo.Tables) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT p_partkey AS id, p_name AS title, NULL::VARCHAR AS he, 2 AS tier FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS title, CASE WHEN p_partkey % 7 = 0 THEN p_type END AS he, (1 + p_partkey % 3)::INT AS tier FROM part WHERE p_partkey % 2 = 0),
-    u AS (SELECT id, coalesce(n.title, o.title) AS title, coalesce(n.he, o.he) AS he, least(o.tier, n.tier) AS tier FROM o FULL JOIN n USING (id)) SELECT id AS bill_id, title, coalesce(he, title, '') AS hebrew_name, tier::INT AS source_tier FROM u"""
+    u AS (SELECT id, coalesce(n.title, o.title) AS title, coalesce(n.he, o.he) AS he, least(o.tier, n.tier) AS tier, n.tier IS NOT NULL AS new FROM o FULL JOIN n USING (id)) SELECT id AS bill_id, title, CASE WHEN new THEN coalesce(he, title, '') ELSE he END AS hebrew_name, tier::INT AS source_tier FROM u"""
 )
 def upsert_defaults(t: demo.Tables) -> DataFrame:
-    """Bills upserted by last non-null value and best tier; an empty Hebrew name takes the title, or nothing."""
+    """Bills upserted by last non-null value and best tier; an empty Hebrew name of a bill that the batch brings takes the title, or nothing."""
     k = F.col("p_partkey")
     old = t.part.where(k % 3 != 0).select(k.alias("bill_id"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("hebrew_name"), F.lit(2).alias("source_tier"))
     new = t.part.where(k % 2 == 0).select(k.alias("bill_id"), F.when(k % 5 != 0, F.col("p_brand")).alias("title"), F.when(k % 7 == 0, F.col("p_type")).alias("hebrew_name"), (1 + k % 3).cast("int").alias("source_tier"), k.alias("seq"))
@@ -229,3 +229,61 @@ def stream_freshness(t: demo.Tables) -> DataFrame:
     e.select(F.col("ts").alias("timestamp")).coalesce(1).write.parquet(path)
     jobs.freshness_stream(t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path), manifests, lambda: runs, out, shared_folder(t.spark, "mark")).awaitTermination()
     return jobs.current(t.spark, out).select("family", "adapter", "age_s", "stale")
+
+
+# ---------------------------------------------------------------- full ingest
+
+
+def raw_sources(t: demo.Tables) -> dict[str, DataFrame]:
+    """Raw rows of ten sources: lines are votes and initiators, orders positions, memberships and sessions."""
+    o, k, c, date = t.orders, F.col("o_orderkey"), F.col("o_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    seq, line_seq = k.alias("seq"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("seq")
+    p, s, gov = F.col("p_partkey"), F.col("s_suppkey"), c % 40
+    ids_ = F.when(F.col("o_orderstatus") == "P", "[broken").otherwise(F.concat(F.lit('["'), demo.s("o_custkey"), F.lit('", "'), (c + 1).cast("string"), F.lit('", ""]')))
+    none = F.lit(None).cast("string")
+    return {
+        "people": t.supplier.select(F.when(s % 7 != 0, s).alias("PersonID"), F.col("s_name").alias("FirstName"), none.alias("LastName"), F.lit(True).alias("IsCurrent"), s.alias("seq")),
+        "bills": t.part.select(p.alias("BillID"), F.col("p_name").alias("Name"), F.col("p_size").alias("KnessetNum"), (p % 3).alias("StatusID"), p.alias("seq")),
+        "committees": t.nation.select(F.col("n_nationkey").alias("CommitteeID"), F.col("n_name").alias("Name"), F.col("n_nationkey").alias("seq")),
+        "initiators": t.lineitem.select(F.lit(1).alias("BillInitiatorID"), F.col("l_partkey").alias("BillID"), F.col("l_suppkey").alias("PersonID"), (F.col("l_returnflag") == "A").alias("IsInitiator"), F.col("l_linenumber").alias("Ordinal"), line_seq),
+        "votes": t.lineitem.select(demo.s("l_orderkey").alias("vote_id"), F.lpad(demo.s("l_suppkey"), 9, "0").alias("kmmbr_id"), none.alias("kmmbr_name"), (F.col("l_linenumber") % 5).cast("string").alias("vote_result"), line_seq),
+        "positions": o.select(
+            k.alias("PersonToPositionID"), c.alias("PersonID"), (k % 70).cast("int").alias("PositionID"), (c % 50).alias("FactionID"), none.alias("FactionName"), gov.alias("GovMinistryID"), F.when(gov != 0, F.concat(F.lit("ministry "), gov.cast("string"))).alias("GovMinistryName"),
+            F.col("o_orderpriority").alias("DutyDesc"), F.when(F.col("o_orderstatus") != "P", date).alias("StartDate"), F.when(F.col("o_orderstatus") == "F", date).alias("FinishDate"), seq,
+        ),
+        "memberships": o.select(demo.s("o_custkey").alias("mk_individual_id"), (k % 40).cast("string").alias("committee_id"), none.alias("committee_name"), F.when(k % 13 != 0, date).alias("start_date"), none.alias("finish_date"), F.lit("20").alias("knesset"), seq),
+        "attendance": o.select(k.alias("CommitteeSessionID"), (k % 5 + 1).alias("CommitteeID"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("StartDate"), ids_.alias("attended_mk_individual_ids"), seq),
+        "elections": t.election_rows().withColumn("seq", F.lit(1)),
+        "decisions": t.customer.select(demo.s("c_custkey").alias("id"), demo.s("c_nationkey").alias("procedure_number_str"), F.lit("הממשלה ה-37").alias("government"), F.lit("2024-01-02").alias("publish_date"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("text"), none.alias("office"), none.alias("url_id"), F.col("c_custkey").alias("seq")),
+    }
+
+
+@query(
+    """WITH pos AS (SELECT o_custkey AS p, o_custkey % 50 AS f, (o_orderkey % 70) || ':' || CASE WHEN o_custkey % 40 = 0 THEN '-' ELSE (o_custkey % 40)::VARCHAR END AS o, o_orderkey AS t, o_orderdate::DATE AS d, o_orderstatus = 'F' AS ended FROM orders WHERE o_orderstatus <> 'P' AND o_custkey <> 0 AND o_orderkey <> 0),
+    mem AS (SELECT DISTINCT o_custkey * 10 AS p, o_orderkey % 40 AS c, o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 40 <> 0 AND o_orderkey % 13 <> 0 AND o_custkey % 6 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer)),
+    ini AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS b FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey <> 0 AND l_partkey <> 0), vot AS (SELECT l_orderkey AS e, l_suppkey AS p, l_linenumber % 5 AS r, l_partkey * 100 + l_linenumber AS seq FROM lineitem WHERE l_orderkey <> 0),
+    ses AS (SELECT o_orderkey AS s, o_orderkey % 5 + 1 AS c FROM orders WHERE o_orderkey <> 0), att AS (SELECT DISTINCT s, m * 10 AS p FROM (SELECT o_orderkey AS s, unnest([o_custkey, o_custkey + 1]) AS m FROM orders WHERE o_orderkey <> 0 AND o_orderstatus <> 'P') JOIN customer ON c_custkey = m AND m % 6 <> 0),
+    ele AS (SELECT DISTINCT n_regionkey || ':L' || regexp_extract(n_name, '(\\d+)$', 1) AS e, CASE WHEN n_nationkey % 2 = 0 THEN 'f' || n_nationkey ELSE 'l' || n_regionkey || ':' || regexp_extract(n_name, '(\\d+)$', 1) END AS f FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey),
+    person AS (SELECT s_suppkey AS p, 1 AS f FROM supplier WHERE s_suppkey % 7 <> 0 UNION ALL SELECT p, 0 FROM pos UNION ALL SELECT p, 0 FROM mem UNION ALL SELECT p, 0 FROM ini UNION ALL SELECT p, 0 FROM vot UNION ALL SELECT p, 0 FROM att),
+    party AS (SELECT 'f' || f AS f, 1 AS g FROM pos WHERE f <> 0 UNION ALL SELECT f, 0 FROM ele), com AS (SELECT n_nationkey AS c, 1 AS f FROM nation WHERE n_nationkey <> 0 UNION ALL SELECT c, 0 FROM mem UNION ALL SELECT c, 0 FROM ses), bil AS (SELECT p_partkey AS b, 1 AS f FROM part WHERE p_partkey <> 0 UNION ALL SELECT b, 0 FROM ini),
+    cv AS (SELECT e, p, arg_max(r, seq) AS r FROM vot WHERE r IN (1, 2, 3) GROUP BY e, p)
+    SELECT 'person' AS label, count(DISTINCT p) AS n, count(DISTINCT p) FILTER (f = 1) AS filled FROM person UNION ALL SELECT 'party', count(DISTINCT f), count(DISTINCT f) FILTER (g = 1) FROM party UNION ALL SELECT 'office', count(DISTINCT o), count(DISTINCT o) FROM pos
+    UNION ALL SELECT 'committee', count(DISTINCT c), count(DISTINCT c) FILTER (f = 1) FROM com UNION ALL SELECT 'bill', count(DISTINCT b), count(DISTINCT b) FILTER (f = 1) FROM bil UNION ALL SELECT 'vote_event', count(DISTINCT e), 0 FROM vot UNION ALL SELECT 'attendance_event', count(DISTINCT s), count(DISTINCT s) FROM ses
+    UNION ALL SELECT 'position_term', count(DISTINCT t), count(DISTINCT t) FILTER (ended) FROM pos UNION ALL SELECT 'election_result', count(DISTINCT e), count(DISTINCT e) FROM ele UNION ALL SELECT 'government_decision', count(*), count(*) FROM customer
+    UNION ALL SELECT 'cast_vote', count(*), count(*) FILTER (r = 1) FROM cv UNION ALL SELECT 'attended', count(*), count(*) FROM att UNION ALL SELECT 'sponsored', count(*), count(*) FROM ini
+    UNION ALL SELECT 'member_of', count(DISTINCT (p, f, d)), count(DISTINCT (p, f, d)) FILTER (ended) FROM pos WHERE f <> 0 UNION ALL SELECT 'held_office', count(DISTINCT (p, o, d)), count(DISTINCT (p, o, d)) FILTER (ended) FROM pos UNION ALL SELECT 'member_of_committee', count(*), 0 FROM mem
+    UNION ALL SELECT 'has_position_term', count(DISTINCT (p, t)), count(DISTINCT (p, t)) FROM pos UNION ALL SELECT 'about_office', count(DISTINCT (t, o)), count(DISTINCT (t, o)) FROM pos UNION ALL SELECT 'for_party', count(*), count(*) FROM ele"""
+)
+def full_ingest(t: demo.Tables) -> DataFrame:
+    """All ten sources into ten entity and nine edge tables: rows of each table, and how many are filled (stubs and open ends are not)."""
+    members = readers.load_lookup(t.customer.select(demo.s("c_custkey").alias("mk_individual_id"), F.when(F.col("c_custkey") % 6 != 0, (F.col("c_custkey") * 10).cast("string")).alias("PersonID"), F.lit(1).alias("seq")), "mk_individual_id", "PersonID", F.col("seq"))
+    g = ingest.ingest(raw_sources(t), shared_folder(t.spark, "ingest"), members=members, lists=t.list_mapping())
+    filled = {
+        "person": "canonical_name", "party": "canonical_name", "office": "canonical_name", "committee": "canonical_name", "bill": "title", "vote_event": "occurred_at", "attendance_event": "occurred_at", "position_term": "valid_to", "election_result": "list_name", "government_decision": "title",
+        "attended": "presence", "sponsored": "ordinal", "member_of": "valid_to", "held_office": "valid_to", "member_of_committee": "valid_to", "has_position_term": "person_id", "about_office": "office_id", "for_party": "list_party_id",
+    }
+    out = None
+    for label, df in {**g.nodes, **g.edges}.items():
+        row = df.agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("value") == "for") if label == "cast_vote" else F.count(filled[label])).alias("filled")).select(F.lit(label).alias("label"), "n", "filled")
+        out = row if out is None else out.unionByName(row)
+    return out
