@@ -402,15 +402,12 @@ def stream_upsert(t: demo.Tables) -> DataFrame:
 @query(f"WITH {ACTIONS} SELECT a.id::VARCHAR AS task_id, arg_max(CASE WHEN fin IS NOT NULL AND seq > fin THEN NULL ELSE to_ END, seq) AS status, count(*) AS actions FROM a JOIN e USING (id) GROUP BY a.id")
 def stream_review_state(t: demo.Tables) -> DataFrame:
     """Order lines as a stream of review actions, in order; the state a task ends in, and how many actions were logged."""
-    jobs.use_rocksdb(t.spark)
     _, actions = review_tables(t)
-    out, mark = shared_folder(t.spark, "audit"), shared_folder(t.spark, "mark")
-    path = shared_folder(t.spark, "in")
-    actions.select("task_id", "action_seq", "actor", "action").coalesce(1).write.parquet(path)
-    stream = t.spark.readStream.schema("task_id string, action_seq long, actor string, action string").parquet(path)
-    q = jobs.review_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    log = t.spark.read.schema(jobs.AUDIT).parquet(out)
+    log, path = shared_folder(t.spark, "audit"), shared_folder(t.spark, "in")
+    rows = actions.select("task_id", "action_seq", "actor", "action")
+    rows.write.parquet(path)
+    jobs.review_log_stream(t.spark.readStream.schema(rows.schema).parquet(path), log, shared_folder(t.spark, "ended"), shared_folder(t.spark, "mark")).awaitTermination()
+    log = jobs.appended(t.spark, log)
     return log.groupBy("task_id").agg(F.max_by("status", F.when(F.col("applied"), F.col("action_seq"))).alias("status"), F.count(F.lit(1)).alias("actions"))
 
 
