@@ -218,3 +218,25 @@ def test_hashed_neighbours_recall(spark):
         lists = lexical.fit_lists(vectors, 10)
         assert lists.probes <= max(1, share * len(lists.centres))
     assert lexical.knn_hashed(q, clustered.limit(0), 10).count() == 0 and lexical.knn_hashed(q.limit(0), clustered, 10).count() == 0
+
+
+def test_shared_names_do_not_become_pairs(spark):
+    """1,500 mentions and 1,500 aliases of one name: the lookup makes a row an alias, not a row a pair; separators in texts keep them apart."""
+    m = spark.range(1500).select(F.concat(F.lit("m"), "id").alias("mention_id"), F.lit("p").alias("kind"), F.lit("dan").alias("hebrew_name"), F.lit(None).cast("string").alias("english_name"))
+    m = m.unionByName(spark.createDataFrame([("x", "p", "a|b", ""), ("y", "p", "a", "b|"), ("z", "p", None, "")], "mention_id string, kind string, hebrew_name string, english_name string"))
+    m, texts = resolve.with_texts(m)
+    assert texts.count() == 4
+    a = spark.range(1500).select(F.lit("p").alias("entity_kind"), F.lit("dan").alias("alias_text"), F.lit("he").alias("alias_locale"), F.col("id").cast("string").alias("canonical_entity_id"), F.lit(90).alias("confidence"))
+    c = resolve.by_alias(texts, a, F.col("hebrew_name"), "he", 3, "alias_he")
+    assert c.count() == 1500 and {(r.status, r.n_candidates) for r in resolve.decide(texts, c).collect()} == {("ambiguous", 1500), ("unresolved", 0)}
+
+
+def test_similarity_compares_equal_names_once(spark, monkeypatch):
+    e = spark.createDataFrame([("p", f"e{i:03d}", "Dana Levi" if i < 40 else "Dan Lev", None, None) for i in range(80)], "kind string, entity_id string, canonical_name string, hebrew_name string, english_name string")
+    m = spark.createDataFrame([(f"m{i}", "p", None, "dana levy") for i in range(30)], "mention_id string, kind string, hebrew_name string, english_name string")
+    seen = []
+    blocks = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: (seen.append(x), blocks(x))[1])
+    got = resolve.by_similarity(m, e).collect()
+    assert [len(x["p"]) for x in seen] == [1] and len(got) == 150
+    assert {(r.entity_id, r.score) for r in got} == {(f"e{i:03d}", 88) for i in range(5)}

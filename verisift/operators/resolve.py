@@ -226,7 +226,19 @@ def decide(mentions: DataFrame, candidates: DataFrame, tiebreaks: DataFrame | No
         pick = F.when(F.array_contains("candidate_ids", F.col("pick")), F.col("pick"))
     ident = F.when(F.col("n_ids") == 1, F.col("_one")).otherwise(F.coalesce("_clear", pick))
     status = F.when(F.col("n_ids").isNull(), "unresolved").when(ident.isNotNull(), "resolved").otherwise("ambiguous")
-    return out.select("mention_id", "kind", status.alias("status"), ident.alias("entity_id"), F.coalesce("candidate_ids", F.array().cast("array<string>")).alias("candidate_ids"), "top_score", "step")
+    return out.select("mention_id", "kind", status.alias("status"), ident.alias("entity_id"), F.coalesce("candidate_ids", F.array().cast("array<string>")).alias("candidate_ids"), "top_score", "step", F.coalesce("n_ids", F.lit(0)).alias("n_candidates"))
+
+
+def text_key(*columns: str) -> Column:
+    """One key for each combination of texts; lengths stand before them, so no two combinations read alike."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.length(c), F.lit(-1)).cast("string") for c in columns], *columns))
+
+
+def with_texts(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mentions with the key of their text, the distinct texts as mentions): equal texts of a kind are looked up once, so names that
+    many mentions and many entities share do not become all their pairs."""
+    m = mentions.withColumn("_text", text_key("kind", "hebrew_name", "english_name"))
+    return m, m.groupBy(F.col("_text").alias("mention_id")).agg(*[F.first(c).alias(c) for c in ("kind", "hebrew_name", "english_name")])
 
 
 def by_substring(mentions: DataFrame, names: DataFrame) -> DataFrame:
@@ -282,10 +294,9 @@ def resolve_claims(claims: DataFrame, entities: DataFrame, aliases: DataFrame, n
     if entities is None:
         got = m.select("claim_id", "slot", F.lit("resolved").alias("status"), F.coalesce("hebrew_name", "english_name").alias("entity_id"))
     else:  # equal texts are resolved once
-        key = F.md5(F.concat_ws("|", "kind", F.coalesce("hebrew_name", F.lit("")), F.coalesce("english_name", F.lit(""))))
-        m = m.withColumn("mention_id", key)
-        res, _ = resolve(m.select("mention_id", "kind", "hebrew_name", "english_name").distinct(), entities, aliases, names, fuzzy=fuzzy)
-        got = m.select("claim_id", "slot", "mention_id").join(res, "mention_id")
+        m, texts = with_texts(m)
+        res, _ = resolve(texts, entities, aliases, names, fuzzy=fuzzy)
+        got = m.select("claim_id", "slot", F.col("_text").alias("mention_id")).join(res, "mention_id")
     per = got.groupBy("claim_id").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", "status"))).alias("slot_statuses"), F.map_from_entries(F.collect_list(F.when(F.col("entity_id").isNotNull(), F.struct("slot", "entity_id")))).alias("resolved_ids")
     )

@@ -408,9 +408,10 @@ def resolve_contains(t: demo.Tables) -> DataFrame:
 @query(f"WITH {NAMES}, al AS (SELECT name, id FROM e WHERE id::BIGINT % 2 = 1), c AS (SELECT e.id AS m, al.id AS x FROM e JOIN al USING (name)) SELECT 'm' || e.id AS mention_id, CASE WHEN count(DISTINCT x) = 0 THEN 'unresolved' WHEN count(DISTINCT x) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(DISTINCT x) = 1 THEN min(x) END AS entity_id, count(DISTINCT x) AS candidates FROM e LEFT JOIN c ON c.m = e.id GROUP BY e.id")
 def resolve_unique(t: demo.Tables) -> DataFrame:
     aliases = name_entities(t).where("entity_id % 2 = 1").select(F.col("kind").alias("entity_kind"), F.col("canonical_name").alias("alias_text"), F.lit("he").alias("alias_locale"), F.col("entity_id").alias("canonical_entity_id"), F.lit(90).alias("confidence"))
-    m = name_mentions(t)
-    c = resolve.by_alias(m, aliases, text.normalize_hebrew(F.col("hebrew_name")), "he", 3, "alias_he")
-    return resolve.decide(m, c).select("mention_id", "status", "entity_id", F.size("candidate_ids").cast("long").alias("candidates"))
+    m, texts = resolve.with_texts(name_mentions(t))
+    c = resolve.by_alias(texts, aliases, text.normalize_hebrew(F.col("hebrew_name")), "he", 3, "alias_he")
+    found = resolve.decide(texts, c).select(F.col("mention_id").alias("_text"), "status", "entity_id", F.col("n_candidates").alias("candidates"))
+    return m.select("mention_id", "_text").join(found, "_text").drop("_text")
 
 
 @query()
