@@ -139,7 +139,8 @@ class Names:
 
 def fuzzy_scores(he: str, en: str, nhe: Names, ncn: Names, nen: Names, floor: int) -> list[tuple[int, int, str]]:
     """(number of the name, score, reason) of all names at the floor or above."""
-    (sh, common), (sc, _), (se, _) = nhe.ratios(he), ncn.ratios(en), nen.ratios(en)
+    (sh, common), (sc, _) = nhe.ratios(he), ncn.ratios(en)
+    se = sc if nen is ncn else nen.ratios(en)[0]
     exact = np.maximum(sh, np.maximum(sc, se))
     # a window has at most the common letters of the whole, and is at its best when it has no others
     short = np.minimum(nhe.length, len(he))
@@ -158,32 +159,40 @@ def by_similarity(mentions: DataFrame, entities: DataFrame, floor: int = FLOOR,
     """Every mention against every entity of its kind, at the floor or above, best five.
 
     The mentions are a stated query set: blocks of about ``block`` are shipped to the tasks, which read the entities where they lie
-    and compare a batch of names with one text at a time. A ratio of 60 leaves no common part that a join could use
+    and compare a batch of names with one text at a time. Equal texts and equal names are compared once. A ratio of 60 leaves no common part that a join could use
     (``abc`` and ``axbxc`` reach 75 without a common 2-gram), so no pair is left out.
     """
     m = mentions.select("mention_id", "kind", F.when(F.length("hebrew_name") > 0, normalize_hebrew(F.col("hebrew_name"))).otherwise("").alias("he"), F.lower(F.trim(F.coalesce("english_name", F.lit("")))).alias("en"))
-    m = checkpointed(m.where((F.length("he") > 0) | (F.length("en") > 0)))
+    m = m.where((F.length("he") > 0) | (F.length("en") > 0)).withColumn("_text", text_key("kind", "he", "en"))
+    asked_texts = checkpointed(m.groupBy(F.col("_text").alias("mention_id")).agg(*[F.first(c).alias(c) for c in ("kind", "he", "en")]))
     text = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     e = entities.select("kind", "entity_id", normalize_hebrew(F.col("hebrew_name")).alias("nhe"), text("canonical_name").alias("ncn"), text("english_name").alias("nen"))
-    n, schema = max(1, -(-m.count() // block)), T.StructType([T.StructField("mention_id", m.schema["mention_id"].dataType), T.StructField("entity_id", e.schema["entity_id"].dataType), T.StructField("reason", T.StringType()), T.StructField("score", T.IntegerType())])
+    own = ["kind", "nhe", "ncn", "nen"]  # entities of equal names score alike, so of them only the first ``top`` ids can be among the best
+    e = top_k(e, own, [F.col("entity_id")], top).groupBy(*own).agg(F.array_sort(F.collect_list("entity_id")).alias("ids"))
+    n, schema = max(1, -(-asked_texts.count() // block)), T.StructType([T.StructField("mention_id", T.StringType()), T.StructField("ids", e.schema["ids"].dataType), T.StructField("reason", T.StringType()), T.StructField("score", T.IntegerType())])
+    e = e.repartition(2 * e.sparkSession.sparkContext.defaultParallelism)  # the names are few bytes and much work
     hits = None
     for part in range(n):
         asked: dict[str, list[tuple]] = {}
-        for r in m.where(F.pmod(F.xxhash64("mention_id"), F.lit(n)) == part).collect():  # a block
+        for r in asked_texts.where(F.pmod(F.xxhash64("mention_id"), F.lit(n)) == part).collect():  # a block
             asked.setdefault(r.kind, []).append((r.mention_id, r.he, r.en))
         shipped = e.sparkSession.sparkContext.broadcast(asked)
 
         def compare(frames: Iterator[pd.DataFrame], shipped: Broadcast = shipped) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for kind, rows in frame.groupby("kind"):
-                    ids, names, out = list(rows["entity_id"]), [Names(list(rows[c].fillna(""))) for c in ("nhe", "ncn", "nen")], []
+                    ids, names, out = list(rows["ids"]), [Names(list(rows[c].fillna(""))) for c in ("nhe", "ncn", "nen")], []
+                    if names[1].names == names[2].names:
+                        names[2] = names[1]
                     for ident, he, en in shipped.value.get(kind, []):
                         out += [(ident, ids[i], reason, score) for i, score, reason in fuzzy_scores(he, en, *names, floor)]
                     if out:
                         yield pd.DataFrame({f.name: pd.Series([r[i] for r in out], dtype=object) for i, f in enumerate(schema.fields)})
 
-        found = top_k(e.mapInPandas(compare, schema), ["mention_id"], [F.col("score").desc(), F.col("entity_id")], top)
+        found = e.mapInPandas(compare, schema).select("mention_id", F.explode("ids").alias("entity_id"), "reason", "score")
+        found = top_k(found, ["mention_id"], [F.col("score").desc(), F.col("entity_id")], top)
         hits = found if hits is None else hits.unionByName(found)
+    hits = m.select("mention_id", "_text").join(hits.withColumnRenamed("mention_id", "_text"), "_text")
     return hits.select("mention_id", "entity_id", F.lit(5).alias("step"), "reason", "score")
 
 
