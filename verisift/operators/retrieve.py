@@ -84,10 +84,10 @@ def vote_cast(claims: DataFrame, kb: dict[str, DataFrame], k: int = 10) -> DataF
     c = of_type(claims, "vote_cast", "speaker_person_id", "bill_id")
     cast, events = asked_for(kb["cast_vote"], c, "person_id", "speaker_person_id"), asked_for(kb["vote_event"], c, "bill_id", "bill_id")
     votes = cast.withColumnRenamed("person_id", "speaker_person_id").join(events.select("vote_event_id", "bill_id", "occurred_at"), "vote_event_id")
-    f = c.join(votes, ["speaker_person_id", "bill_id"]).where(inside(F.col("occurred_at")))
-    f = f.join(kb["bill"].select("bill_id", "title"), "bill_id")
-    f = top_k(f, ["claim_id"], [F.col("occurred_at").desc_nulls_last(), F.col("vote_event_id")], k)
-    f = with_documents(f, kb.get("vote_documents"), "vote_event_id")
+    votes = with_documents(votes, kb.get("vote_documents"), "vote_event_id")  # where votes and events already lie by event
+    asked = c.select("claim_id", "speaker_person_id", "bill_id", "time_start", "time_end").join(kb["bill"].select("bill_id", "title"), "bill_id")
+    f = asked.join(votes, ["speaker_person_id", "bill_id"]).where(inside(F.col("occurred_at")))
+    f = top_k(f, ["claim_id"], [F.col("occurred_at").desc_nulls_last(), F.col("vote_event_id")], k)  # ranking and verdicts go on by claim
     ids = {x: F.col(x) for x in ("speaker_person_id", "vote_event_id", "bill_id")}
     return evidence(f, "vote_cast", ids, vote_value=F.col("value"), occurred_at=F.col("occurred_at"), title=F.col("title"), source_document_ids=F.col("source_document_ids"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import keys, text, timescope
 from .operators import adapters, attribution, extract, lexical, metrics, quality, rank, resolve, retrieve, review, upsert, verdict
 from .plans import demo, verify
+from .plans.materialise import kept
 from .sources import archive, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +68,7 @@ REVIEW = "CASE WHEN chk <> 'checkable' THEN chk = 'insufficient_entity_resolutio
 
 
 def ranked_votes(t: demo.Tables) -> tuple[DataFrame, DataFrame]:
-    claims = t.vote_claims()
+    claims = kept(t.vote_claims(), "claims")  # retrieval, ranking and verdicts read them
     return claims, rank.score(retrieve.vote_cast(claims, t.vote_kb()), claims)
 
 
@@ -115,7 +116,7 @@ def provenance_top5(t: demo.Tables) -> DataFrame:
 
 @query(f"WITH {VOTES} SELECT k::VARCHAR AS claim_id, count(DISTINCT doc) AS documents, CASE WHEN count(DISTINCT doc) <= 1 THEN 0.3 WHEN count(DISTINCT doc) = 2 THEN 0.7 ELSE 1.0 END::DOUBLE AS score FROM ev GROUP BY k")
 def cross_source(t: demo.Tables) -> DataFrame:
-    e = retrieve.vote_cast(t.vote_claims(), t.vote_kb())
+    e = retrieve.vote_cast(kept(t.vote_claims(), "claims"), t.vote_kb())
     docs = e.select("claim_id", F.explode("source_document_ids").alias("d")).groupBy("claim_id").agg(F.count_distinct("d").alias("documents"))
     return docs.select("claim_id", "documents", rank.cross_source(F.col("documents")).alias("score"))
 
