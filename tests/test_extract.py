@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verisift.operators import extract, resolve
+from verisift.plans import demo
 
 REF = "2023-06-01"
 
@@ -96,3 +97,27 @@ def test_unresolved_slot(spark, claims):
     assert bad.select(extract.claim_checkability(bad).alias("x")).first().x == "insufficient_entity_resolution"
     d = spark.createDataFrame([("a", x) for x in ("insufficient_time_scope", "non_checkable")] + [("b", "non_checkable")], "k string, checkability string")
     assert {r.k: r.x for r in d.groupBy("k").agg(extract.declaration_checkability().alias("x")).collect()} == {"a": "partially_checkable", "b": "not_checkable"}
+
+
+def test_valid_means_without_violations(spark):
+    rows = [(t, *[(None, "", "x")[(i * 7 + j * (i // 3 + 1)) % 3] for j in range(len(extract.SLOTS))]) for i in range(60) for t in [*extract.SLOT_TEMPLATES, "other", None]]
+    rows += [(t, *["x" if s in required else None for s in extract.SLOTS]) for t, (required, _) in extract.SLOT_TEMPLATES.items()]
+    d = spark.createDataFrame(rows, "claim_type string, " + ", ".join(f"{s} string" for s in extract.SLOTS))
+    slots = {s: F.col(s) for s in extract.SLOTS}
+    got = d.select(extract.is_valid(F.col("claim_type"), slots).alias("a"), (F.size(extract.violations(F.col("claim_type"), slots)) == 0).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and {r.a for r in got} == {True, False}
+
+
+def test_sentences_are_dealt_by_rows(spark, tmp_path):
+    """A task of the matching has a bounded number of sentences, however few bytes they are; offline resolution moves no rows."""
+    for n in ("lineitem", "supplier", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet").write.parquet(str(tmp_path / f"{n}.parquet"))
+    demo_each, demo.SENTENCES_EACH = demo.SENTENCES_EACH, 1_000
+    try:
+        s = demo.Tables(spark, str(tmp_path)).sentences()
+        assert s.rdd.getNumPartitions() == 60 and max(s.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) < 1_300
+        c, _ = extract.extract(s, F.lit("2024-06-01").cast("date"))
+        plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+        assert plan(resolve.resolve_claims(c, None, None)).count("Exchange") == plan(c).count("Exchange")
+    finally:
+        demo.SENTENCES_EACH = demo_each

@@ -148,6 +148,18 @@ def violations(claim_type: Column, slots: dict[str, Column]) -> Column:
     return bind(F.struct(F.when(claim_type.isNotNull(), F.try_element_at(template, F.coalesce(claim_type, F.lit("")))).alias("t"), is_set.alias("set")), test)
 
 
+def is_valid(claim_type: Column, slots: dict[str, Column]) -> Column:
+    """Whether ``violations`` finds none, as one plain condition: most rows ask no more than that."""
+    filled = {s: F.coalesce(slots[s].cast("string") != "", F.lit(False)) for s in SLOTS}
+    out = F.lit(False)
+    for t, (required, optional) in SLOT_TEMPLATES.items():
+        ok = F.lit(True)
+        for s in SLOTS:
+            ok = ok & filled[s] if s in required else ok if s in optional else ok & ~filled[s]
+        out = F.when(claim_type == t, ok).otherwise(out)
+    return out
+
+
 def _names(slots: list[str] | tuple[str, ...]) -> Column:
     return F.array(*[F.lit(s) for s in slots]).cast("array<string>")
 
@@ -167,15 +179,16 @@ def extract(statements: DataFrame, reference_date: Column | None = None, answers
     # the slots become columns by a generator, so what reads them (slot check, keys) does not compute them again
     made = F.struct(F.element_at(kinds, F.col("m.rule") + 1).alias("claim_type"), F.col("m.rule").alias("rule"), F.col("m.start").alias("span_start"), F.col("m.end").alias("span_end"), *[c.alias(k) for k, c in slot_columns().items()], caught("time").alias("time_phrase"))
     rows = rows.select("statement_id", "text", "language", "position", F.inline(F.array(made)))
-    rows = rows.withColumn("violations", violations(F.col("claim_type"), {k: F.col(k) for k in SLOTS}))
+    fits = is_valid(F.col("claim_type"), {k: F.col(k) for k in SLOTS})
+    rows = rows.withColumns({"violations": violations(F.col("claim_type"), {k: F.col(k) for k in SLOTS}), "_fits": fits})
     ident = F.concat_ws(":", F.col("statement_id").cast("string"), F.col("span_start").cast("string"), F.col("span_end").cast("string"), F.col("rule").cast("string"))
     rows = rows.withColumns({"claim_id": entity_key("claim", ident), "raw_text": F.col("text"), "normalized_text": F.trim(F.substring("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))), "method": F.lit("rules")})
-    valid = rows.where(F.size("violations") == 0)
+    valid = rows.where("_fits")
 
     if answers is not None:
         rest = s.join(valid.select("statement_id").distinct(), "statement_id", "left_anti").withColumn("text_key", statement_key(F.col("language"), F.col("text")))
         a = rest.join(answers, ["language", "text_key"])
-        a = a.withColumn("vote_value", vote_value(F.col("vote_value"))).withColumn("violations", violations(F.col("claim_type"), {k: F.col(k) for k in SLOTS}))
+        a = a.withColumn("vote_value", vote_value(F.col("vote_value"))).withColumns({"violations": violations(F.col("claim_type"), {k: F.col(k) for k in SLOTS}), "_fits": fits})
         ident = F.concat_ws(":", F.col("statement_id").cast("string"), F.lit("answer"), F.col("answer_seq").cast("string"))
         a = a.withColumns(
             {
@@ -184,13 +197,13 @@ def extract(statements: DataFrame, reference_date: Column | None = None, answers
             }
         )
         rows = rows.unionByName(a.select(*rows.columns))
-        valid = rows.where(F.size("violations") == 0)
+        valid = rows.where("_fits")
 
-    claims = valid.drop("violations", "text").withColumn("time_scope", normalize_time_scope(F.col("time_phrase"), ref))
+    claims = valid.drop("violations", "_fits", "text").withColumn("time_scope", normalize_time_scope(F.col("time_phrase"), ref))
     by_rule = F.col("method") == "rules"
     errors = F.when(by_rule, F.col("violations")).otherwise(F.when(F.size("violations") > 0, F.array(F.lit("answer rejected by slot check"))).otherwise(F.array().cast("array<string>")))
     per = rows.withColumn("_e", errors).groupBy("statement_id").agg(
-        F.count_if(by_rule).alias("rule_matches"), F.count_if(F.size("violations") == 0).alias("n_claims"), F.bool_or(~by_rule).alias("fallback_used"), F.array_sort(F.flatten(F.collect_list("_e"))).alias("errors")
+        F.count_if(by_rule).alias("rule_matches"), F.count_if("_fits").alias("n_claims"), F.bool_or(~by_rule).alias("fallback_used"), F.array_sort(F.flatten(F.collect_list("_e"))).alias("errors")
     )
     summary = s.select("statement_id").join(per, "statement_id", "left").select(
         "statement_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rule_matches", "n_claims")], F.coalesce("fallback_used", F.lit(False)).alias("fallback_used"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors")
@@ -203,11 +216,13 @@ def claim_checkability(claims: DataFrame) -> Column:
     kind = F.col("claim_type")
     bad = F.lit(False)
     for t, (required, _) in SLOT_TEMPLATES.items():
-        unresolved = F.exists(F.array(*[F.lit(x) for x in required]), lambda x: ~F.coalesce(F.try_element_at("slot_statuses", x), F.lit("not_applicable")).isin("resolved", "not_applicable"))
+        unresolved = F.lit(False)
+        for x in required:
+            unresolved = unresolved | ~F.coalesce(F.try_element_at("slot_statuses", F.lit(x)), F.lit("not_applicable")).isin("resolved", "not_applicable")
         bad = F.when(kind == t, unresolved).otherwise(bad)
     return (
         F.when(~kind.isin(list(SLOT_TEMPLATES)), "non_checkable")
-        .when(F.size(violations(kind, {k: F.col(k) for k in SLOTS})) > 0, "insufficient_entity_resolution")
+        .when(~is_valid(kind, {k: F.col(k) for k in SLOTS}), "insufficient_entity_resolution")
         .when(bad, "insufficient_entity_resolution")
         .when(kind.isin(TIME_REQUIRED) & (F.col("time_scope.granularity") == "unknown"), "insufficient_time_scope")
         .otherwise("checkable")

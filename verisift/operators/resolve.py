@@ -299,13 +299,12 @@ def claim_mentions(claims: DataFrame) -> DataFrame:
 
 def resolve_claims(claims: DataFrame, entities: DataFrame, aliases: DataFrame, names: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
     """Adds slot_statuses and resolved_ids (maps). Without entities (None) every present slot is resolved as it is (offline mode)."""
-    m = claim_mentions(claims)
-    if entities is None:
-        got = m.select("claim_id", "slot", F.lit("resolved").alias("status"), F.coalesce("hebrew_name", "english_name").alias("entity_id"))
-    else:  # equal texts are resolved once
-        m, texts = with_texts(m)
-        res, _ = resolve(texts, entities, aliases, names, fuzzy=fuzzy)
-        got = m.select("claim_id", "slot", F.col("_text").alias("mention_id")).join(res, "mention_id")
+    if entities is None:  # a claim's own row says it all
+        present = F.map_filter(F.create_map(*[x for s in SLOT_KINDS for x in (F.lit(s), F.col(s))]), lambda _, v: v.isNotNull())
+        return claims.withColumns({"slot_statuses": F.transform_values(present, lambda _, v: F.lit("resolved")), "resolved_ids": present})
+    m, texts = with_texts(claim_mentions(claims))  # equal texts are resolved once
+    res, _ = resolve(texts, entities, aliases, names, fuzzy=fuzzy)
+    got = m.select("claim_id", "slot", F.col("_text").alias("mention_id")).join(res, "mention_id")
     per = got.groupBy("claim_id").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", "status"))).alias("slot_statuses"), F.map_from_entries(F.collect_list(F.when(F.col("entity_id").isNotNull(), F.struct("slot", "entity_id")))).alias("resolved_ids")
     )

@@ -45,6 +45,18 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if parts >= 4 * cores else scan.repartition(2 * cores)
 
 
+def dealt(df: DataFrame, rows: int, each: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys to so many tasks that each has about ``each`` of them, for steps whose time goes by rows and not by bytes."""
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)), *keys)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A table that several branches read, written once as Parquet: they read only the columns they need."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
