@@ -367,16 +367,20 @@ def unarchived(t: demo.Tables) -> DataFrame:
 # ---------------------------------------------------------------- streams, run to their end
 
 
-def batches(rows: DataFrame, name: str, files: int = 4) -> tuple[str, T.StructType]:
-    """Rows landed as a few files, for a stream to take one at a time."""
-    path = shared_folder(rows.sparkSession, name)
-    rows.repartition(files).write.parquet(path)
-    return path, rows.schema
+#: Rows of a landed file: a batch has more files, not larger ones, as the input grows.
+ROWS_A_FILE = 20_000
 
 
-def stream_of(rows: DataFrame, name: str, files: int = 4) -> DataFrame:
-    path, schema = batches(rows, name, files)
-    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def batches(rows: DataFrame, name: str, n: int, files: int = 4) -> tuple[str, T.StructType, int]:
+    """About n rows landed for a stream to take in ``files`` batches: folder, schema and files a batch."""
+    path, each = shared_folder(rows.sparkSession, name), max(1, -(-n // (files * ROWS_A_FILE)))
+    rows.repartition(files * each).write.parquet(path)
+    return path, rows.schema, each
+
+
+def stream_of(rows: DataFrame, name: str, n: int, files: int = 4) -> DataFrame:
+    path, schema, each = batches(rows, name, n, files)
+    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 @query("SELECT DISTINCT text FROM documents WHERE text IS NOT NULL")
@@ -384,7 +388,7 @@ def stream_dedup_ingest(t: demo.Tables) -> DataFrame:
     """Documents as a stream: each content is kept once, over all micro-batches."""
     jobs.use_rocksdb(t.spark)
     out, mark = shared_folder(t.spark, "deduped"), shared_folder(t.spark, "mark")
-    jobs.dedup_stream(stream_of(t.documents.where("text IS NOT NULL").select("text"), "in"), "text", out, mark).awaitTermination()
+    jobs.dedup_stream(stream_of(t.documents.where("text IS NOT NULL").select("text"), "in", t.documents.count()), "text", out, mark).awaitTermination()
     return jobs.appended(t.spark, out).select("text")
 
 
@@ -393,9 +397,9 @@ def stream_upsert(t: demo.Tables) -> DataFrame:
     """Orders as records of persons: the last non-null value of each column, by sequence, over all micro-batches."""
     k = F.col("o_orderkey")
     rows = t.orders.select(F.col("o_custkey").alias("person_id"), F.when(k % 3 != 0, F.col("o_orderpriority")).alias("name"), F.col("o_orderstatus").alias("status"), k.alias("seq"))
-    path, schema = batches(rows, "in")
+    path, schema, each = batches(rows, "in", t.orders.count())
     table = shared_folder(t.spark, "table")
-    jobs.ingest_stream(t.spark, path, schema, lambda b: b, "person_id", table, shared_folder(t.spark, "mark"), file_format="parquet", compact_every=2, files_each=1).awaitTermination()
+    jobs.ingest_stream(t.spark, path, schema, lambda b: b, "person_id", table, shared_folder(t.spark, "mark"), file_format="parquet", compact_every=2, files_each=each).awaitTermination()
     return jobs.current_table(t.spark, table, "person_id")
 
 
@@ -416,7 +420,7 @@ def stream_windows(t: demo.Tables) -> DataFrame:
     """Events as a stream counted by day: no row is late within the delay."""
     jobs.use_rocksdb(t.spark)
     rows = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counts = jobs.watermark_counts(stream_of(rows, "in"), "ts", "1 day", "400 days", F.col("event_type"))
+    counts = jobs.watermark_counts(stream_of(rows, "in", t.events.count()), "ts", "1 day", "400 days", F.col("event_type"))
     name = f"windows_{t.spark.sparkContext.applicationId.replace('-', '_').replace('.', '_')}"
     counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_folder(t.spark, "mark")).trigger(availableNow=True).start().awaitTermination()
     return t.spark.table(name).groupBy("event_type").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("days"))
