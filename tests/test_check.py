@@ -240,3 +240,33 @@ def test_similarity_compares_equal_names_once(spark, monkeypatch):
     got = resolve.by_similarity(m, e).collect()
     assert [len(x["p"]) for x in seen] == [1] and len(got) == 150
     assert {(r.entity_id, r.score) for r in got} == {(f"e{i:03d}", 88) for i in range(5)}
+
+
+def test_exact_neighbours_with_ties(spark):
+    """Copies tie and go by id, whatever block or task they are in; vectors of another length or without direction take no part."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-3, 4, (40, 6)).astype(float)
+    rows = [(i, [float(x) for x in base[i % 40]]) for i in range(400)] + [(900, [0.0] * 6), (901, [1.0] * 5), (902, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    full, want = {i: np.array(x) for i, x in rows[:400] if any(x)}, set()
+    for i in (i for i in full if i % 50 == 0):
+        s = {j: round(float(full[i] @ full[j] / np.linalg.norm(full[i]) / np.linalg.norm(full[j])), 6) + 0.0 for j in full if j != i}
+        want |= {(i, j, s[j], r + 1) for r, j in enumerate(sorted(s, key=lambda j: (-s[j], j))[:10])}
+    before, lexical.SCORES_AT_ONCE = lexical.SCORES_AT_ONCE, 64
+    try:
+        got = lexical.knn_exact(q, v, 10, digits=6).collect()
+    finally:
+        lexical.SCORES_AT_ONCE = before
+    assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in got} == want
+    assert "zip_with" not in lexical.knn_exact(q, v.select("vec_id", "embedding"), 10)._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[0]
+
+
+def test_scores_are_summed_where_a_document_lies(spark):
+    """Besides the queries' postings nothing is shuffled by document: the pairs of query and document meet no exchange."""
+    d = spark.createDataFrame([(i, f"alpha w{i} beta") for i in range(50)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, "alpha beta gamma") for i in range(20)], "item long, q string")
+    s = lexical.bm25(q, d, "item", "q", "doc_id", "text")
+    assert s.count() == 1000
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(item" not in plan

@@ -115,22 +115,66 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vec: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """Cosine neighbours of a stated query set against all rows.
+class Best:
+    """The k best rows of each query so far: by score, then by key."""
 
-    The queries, whose number is checked against ``most_queries``, are shipped to every task in one array and scored
-    against each row; a larger set is split by hash into as many passes as it needs.
+    def __init__(self, k: int, queries: int, keys: np.ndarray):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.at, self.score, self.key = np.zeros(0, np.int64), np.zeros(0), keys[:0]
+
+    def add(self, scores: np.ndarray, keys: np.ndarray, own: np.ndarray) -> None:
+        """scores: a row a query; own: the queries' keys, as no row is its own neighbour."""
+        at, j = np.nonzero(scores >= self.least[:, None])
+        other = own[at] != keys[j]
+        at, j = at[other], j[other]
+        at, score, key = np.concatenate([self.at, at]), np.concatenate([self.score, scores[at, j]]), np.concatenate([self.key, keys[j]])
+        order = np.lexsort((key, -score, at))
+        at, score, key = at[order], score[order], key[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        self.least[at[place == self.k - 1]] = score[place == self.k - 1]
+        self.at, self.score, self.key = at[place < self.k], score[place < self.k], key[place < self.k]
+
+
+#: Scores made at once by a task.
+SCORES_AT_ONCE = 4_000_000
+
+
+def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vec: str = "embedding", most_queries: int = 10_000, digits: int = 12) -> DataFrame:
+    """Cosine neighbours of a stated query set against all rows, by score to ``digits`` places, then by key.
+
+    The queries, whose number is checked against ``most_queries``, are shipped to every task, which multiplies its rows with them
+    in blocks and keeps the k best rows a query; a larger set is split by hash into as many passes as it needs.
     """
-    n = queries.count()
-    passes = max(1, math.ceil(n / most_queries))
-    out = None
+    passes, out = max(1, math.ceil(queries.count() / most_queries)), None
+    rows = vectors.where(norm(F.col(vec)) > 0).select(key, vec)
+    types = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
     for i in range(passes):
-        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == i)
-        q = part.select(F.col(query_key), F.col(vec).alias("_q"), norm(F.col(vec)).alias("_n")).where("_n > 0")
-        block = F.broadcast(q.agg(F.collect_list(F.struct(query_key, "_q", "_n")).alias("_block")))  # one row, at most most_queries vectors
-        rows = vectors.select(key, vec, norm(F.col(vec)).alias("_m")).where("_m > 0").join(block)
-        pairs = rows.select(key, F.inline(F.transform("_block", lambda x: F.struct(x[query_key].alias(query_key), (dot(F.col(vec), x["_q"]) / (x["_n"] * F.col("_m"))).alias("score")))))
-        got = top_k(pairs.where(F.col(key) != F.col(query_key)), [query_key], [F.col("score").desc(), F.col(key)], k, rank="rank")
+        part = (queries if passes == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == i)).where(norm(F.col(vec)) > 0).select(query_key, vec).collect()
+        shipped = vectors.sparkSession.sparkContext.broadcast(([r[query_key] for r in part], [np.asarray(r[vec], np.float64) for r in part]))
+
+        def compare(frames: Iterator[pd.DataFrame], shipped: Broadcast = shipped) -> Iterator[pd.DataFrame]:
+            ids, asked = shipped.value
+            best: dict[int, tuple[np.ndarray, np.ndarray, Best]] = {}  # by the number of components
+            for frame in frames:
+                sizes = frame[vec].map(len).to_numpy()
+                for d in np.unique(sizes):
+                    mine = [n for n, v in enumerate(asked) if len(v) == d]
+                    if not mine:
+                        continue
+                    keys = frame[key].to_numpy()[sizes == d]
+                    if d not in best:
+                        q = np.array([asked[n] for n in mine])
+                        best[d] = np.array([ids[n] for n in mine], keys.dtype), q / np.linalg.norm(q, axis=1, keepdims=True), Best(k, len(mine), keys)
+                    own, q, top = best[d]
+                    x = np.array([np.asarray(v, np.float64) for v in frame[vec][sizes == d]])
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    step = max(1, SCORES_AT_ONCE // len(mine))
+                    for a in range(0, len(x), step):
+                        top.add(np.nan_to_num(np.round(q @ x[a : a + step].T, digits), nan=np.inf), keys[a : a + step], own)
+            for own, _, top in best.values():
+                yield pd.DataFrame({query_key: own[top.at], key: top.key, "score": np.where(np.isinf(top.score), np.nan, top.score)})
+
+        got = top_k(rows.mapInPandas(compare, types), [query_key], [F.col("score").desc(), F.col(key)], k, rank="rank")
         out = got if out is None else out.unionByName(got)
     return out
 

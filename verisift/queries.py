@@ -569,7 +569,7 @@ def bm25(t: demo.Tables) -> DataFrame:
 )
 def knn_exact(t: demo.Tables) -> DataFrame:
     q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return lexical.knn_exact(q, t.embeddings, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return lexical.knn_exact(q, t.embeddings, 10, digits=6).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
