@@ -25,27 +25,31 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def tokenised(documents: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, one array of tokens a field), written once: statistics and postings of all fields read it."""
-    return checkpointed(documents.select(key, *[tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)]))
+#: Query words that are broadcast to the documents; of more, the words and their documents meet by a shuffle.
+FEW_WORDS = 200_000
 
 
-def postings(tokens_: DataFrame, key: str, column: str) -> DataFrame:
-    """(token, key, tf, length)."""
-    rows = tokens_.select(key, F.size(column).alias("length"), F.explode(column).alias("token"))
-    return rows.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+def postings(documents: DataFrame, key: str, column: str, asked: DataFrame) -> DataFrame:
+    """(token, key, tf, length) of the queries' tokens alone, dealt by document, so that a document's scores are summed where it lies."""
+    rows = documents.select(key, tokens(F.col(column)).alias("_t")).select(key, F.size("_t").alias("length"), F.explode_outer("_t").alias("token"))
+    wanted = rows.where("token IS NOT NULL").join(asked.select("token").distinct(), "token", "left_semi")
+    return wanted.repartition(key).groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def weighed(asked: DataFrame, tokens_: DataFrame, query_key: str, key: str, column: str, boost: float) -> DataFrame:
+def weighed(asked: DataFrame, documents: DataFrame, query_key: str, key: str, column: str, boost: float) -> DataFrame:
     """(query, document, score) by one field. Only the queries' tokens are kept of the index."""
-    wanted = postings(tokens_, key, column).join(asked.select("token").distinct(), "token", "left_semi")
+    few = asked.limit(FEW_WORDS + 1).count() <= FEW_WORDS
+    asked = F.broadcast(asked) if few else asked
+    wanted = postings(documents, key, column, asked)
+    wanted = wanted if few else checkpointed(wanted)  # a checkpoint would not keep where the documents lie
     df = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    s = tokens_.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(column)).alias("avgdl")).first()  # two numbers
+    s = documents.select(F.size(tokens(F.col(column))).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("avgdl")).first()  # two numbers
     n, avg = float(s.n), float(s.avgdl or 1.0) or 1.0
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(avg)))
-    weights = wanted.join(df, "token").select("token", key, part.alias("w"))
-    return asked.join(weights, "token").groupBy(query_key, key).agg((F.sum("w") * boost).alias("score"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(avg)))
+    words = asked.join(df.select("token", idf.alias("idf")), "token")
+    words = F.broadcast(checkpointed(words)) if few else words
+    return wanted.join(words, "token").select(query_key, key, part.alias("w")).groupBy(query_key, key).agg((F.sum("w") * boost).alias("score"))
 
 
 def asked_tokens(queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
@@ -54,13 +58,13 @@ def asked_tokens(queries: DataFrame, query_key: str, query_text: str) -> DataFra
 
 def bm25(queries: DataFrame, documents: DataFrame, query_key: str, query_text: str, key: str, text: str, boost: float = 1.0) -> DataFrame:
     """(query, document, score) for all pairs that share a token."""
-    return weighed(asked_tokens(queries, query_key, query_text), tokenised(documents, key, [text]), query_key, key, "_t0", boost)
+    return weighed(asked_tokens(queries, query_key, query_text), documents, query_key, key, text, boost)
 
 
 def best_of(queries: DataFrame, spans: DataFrame, fields: dict[str, float], query_key: str = "query_id", query_text: str = "query", key: str = "span_id") -> DataFrame:
     """The best score over several fields, each with its own statistics and boost."""
-    asked, t = asked_tokens(queries, query_key, query_text), tokenised(spans, key, list(fields))
-    scored = [weighed(asked, t, query_key, key, f"_t{i}", boost) for i, boost in enumerate(fields.values())]
+    asked = asked_tokens(queries, query_key, query_text)
+    scored = [weighed(asked, spans, query_key, key, field, boost) for field, boost in fields.items()]
     return reduce(DataFrame.unionByName, scored).groupBy(query_key, key).agg(F.max("score").alias("score"))
 
 
