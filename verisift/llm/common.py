@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.materialise import checkpointed, shared_folder  # noqa: F401
@@ -139,3 +139,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a key filter at most (16 MB), and so many for each key below that.
+FILTER_BITS, BITS_A_KEY = 1 << 27, 16
+
+
+def may_be_among(df: DataFrame, key: Column, keys: DataFrame, n: int, name: str) -> DataFrame:
+    """Adds ``name``: false only where ``key`` is none of ``keys`` (one column, about n rows, of the key's type), or null.
+
+    A bitmap over hashes, made by Spark in words of 4 KB and broadcast; its size is bounded, so more keys make it less sharp but
+    never wrong. An exact join of the rows that are left follows it, so that the others need not be shuffled.
+    """
+    bits = min(FILTER_BITS, 1 << max(15, math.ceil(math.log2(max(n, 1) * BITS_A_KEY))))
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+    word, place = (lambda c: F.shiftright(slot(c), 15)), (lambda c: slot(c).bitwiseAND(F.lit(32767)))
+    own = own_names(df, "word", "bitmap")
+    only = F.col(f"`{keys.columns[0]}`")
+    bitmap = keys.where(only.isNotNull()).groupBy(word(only).alias(own["word"])).agg(F.bitmap_construct_agg(place(only)).alias(own["bitmap"]))
+    byte = F.conv(F.hex(F.substring(F.col(own["bitmap"]), F.shiftright(place(key), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.pow(F.lit(2), place(key).bitwiseAND(F.lit(7))).cast("int")
+    held = key.isNotNull() & (byte.bitwiseAND(mask) != 0)
+    marked = df.withColumn(own["word"], word(key)).join(F.broadcast(bitmap), own["word"], "left")
+    return marked.withColumn(name, F.coalesce(held, F.lit(False))).drop(*own.values())

@@ -11,7 +11,8 @@ in the top level, goes to its part, is bisected in that part's directory, meets
 in the block's lines. ``read_records`` sorts what was found by place and range-reads the records, one open file at a time.
 
 Scale: the payload is hashed where it lies; the choice of the response is a map-side combined aggregate by digest, so a
-payload that a third of all pages share costs one row a task; the join back is an equi-join Spark may split. No task
+payload that a third of all pages share costs one row a task. Digests that occur twice are written; pages whose digest is
+not among them (by a bitmap of bounded size) are written where they lie, the others go through an equi-join Spark may split. No task
 holds a file: heads are read in pieces, records one by one. The index is range-partitioned by (key, file, offset), so a
 hot URL does not make a hot part: it is looked up once and found in all parts and blocks that hold it.
 
@@ -35,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces
+from .common import checkpointed, may_be_among, pieces, written
 
 CRLF = "\r\n"
 #: Records in one file at most, lines in one index block, index parts at most, bytes read by one task.
@@ -75,9 +76,15 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.coalesce(F.col(html_col), F.lit("")).alias("payload"),
         F.monotonically_increasing_id().alias("row"),
     ).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
-    first = base.groupBy("digest").agg(F.max(F.struct("id", "row", "url")).alias("first"))
-    r = base.join(first, "digest")
-    response = F.col("row") == F.col("first.row")
+    first = base.groupBy("digest").agg(F.max(F.struct("id", "row", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = written(first.where("n > 1").select("digest", "first"), "repeated")
+    n = repeated.count()
+    r = base.withColumn("first", F.lit(None).cast(repeated.schema["first"].dataType))
+    if n:  # only payloads that may occur twice are shuffled
+        marked = may_be_among(base, F.col("digest"), repeated.select("digest"), n, "again")
+        alone = marked.where("NOT again").drop("again").withColumn("first", F.lit(None).cast(repeated.schema["first"].dataType))
+        r = alone.unionByName(marked.where("again").drop("again").join(repeated, "digest", "left"))
+    response = F.col("first").isNull() | (F.col("row") == F.col("first.row"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(CRLF + CRLF))
     block = F.when(response, F.concat(http, F.col("payload"))).otherwise(http)
