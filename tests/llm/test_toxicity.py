@@ -113,3 +113,16 @@ def test_fit_reads_whole_texts():
         model = toxicity.fit(texts, y, toxicity.Config(widths=(1, 2), piece=piece))
         h = toxicity.Hasher(toxicity.Config().buckets, model.kept, model.rare)
         assert model.score(h("v1 vile v2")) > 0.5 > model.score(h("v1 v3 v2"))
+
+
+def test_every_labelled_row_counts(spark):
+    """A word that only labelled rows behind the first 6,000 by hash hold, learned in four parts, as in one."""
+    d = spark.range(6500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("v"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(90))) for k in range(6)]).alias("t"))
+    late = {r.doc_id for r in d.orderBy(F.xxhash64("doc_id"), "doc_id").offset(6000).collect()}
+    bad = F.col("doc_id").isin(sorted(late)[:160])
+    d = d.select("doc_id", F.when(bad, F.concat("t", F.lit(" vile"))).otherwise(F.col("t")).alias("text"), bad.cast("int").alias("toxic")).localCheckpoint()
+    for rows in (1 << 14, 1800):
+        c = toxicity.Config(part_rows=rows, steps=600)
+        model = toxicity.train(d.drop("toxic"), d.select("doc_id", "toxic"), c)
+        h = toxicity.Hasher(c.buckets, model.kept, model.rare)
+        assert model.score(h("v1 vile v2")) > 0.5 > model.score(h("v1 v3 v2"))
