@@ -59,3 +59,20 @@ def test_later_batch_fills_a_stub(spark, graph, tmp_path):
     more = ingest.ingest({"bills": spark.createDataFrame([(6, "Rail", 21, 0, 9)], BILLS)}, str(tmp_path / "third"), current=graph)
     assert sorted(r.title for r in more.nodes["bill"].collect()) == ["Rail", "bill:5"]
     assert more.nodes["person"] is graph.nodes["person"] and more.edges == graph.edges
+
+
+def test_ends_exist_and_nothing_is_joined_for_them(raw, graph, tmp_path, monkeypatch):
+    """Both ends of every edge are rows or stubs; a first ingest needs no look at the entity tables, a later one checks old edges only."""
+    calls = []
+    monkeypatch.setattr(ingest, "with_endpoints", lambda e, *a: calls.append(e) or e)
+    first = ingest.ingest(raw, str(tmp_path / "ends"))
+    assert not calls
+    for name, (_, src, dst, _) in ingest.LINKS.items():
+        if name in first.edges:
+            source, target, _ = ingest.EDGES[name]
+            e = first.edges[name]
+            for c, t in ((src, source), (dst, target)):
+                assert e.join(first.nodes[t], e[c] == first.nodes[t][ingest.ENTITY_KEYS[t]], "left_anti").count() == 0
+            assert rows(e) == rows(graph.edges[name])
+    ingest.ingest({"votes": raw["votes"]}, str(tmp_path / "more"), current=first)
+    assert len(calls) == 1

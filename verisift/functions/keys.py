@@ -18,8 +18,13 @@ def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
 
 def entity_key(kind: str | Column, ext_id: Column) -> Column:
     """uuid5 of ``kind:ext_id``: stubs and full rows of one entity get one key. Null id: null."""
+    return uuid5(key_name(kind, ext_id))
+
+
+def key_name(kind: str | Column, ext_id: Column) -> Column:
+    """What an entity key is made of: far shorter when it is compressed, and equal where keys are."""
     k = F.lit(kind) if isinstance(kind, str) else kind
-    return uuid5(F.concat(k, F.lit(":"), ext_id.cast("string")))
+    return F.concat(k, F.lit(":"), ext_id.cast("string"))
 
 
 def is_uuid(c: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.schemas import EDGE_DOMAINS
 from ..sources.archive import archive
@@ -21,12 +22,26 @@ def fold_batch(batch: DataFrame, keys: list[str], seq: str, best_tier: str | Non
     return batch.groupBy(*keys).agg(*[(F.min(c) if c == best_tier else last(c)).alias(c) for c in rest])
 
 
-def upsert(current: DataFrame, batch: DataFrame, key: str, seq: str, best_tier: str | None = "source_tier", defaults: dict | None = None) -> DataFrame:
+def first_rows(schema: StructType, batch: DataFrame, key: str, seq: str, best_tier: str | None = "source_tier", defaults: dict | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """What ``upsert`` gives over an empty table of this schema, without the join."""
+    new = fold_batch(batch, [key], seq, best_tier)
+    new = finish(new) if finish else new
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in schema.fields}
+    out = new.select(*[F.coalesce(F.col(c), empty[c]).alias(c) if c in new.columns else empty[c].alias(c) for c in schema.names], *[c for c in new.columns if c not in empty])
+    for c, fills in (defaults or {}).items():
+        fill = F.when(F.col(key).isNotNull(), F.coalesce(*[F.col(f) if f in out.columns else F.lit(f) for f in fills]))
+        out = out.withColumn(c, F.coalesce(*([F.col(c)] if c in out.columns else []), fill))
+    return out
+
+
+def upsert(current: DataFrame, batch: DataFrame, key: str, seq: str, best_tier: str | None = "source_tier", defaults: dict | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """New keys are inserted, existing rows take each non-null new value. A tier column keeps its best (lowest) value.
 
     defaults: column -> columns (or a literal) that fill it when it is null in the end, in the rows that the batch touches.
+    finish: applied to the folded batch, such as making keys of their names.
     """
     new = fold_batch(batch, [key], seq, best_tier)
+    new = finish(new) if finish else new
     cols = list(dict.fromkeys([*current.columns, *new.columns]))
     rename = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
     both = rename(current, "o_").join(rename(new, "n_"), F.col(f"o_{key}") == F.col(f"n_{key}"), "full_outer")
@@ -67,12 +82,16 @@ def with_endpoints(edges: DataFrame, src: str, sources: DataFrame, dst: str, tar
     return edges.join(sources.select(src), src, "left_semi").join(targets.select(dst), dst, "left_semi")
 
 
-def merge_edges(current: DataFrame, batch: DataFrame, src: str, dst: str, seq: str, mode: str = "terms") -> DataFrame:
+def merge_edges(current: DataFrame | None, batch: DataFrame, src: str, dst: str, seq: str, mode: str = "terms", finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """mode "latest": one edge a pair, later properties overwrite, a null end keeps the old one.
     mode "terms": one edge for each (source, target, valid_from), so a second term does not overwrite the first.
+    finish: applied to the folded batch. Without a current table the folded batch is the result.
     """
     keys = [src, dst, *(["valid_from"] if mode == "terms" and "valid_from" in batch.columns else [])]
     new = fold_batch(guarded(batch), keys, seq)
+    new = finish(new) if finish else new
+    if current is None:
+        return new
     rest = [c for c in new.columns if c not in keys]
     both = current.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in rest]).join(new, keys, "full_outer")
     return both.select(*keys, *[F.coalesce(c, f"_o_{c}").alias(c) for c in rest])

@@ -2,6 +2,10 @@
 
 Each source is normalised once and written; every table is then one upsert of all records about it, with rows without attributes for
 keys that only facts name, and every edge table one merge. Nothing is done row by row, and a replay gives the same tables.
+
+Records hold the names that keys are made of, which compress to a few bytes; rows are folded by name and get their keys when that is done.
+A batch's edges need no look at the entity tables: both ends are rows or stubs of the same batch. Edges of a table given as ``current`` are
+checked. A table that is new is the folded batch, without a join.
 """
 
 from __future__ import annotations
@@ -11,8 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import key_name, uuid5
 from ..operators import adapters, quality
-from ..operators.upsert import DEFAULTS, merge_edges, stub_rows, upsert, with_endpoints
+from ..operators.upsert import DEFAULTS, first_rows, merge_edges, stub_rows, upsert, with_endpoints
 from .schemas import EDGES, ENTITY_KEYS, TABLES
 
 SEQ = ("seq",)
@@ -44,6 +49,15 @@ LINKS = {
 }
 
 
+#: Columns of records that hold names of keys. Fixed values.
+KEYS = {*ENTITY_KEYS.values(), "list_party_id"}
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Keys in place of their names."""
+    return df.select(*[uuid5(F.col(c)).alias(c) if c in KEYS else F.col(c) for c in df.columns])
+
+
 @dataclass(frozen=True)
 class Graph:
     nodes: dict[str, DataFrame] = field(default_factory=dict)
@@ -55,21 +69,21 @@ class Graph:
 
 
 def records(raw: dict[str, DataFrame], members: DataFrame | None = None, lists: DataFrame | None = None, compose: bool = False) -> dict[str, DataFrame]:
-    """Typed records of the sources that are there. members: the lookup of individual ids; lists: the mapping of election lists."""
+    """Typed records of the sources that are there, with the names of keys for keys. members: the lookup of individual ids; lists: the mapping of election lists."""
     out = {}
     if "people" in raw:
-        out["people"] = adapters.people(raw["people"], compose, SEQ)
+        out["people"] = adapters.people(raw["people"], compose, SEQ, key_name)
     if "positions" in raw:
-        lanes = adapters.positions(raw["positions"], SEQ)
+        lanes = adapters.positions(raw["positions"], SEQ, key_name)
         out |= {"party_terms": lanes["party"], "office_terms": lanes["office"], "position_terms": lanes["term"]}
     if "attendance" in raw:
-        out["sessions"], out["attendances"] = adapters.attendance(raw["attendance"], members, SEQ)
+        out["sessions"], out["attendances"] = adapters.attendance(raw["attendance"], members, SEQ, key_name)
     single = {"committees": adapters.committees, "bills": adapters.bills, "initiators": adapters.bill_initiators, "votes": adapters.votes, "decisions": adapters.government_decisions}
-    out |= {name: f(raw[name], keep=SEQ) for name, f in single.items() if name in raw}
+    out |= {name: f(raw[name], keep=SEQ, key=key_name) for name, f in single.items() if name in raw}
     if "memberships" in raw:
-        out["memberships"] = adapters.committee_memberships(raw["memberships"], members, SEQ)
+        out["memberships"] = adapters.committee_memberships(raw["memberships"], members, SEQ, key_name)
     if "elections" in raw:
-        out["elections"] = adapters.election_results(raw["elections"], lists, SEQ)
+        out["elections"] = adapters.election_results(raw["elections"], lists, SEQ, key_name)
     return out
 
 
@@ -82,7 +96,7 @@ def ingest(raw: dict[str, DataFrame], path: str, current: Graph | None = None, m
     spark = next(iter(raw.values())).sparkSession
 
     def kept(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{path}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{path}/{name}")  # keys are hexadecimal: half their length
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     found = {name: kept(f"records/{name}", df) for name, df in records(raw, members, lists, compose).items()}
@@ -92,13 +106,16 @@ def ingest(raw: dict[str, DataFrame], path: str, current: Graph | None = None, m
         facts = [found[r].select(F.col(c).alias(key)) for r, c in NAMED.get(name, []) if r in found]
         if not about and not facts:
             continue
-        out = nodes.get(name, spark.createDataFrame([], TABLES[name]))
+        out = nodes.get(name)
         for r, columns in about:
-            out = upsert(out, found[r].select(key, "seq", *[F.col(c).alias(n) for n, c in columns.items()]), key, "seq", defaults=DEFAULTS.get(name))
+            batch, how = found[r].select(key, "seq", *[F.col(c).alias(n) for n, c in columns.items()]), {"defaults": DEFAULTS.get(name), "finish": keyed}
+            out = first_rows(TABLES[name], batch, key, "seq", **how) if out is None else upsert(out, batch, key, "seq", **how)
+        out = spark.createDataFrame([], TABLES[name]) if out is None else out
         stubs = None
         for f in facts:
-            stubs = f.distinct() if stubs is None else stubs.unionByName(f.distinct())
+            stubs = f if stubs is None else stubs.unionByName(f)
         if stubs is not None:
+            stubs = keyed(stubs.where(F.col(key).isNotNull()).distinct())
             known_keys = kept(f"attributed/{name}", out)
             out = known_keys.unionByName(stub_rows(stubs, key, known_keys))
         nodes[name] = kept(f"nodes/{name}", out)
@@ -106,7 +123,9 @@ def ingest(raw: dict[str, DataFrame], path: str, current: Graph | None = None, m
         if r in found:
             source, target, _ = EDGES[name]
             batch = found[r].select(src, dst, *properties, "seq").where(F.col(src).isNotNull() & F.col(dst).isNotNull())
-            old = edges.get(name, spark.createDataFrame([], batch.drop("seq").schema))
-            ends = lambda t, c: nodes[t].select(F.col(ENTITY_KEYS[t]).alias(c))
-            edges[name] = kept(f"edges/{name}", with_endpoints(merge_edges(old, batch, src, dst, "seq"), src, ends(source, src), dst, ends(target, dst)))
+            old = edges.get(name)
+            if old is not None:
+                ends = lambda t, c: nodes[t].select(F.col(ENTITY_KEYS[t]).alias(c))
+                old = with_endpoints(old, src, ends(source, src), dst, ends(target, dst))
+            edges[name] = kept(f"edges/{name}", merge_edges(old, batch, src, dst, "seq", finish=keyed))
     return Graph(nodes, edges)
