@@ -44,11 +44,11 @@ from .components import components
 SHINGLE = 5
 SHARE, OF = 80, 100
 #: Shingles in a packed batch, and in a counting bucket, about; texts of one batch that make a shingle a counted one.
-BATCH, BUCKET, COMMON = 1_500_000, 2_000_000, 48
+BATCH, BUCKET, COMMON = 600_000, 1_000_000, 48
 #: Lists up to this length give pairs; blocks of a group hold so many classes.
 SHORT, BLOCK_S, BLOCK_M = 64, 256, 1024
 #: Bytes of text hashed at once (about 60 times as much memory for a moment).
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def floor_share(n: np.ndarray | int):
