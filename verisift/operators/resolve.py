@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import has_hebrew, normalize_hebrew, transliterate_hebrew
-from ..plans.materialise import checkpointed
+from ..plans.materialise import checkpointed, kept
 from ..plans.schemas import SLOT_KINDS
 from .retrieve import top_k
 
@@ -212,7 +212,7 @@ def ladder(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, fuzzy:
         s = step.select(*COLUMNS, F.lit(i).alias("_at"))
         hits = s if hits is None else hits.unionByName(s)
     first = F.min("_at").over(Window.partitionBy("mention_id"))
-    found = checkpointed(hits.withColumn("_first", first).where("_at = _first").select(*COLUMNS))  # two branches read it: the result and what is left
+    found = kept(hits.withColumn("_first", first).where("_at = _first").select(*COLUMNS), "found")  # two branches read it: the result and what is left
     if not fuzzy:
         return found
     left = mentions.join(found.select("mention_id"), "mention_id", "left_anti")
@@ -270,7 +270,7 @@ def by_substring(mentions: DataFrame, names: DataFrame) -> DataFrame:
 
 def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, names: DataFrame | None = None, tiebreaks: DataFrame | None = None, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
     """(one row a mention: status, entity_id; all candidates). names turns the substring fallback on."""
-    mentions = checkpointed(mentions)
+    mentions = kept(mentions, "mentions")
     found = ladder(mentions, entities, aliases, fuzzy)
     out = decide(mentions, found, tiebreaks)
     if names is not None:
@@ -289,27 +289,56 @@ def ambiguous_rows(mentions: DataFrame, resolved: DataFrame, candidates: DataFra
     )
 
 
-def claim_mentions(claims: DataFrame) -> DataFrame:
-    """Slots -> mentions, the script deciding the name field."""
-    slots = list(SLOT_KINDS)
-    rows = claims.select("claim_id", F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(SLOT_KINDS[s]).alias("kind"), F.col(s).alias("value")) for s in slots])).alias("x")).select("claim_id", "x.*").where(F.col("value").isNotNull())
-    he = has_hebrew(F.col("value"))
-    return rows.select(F.concat_ws("#", "claim_id", "slot").alias("mention_id"), "claim_id", "slot", "kind", F.when(he, F.col("value")).alias("hebrew_name"), F.when(~he, F.col("value")).alias("english_name"))
+#: Distinct texts whose results are broadcast to the claims.
+FEW_TEXTS = 500_000
+
+
+def slot_texts(claims: DataFrame, *columns: str) -> DataFrame:
+    """The columns named, and slot, kind and value: a row for each filled slot."""
+    each = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(k).alias("kind"), F.col(s).alias("value")) for s, k in SLOT_KINDS.items()])
+    return claims.select(*columns, F.explode(each).alias("x")).select(*columns, "x.*").where(F.col("value").isNotNull())
+
+
+def text_mentions(claims: DataFrame) -> DataFrame:
+    """The distinct texts of each kind as mentions, the script deciding the name field."""
+    rows, he = slot_texts(claims).select("kind", "value").distinct(), has_hebrew(F.col("value"))
+    return rows.select(text_id(F.col("kind"), F.col("value")).alias("mention_id"), "kind", F.when(he, F.col("value")).alias("hebrew_name"), F.when(~he, F.col("value")).alias("english_name"))
+
+
+def text_id(kind: Column, value: Column) -> Column:
+    return F.concat(kind, F.lit("|"), value)
 
 
 def resolve_claims(claims: DataFrame, entities: DataFrame, aliases: DataFrame, names: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
-    """Adds slot_statuses and resolved_ids (maps). Without entities (None) every present slot is resolved as it is (offline mode)."""
+    """Adds slot_statuses and resolved_ids (maps). Without entities (None) every present slot is resolved as it is (offline mode).
+
+    Equal texts are resolved once. Where they are few (a checked number) their results go to the claims, which stay where they
+    lie; else the claims' keys and texts go to them.
+    """
     if entities is None:  # a claim's own row says it all
         present = F.map_filter(F.create_map(*[x for s in SLOT_KINDS for x in (F.lit(s), F.col(s))]), lambda _, v: v.isNotNull())
         return claims.withColumns({"slot_statuses": F.transform_values(present, lambda _, v: F.lit("resolved")), "resolved_ids": present})
-    m, texts = with_texts(claim_mentions(claims))  # equal texts are resolved once
-    res, _ = resolve(texts, entities, aliases, names, fuzzy=fuzzy)
-    got = m.select("claim_id", "slot", F.col("_text").alias("mention_id")).join(res, "mention_id")
+    res = kept(resolve(text_mentions(claims), entities, aliases, names, fuzzy=fuzzy)[0].select("mention_id", "kind", "status", "entity_id"), "texts")
+    if res.count() <= FEW_TEXTS:
+        return with_broadcast_texts(claims, res)
+    got = slot_texts(claims, "claim_id").select("claim_id", "slot", text_id(F.col("kind"), F.col("value")).alias("mention_id")).join(res, "mention_id")
     per = got.groupBy("claim_id").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", "status"))).alias("slot_statuses"), F.map_from_entries(F.collect_list(F.when(F.col("entity_id").isNotNull(), F.struct("slot", "entity_id")))).alias("resolved_ids")
     )
     empty = F.create_map().cast("map<string,string>")
-    return claims.join(per, "claim_id", "left").withColumns({"slot_statuses": F.coalesce("slot_statuses", empty), "resolved_ids": F.coalesce("resolved_ids", empty)})
+    out = claims.join(per, "claim_id", "left").withColumns({"slot_statuses": F.coalesce("slot_statuses", empty), "resolved_ids": F.coalesce("resolved_ids", empty)})
+    return kept(out, "resolved")  # several branches read it
+
+
+def with_broadcast_texts(claims: DataFrame, res: DataFrame) -> DataFrame:
+    """Each slot looks its text up; slots of kinds without any text are passed over."""
+    kinds = [r.kind for r in res.select("kind").distinct().collect()]
+    slots, out = [s for s, k in SLOT_KINDS.items() if k in kinds], claims
+    for s in slots:
+        own = res.where(F.col("kind") == SLOT_KINDS[s]).select(F.col("mention_id").alias(f"_text_{s}"), F.col("status").alias(f"_status_{s}"), F.col("entity_id").alias(f"_entity_{s}"))
+        out = out.join(F.broadcast(own), text_id(F.lit(SLOT_KINDS[s]), F.col(s)) == F.col(f"_text_{s}"), "left")
+    of = lambda what: F.map_filter(F.create_map(*[x for s in slots for x in (F.lit(s), F.col(f"_{what}_{s}"))]).cast("map<string,string>"), lambda _, v: v.isNotNull())
+    return out.select(*claims.columns, of("status").alias("slot_statuses"), of("entity").alias("resolved_ids"))
 
 
 def relink(candidates: DataFrame, tasks: DataFrame, actions: DataFrame) -> DataFrame:

@@ -179,18 +179,23 @@ REGISTRY: dict[str, Callable[[DataFrame, dict[str, DataFrame]], DataFrame]] = {
 
 
 def retrieve(claims: DataFrame, kb: dict[str, DataFrame], types: list[str] | None = None, registry: dict | None = None) -> DataFrame:
-    """Evidence of all claims. types: the claim types to run (all registered ones by default); an unknown one is an error."""
+    """Evidence of all claims. types: the claim types to run (all registered ones by default, none if the list is empty); an unknown one is an error."""
     registry = registry or REGISTRY
     unknown = [t for t in types or [] if t not in registry]
     if unknown:
         raise ValueError(f"no retrieval for claim types {unknown}")
-    parts = [registry[t](claims, kb) for t in (types or list(registry))]
-    out = parts[0]
+    parts = [registry[t](claims, kb) for t in (list(registry) if types is None else types)]
+    out = parts[0] if parts else nothing(claims)
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def nothing(claims: DataFrame) -> DataFrame:
+    """No evidence, known as empty when a plan is made, so what joins with it moves nothing."""
+    return claims.limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in EVIDENCE.fields])
+
+
 def terms_as_of(terms: DataFrame, dates: DataFrame, key: str = "person_id", on: str = "as_of") -> DataFrame:
     """Terms valid at a date (both ends included, a null end is open), by start, nulls last."""
     hit = dates.join(terms, key).where((F.col("valid_from") <= F.col(on)) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col(on))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,13 @@ def reason(kind: str, why: str | Column | None = None, source: str | None = None
     )
 
 
-def facts_by_claim(ranked: DataFrame) -> DataFrame:
-    """What the comparison needs of a claim's evidence, and the best value of each axis, in one aggregate by claim.
+def best(top: int) -> Column:
+    """Aggregate: the first ``top`` pieces of evidence with their scores, in order."""
+    return F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct(*TOP))), lambda a, b: a["rank"] - b["rank"])
+
+
+def facts_by_claim(ranked: DataFrame, top: int = 0) -> DataFrame:
+    """What the comparison needs of a claim's evidence, the best value of each axis and (if top is given) the top evidence, in one aggregate by claim.
 
     The sets are bounded by the retrieval's limit for a claim.
     """
@@ -37,19 +44,22 @@ def facts_by_claim(ranked: DataFrame) -> DataFrame:
         F.collect_set(F.when(own & (F.col("evidence_type") == "election_result"), F.struct("seats_won", "passed_threshold"))).alias("results"),
         F.collect_set(F.when(own, F.try_element_at("node_ids", F.lit("government_decision_id")))).alias("decision_ids"),
         *[F.max(a).alias(a) for a in AXES],
+        *([best(top).alias("top_evidence")] if top else []),
     )
 
 
-def decide(claims: DataFrame, ranked: DataFrame) -> DataFrame:
+def decide(claims: DataFrame, ranked: DataFrame, top: int = 0, carry: Sequence[str] = ()) -> DataFrame:
     """claims: claim_id, claim_type, checkability, expected_vote_value, expected_seats, expect_passed_threshold, government_decision_id.
 
-    -> one row a claim: status, confidence struct, needs_human_review, reasons, and the evidence counts.
+    -> one row a claim: status, confidence struct, needs_human_review, reasons, the evidence counts, the claim's columns named in
+    carry, and top_evidence if top is given.
     """
     c = claims.select(
         "claim_id", "claim_type", "checkability", "expected_vote_value", F.col("expected_seats").cast("int").alias("expected_seats"), F.col("expect_passed_threshold").cast("boolean").alias("expect_passed_threshold"),
-        F.col("government_decision_id").alias("expected_decision_id"),
+        F.col("government_decision_id").alias("expected_decision_id"), *carry,
     )
-    j = c.join(facts_by_claim(ranked), "claim_id", "left").withColumn("overall", overall())
+    facts = facts_by_claim(ranked, top)
+    j = c.join(facts, "claim_id", "left").withColumn("overall", overall())
     seats = lambda r: F.col("expected_seats").isNull() | F.coalesce(r.seats_won == F.col("expected_seats"), F.lit(False))
     passed = lambda r: F.col("expect_passed_threshold").isNull() | F.coalesce(r.passed_threshold == F.col("expect_passed_threshold"), F.lit(False))
     j = j.withColumn("n_election_match", F.size(F.filter("results", lambda r: seats(r) & passed(r))))
@@ -116,7 +126,8 @@ def decide(claims: DataFrame, ranked: DataFrame) -> DataFrame:
     )
     vector = F.struct(F.col("source_tier_score").alias("source_authority"), *[F.col(a) for a in AXES[1:]], F.col("overall"))
     counts = [n(x).alias(x) for x in ("n_evidence", "n_facts", "n_text", "n_tier1_any")]
-    return out.select("claim_id", "claim_type", "checkability", "status", vector.alias("confidence"), review.alias("needs_human_review"), "reasons", *counts)
+    evidence = [F.coalesce("top_evidence", F.array().cast(facts.schema["top_evidence"].dataType)).alias("top_evidence")] if top else []
+    return out.select("claim_id", "claim_type", "checkability", "status", vector.alias("confidence"), review.alias("needs_human_review"), "reasons", *counts, *carry, *evidence)
 
 
 TOP = ["rank", "kind", "evidence_type", "node_ids", "span_id", "document_id", "source_tier", *AXES, "overall"]
@@ -124,9 +135,17 @@ TOP = ["rank", "kind", "evidence_type", "node_ids", "span_id", "document_id", "s
 
 def bundle(verdicts: DataFrame, ranked: DataFrame, notes: DataFrame | None = None, top: int = 5) -> DataFrame:
     """Verdict and its top evidence with scores, in order; notes (claim_id, note) reach only rows for review and change nothing else."""
-    best = ranked.where(F.col("rank") <= top).groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct(*TOP)), lambda a, b: a["rank"] - b["rank"]).alias("top_evidence"))
-    empty = F.array().cast(best.schema["top_evidence"].dataType)
-    out = verdicts.join(best, "claim_id", "left").withColumn("top_evidence", F.coalesce("top_evidence", empty))
+    per = ranked.where(F.col("rank") <= top).groupBy("claim_id").agg(best(top).alias("top_evidence"))
+    empty = F.array().cast(per.schema["top_evidence"].dataType)
+    return with_notes(verdicts.join(per, "claim_id", "left").withColumn("top_evidence", F.coalesce("top_evidence", empty)), notes)
+
+
+def bundles(claims: DataFrame, ranked: DataFrame, notes: DataFrame | None = None, top: int = 5, carry: Sequence[str] = ()) -> DataFrame:
+    """What ``bundle`` makes of ``decide``, in one aggregate: the evidence is computed once and moved once."""
+    return with_notes(decide(claims, ranked, top, carry), notes)
+
+
+def with_notes(out: DataFrame, notes: DataFrame | None) -> DataFrame:
     if notes is None:
         return out.withColumn("note", F.lit(None).cast("string"))
     return out.join(notes.select("claim_id", F.col("note").alias("_n")), "claim_id", "left").withColumn("note", F.when(F.col("needs_human_review"), F.col("_n"))).drop("_n")

@@ -9,6 +9,8 @@ from .materialise import dealt, spread
 
 #: Sentences a task of the rule matching: a second or so of work each.
 SENTENCES_EACH = 50_000
+#: Bills up to this number are broadcast to the lines or come near it; more are joined by a shuffle.
+FEW_BILLS = 1_000_000
 
 
 class Tables:
@@ -102,16 +104,21 @@ class Tables:
         )
 
     # text ------------------------------------------------------------
-    def sentences(self) -> DataFrame:
-        """One English sentence a line, its digits written as letters."""
+    def sentences(self, each: int | None = None) -> DataFrame:
+        """One English sentence a line, its digits written as letters.
+
+        The lines are dealt as numbers, before they meet the names. Where bills are many, by bill, so that the join with them asks
+        for no second exchange of the lines.
+        """
         name, bill = letters(F.col("s_name")), letters(F.col("p_name"))
         verb = pick(F.col("l_orderkey") % 4, "voted for the", "voted against the", "sponsored the", "abstained from the")
         when_ = pick(F.col("l_partkey") % 3, "", " in the 18th Knesset", " in last term")
         year = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit(" in "), F.year("l_shipdate").cast("string"))).otherwise(when_)
-        lines = self.spark.read.parquet(f"{self.dir}/lineitem.parquet")
+        own = ["l_orderkey", "l_suppkey", "l_partkey", "l_linenumber"]
+        lines = self.spark.read.parquet(f"{self.dir}/lineitem.parquet").select(*own, "l_shipdate")
+        lines = dealt(lines, lines.count(), each or SENTENCES_EACH, *(own if self.part.count() <= FEW_BILLS else ["l_partkey"]))  # the counts are in the files' footers
         j = lines.join(self.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey").join(self.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-        out = j.select(vote_id().alias("statement_id"), F.concat(name, F.lit(" "), verb, F.lit(" "), bill, F.lit(" bill"), year, F.lit(".")).alias("text"), F.lit("en").alias("language"), F.col("l_shipdate").alias("uttered_at"))
-        return dealt(out, lines.count(), SENTENCES_EACH, "statement_id")  # the count is in the files' footers
+        return j.select(vote_id().alias("statement_id"), F.concat(name, F.lit(" "), verb, F.lit(" "), bill, F.lit(" bill"), year, F.lit(".")).alias("text"), F.lit("en").alias("language"), F.col("l_shipdate").alias("uttered_at"))
 
 
 def s(c: str) -> Column:

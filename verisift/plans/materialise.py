@@ -53,7 +53,7 @@ def dealt(df: DataFrame, rows: int, each: int, *keys: str) -> DataFrame:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """A table that several branches read, written once as Parquet: they read only the columns they need."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
