@@ -60,3 +60,17 @@ def test_closed_claims_stay(spark):
 def test_written_claims_are_lean(spark):
     claims = verify.for_check(extract.extract(statements(spark), day())[0], kb(spark))
     assert claims.count() == 6 and not {"raw_text", "normalized_text"} & set(claims.columns)
+
+
+def test_declarations_are_shuffled_once(spark):
+    """Claims meet their declaration in one aggregate; besides it only the declarations are shuffled."""
+    said = lambda *ids: statements(spark, *ids).withColumnRenamed("statement_id", "declaration_id").withColumn("uttered_at", F.lit(None).cast("timestamp"))
+    out, edges, tasks = verify.verify_declarations(said(), kb(spark), day())
+    assert {r.declaration_id: (r.claim_family, r.checkability, r.overall_relation, len(r.derived_atomic_claim_ids)) for r in out.collect()} == {
+        "s1": ("formal_action", "checkable_formal_action", "supported_by", 1), "s2": ("formal_action", "checkable_formal_action", "contradicted_by", 1), "s3": ("formal_action", "checkable_formal_action", "supported_by", 1),
+        "s4": ("formal_action", "insufficient_entity_resolution", "entity_ambiguous", 1), "s5": ("formal_action", "insufficient_time_scope", "time_scope_mismatch", 1), "s6": ("formal_action", "checkable_formal_action", "not_checkable_against_record", 1),
+        "s7": ("unknown", "not_checkable", "not_checkable_against_record", 0),
+    }
+    assert {r.from_declaration_id for r in edges.collect()} == {f"s{i}" for i in range(1, 7)} and tasks.count() == 3
+    closed, _, _ = verify.verify_declarations(said("s4", "s5", "s7"), kb(spark), day())
+    assert exchanges(closed) == 2 and closed.count() == 3

@@ -77,22 +77,34 @@ def span_ids(top: Column) -> Column:
 
 def edges(bundles: DataFrame, owners: DataFrame) -> DataFrame:
     """owners: claim_id -> declaration_id. One attribution edge a claim."""
-    b = bundles.join(owners.select("claim_id", "declaration_id"), "claim_id")
+    return bundles.join(owners.select("claim_id", "declaration_id"), "claim_id").select(*edge_columns())
+
+
+def edge_columns() -> list[Column]:
+    """The edge of each bundle that has its declaration_id."""
     hits = F.size(F.filter("top_evidence", lambda e: e.kind == "text"))
-    return b.select(
+    return [
         entity_key("attribution", F.concat_ws(":", "declaration_id", "claim_id")).alias("attribution_id"), F.col("declaration_id").alias("from_declaration_id"), "claim_id",
         target_id(F.col("claim_type"), F.col("top_evidence"), F.col("claim_id")).alias("to_object_id"), target_type(F.col("claim_type")).alias("to_object_type"),
         relation(F.col("status"), F.col("checkability"), F.col("reasons"), hits).alias("relation_type"), span_ids(F.col("top_evidence")).alias("evidence_span_ids"), band(F.col("confidence.overall")).alias("confidence_band"),
         F.when(F.col("needs_human_review"), "needs_human_review").otherwise("pending").alias("review_status"),
-    )
+    ]
+
+
+def judged() -> list[Column]:
+    """Aggregates over a declaration's edges."""
+    return [worst(F.col("relation_type")).alias("overall_relation"), F.array_sort(F.collect_list(F.struct("claim_id", "attribution_id", "relation_type", "to_object_type", "to_object_id", "confidence_band"))).alias("edges")]
 
 
 def judge(declarations: DataFrame, attribution: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(declarations with overall_relation, review tasks with their payload)."""
-    per = attribution.groupBy(F.col("from_declaration_id").alias("declaration_id")).agg(
-        worst(F.col("relation_type")).alias("overall_relation"), F.array_sort(F.collect_list(F.struct("claim_id", "attribution_id", "relation_type", "to_object_type", "to_object_id", "confidence_band"))).alias("edges")
-    )
-    out = declarations.join(per, "declaration_id", "left").withColumn("overall_relation", F.coalesce("overall_relation", F.lit("not_checkable_against_record")))
+    per = attribution.groupBy(F.col("from_declaration_id").alias("declaration_id")).agg(*judged())
+    return judgements(declarations.join(per, "declaration_id", "left"))
+
+
+def judgements(declarations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of declarations that have what ``judged`` gives, or nulls."""
+    out = declarations.withColumn("overall_relation", F.coalesce("overall_relation", F.lit("not_checkable_against_record")))
     payload = F.to_json(F.struct("declaration_id", "overall_relation", F.col("edges").alias("attribution_edges"), "derived_atomic_claim_ids", F.substring("text", 1, 500).alias("utterance_text")))
     tasks = out.where(F.col("overall_relation").isin(TO_REVIEW)).select(
         entity_key("review_task:declaration", F.col("declaration_id")).alias("task_id"), F.lit("declaration").alias("kind"), F.lit("open").alias("status"), F.lit(1).alias("priority"), payload.alias("payload")

@@ -258,9 +258,17 @@ def declaration_checkability() -> Column:
 
 def declarations(utterances: DataFrame, claims: DataFrame) -> DataFrame:
     """utterances: declaration_id (= statement_id), text, language, uttered_at (optional, null), ...; one row each, even without a claim."""
-    per = claims.groupBy(F.col("statement_id").alias("declaration_id")).agg(
-        family().alias("claim_family"), declaration_checkability().alias("checkability"), F.transform(F.array_sort(F.collect_list(F.struct("position", "claim_id"))), lambda x: x.claim_id).alias("derived_atomic_claim_ids")
-    )
+    return with_declared(utterances, claims.groupBy(F.col("statement_id").alias("declaration_id")).agg(*declared()))
+
+
+def declared() -> list[Column]:
+    """Aggregates over a declaration's claims."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("position", "claim_id"))), lambda x: x.claim_id)
+    return [family().alias("claim_family"), declaration_checkability().alias("checkability"), ids.alias("derived_atomic_claim_ids")]
+
+
+def with_declared(utterances: DataFrame, per: DataFrame) -> DataFrame:
+    """per: declaration_id and what ``declared`` gives; it may have more columns."""
     u = utterances.withColumn("utterance_time", F.coalesce(F.col("uttered_at").cast("timestamp"), utterance_time(F.col("text"))))
     out = u.join(per, "declaration_id", "left")
     return out.withColumns({"claim_family": F.coalesce("claim_family", F.lit("unknown")), "checkability": F.coalesce("checkability", F.lit("not_checkable")), "derived_atomic_claim_ids": F.coalesce("derived_atomic_claim_ids", F.array().cast("array<string>"))})
