@@ -5,8 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from verisift import queries_records
 from verisift.operators import extract, resolve
 from verisift.plans import verify
+from verisift.streaming import jobs
 
 SAID = [
     ("s1", "Ann Lee voted for the clean air bill in 2020."), ("s2", "Ann Lee voted against the clean air bill in 2020."), ("s3", "Ann Lee sponsored the clean air bill."), ("s4", "Bob Ray voted for the clean air bill in 2020."),
@@ -74,3 +76,16 @@ def test_declarations_are_shuffled_once(spark):
     assert {r.from_declaration_id for r in edges.collect()} == {f"s{i}" for i in range(1, 7)} and tasks.count() == 3
     closed, _, _ = verify.verify_declarations(said("s4", "s5", "s7"), kb(spark), day())
     assert exchanges(closed) == 2 and closed.count() == 3
+
+
+def test_dealt_rows_are_landed_where_they_lie(spark, tmp_path):
+    """A file for each task's rows, without another exchange, in as many batches as asked for."""
+    rows = spark.range(600).select(F.col("id").cast("string").alias("statement_id")).repartition(6)
+    seen = []
+
+    def check(batch):
+        seen.append((batch.select(F.input_file_name()).distinct().count(), batch.count()))
+        return batch
+
+    jobs.check_stream(queries_records.stream_of_dealt(rows, "in", 2), check, f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
+    assert [n for n, _ in seen] == [3, 3] and sum(n for _, n in seen) == 600 and jobs.appended(spark, f"{tmp_path}/out").distinct().count() == 600

@@ -12,7 +12,7 @@ from .plans import demo, ingest, verify
 from .plans.materialise import shared_folder
 from .plans.schemas import SLOTS
 from .queries import CHECKED, query, sentence_kb
-from .queries_records import LADDER, ladder_tables, stream_of
+from .queries_records import LADDER, ROWS_A_FILE, ladder_tables, stream_of_dealt
 from .sources import readers
 from .streaming import jobs
 
@@ -212,7 +212,7 @@ def stream_statement_check(t: demo.Tables) -> DataFrame:
     """Sentences as a stream, each micro-batch checked against the same tables: all batches together are the check of the whole."""
     kb, out = sentence_kb(t), shared_folder(t.spark, "checked")
     check = lambda batch: verify.verify(batch, kb, F.to_date(F.lit("2024-06-01")))
-    jobs.check_stream(stream_of(t.sentences().select("statement_id", "text", "language"), "in", t.lineitem.count(), 2), check, out, shared_folder(t.spark, "mark")).awaitTermination()
+    jobs.check_stream(stream_of_dealt(t.sentences(ROWS_A_FILE).select("statement_id", "text", "language"), "in", 2), check, out, shared_folder(t.spark, "mark")).awaitTermination()
     return jobs.appended(t.spark, out).select("statement_id", "claim_type", "checkability", "status", F.col("confidence.overall").alias("overall"))
 
 

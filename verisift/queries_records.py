@@ -383,6 +383,14 @@ def stream_of(rows: DataFrame, name: str, n: int, files: int = 4) -> DataFrame:
     return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
+def stream_of_dealt(rows: DataFrame, name: str, files: int) -> DataFrame:
+    """Rows that are dealt to tasks already: each task's are landed as a file where they lie, for ``files`` batches."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    landed = len(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-landed // files))).parquet(path)
+
+
 @query("SELECT DISTINCT text FROM documents WHERE text IS NOT NULL")
 def stream_dedup_ingest(t: demo.Tables) -> DataFrame:
     """Documents as a stream: each content is kept once, over all micro-batches."""
