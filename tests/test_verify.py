@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verisift import queries_records
-from verisift.operators import extract, resolve
+from verisift.operators import extract, rank, resolve, retrieve, verdict
 from verisift.plans import verify
 from verisift.streaming import jobs
 
@@ -89,3 +89,29 @@ def test_dealt_rows_are_landed_where_they_lie(spark, tmp_path):
 
     jobs.check_stream(queries_records.stream_of_dealt(rows, "in", 2), check, f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
     assert [n for n, _ in seen] == [3, 3] and sum(n for _, n in seen) == 600 and jobs.appended(spark, f"{tmp_path}/out").distinct().count() == 600
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 15])
+def test_facts_near_the_asked_ones(spark, monkeypatch, bits):
+    """Whatever its size, the filter keeps all that is asked for; with room enough it drops nearly all else."""
+    monkeypatch.setattr(retrieve, "FILTER_BITS", bits)
+    pair = [(F.col("id") % 97).cast("string").alias("person_id"), F.col("id").cast("string").alias("bill_id")]
+    facts, claims = spark.range(20_000).select(*pair), spark.range(0, 20_000, 10).select(*pair)
+    near = retrieve.near_asked(facts, claims, "person_id", "bill_id")
+    assert near.join(claims, ["person_id", "bill_id"], "left_semi").count() == 2_000 and 2_000 <= near.count() < 3_500
+
+
+def test_evidence_is_computed_once(spark):
+    """Verdict and top evidence of a claim come from one aggregate, equal to both apart."""
+    facts = [*kb(spark).facts.items()]
+    claims = spark.createDataFrame(
+        [("c1", "vote_cast", "checkable", "for", "p1", "b1"), ("c2", "vote_cast", "checkable", "for", "p2", "b1"), ("c3", "vote_cast", "checkable", "for", "p1", "b2"), ("c4", "vote_cast", "insufficient_time_scope", "for", "p1", "b1")],
+        "claim_id string, claim_type string, checkability string, expected_vote_value string, speaker_person_id string, bill_id string",
+    )
+    nulls = {"time_start": "timestamp", "time_end": "timestamp", "expected_seats": "int", "expect_passed_threshold": "boolean", "government_decision_id": "string"}
+    claims = claims.withColumns({k: F.lit(None).cast(v) for k, v in nulls.items()}).withColumn("resolved_ids", F.create_map(F.lit("bill_id"), F.col("bill_id")))
+    ranked = rank.score(retrieve.vote_cast(claims, dict(facts)), claims)
+    apart, once = verdict.bundle(verdict.decide(claims, ranked), ranked), verdict.bundles(claims, ranked)
+    shown = lambda df: sorted((r.claim_id, r.status, len(r.top_evidence), [e.node_ids["vote_event_id"] for e in r.top_evidence]) for r in df.collect())
+    assert shown(once) == shown(apart) == [("c1", "supported", 1, ["e1"]), ("c2", "contradicted", 1, ["e1"]), ("c3", "insufficient_evidence", 0, []), ("c4", "non_checkable", 1, ["e1"])]
+    assert exchanges(once) < exchanges(apart)

@@ -79,11 +79,30 @@ def asked_for(facts: DataFrame, claims: DataFrame, fact_key: str, claim_key: str
     return facts.join(F.broadcast(keys), fact_key, "left_semi") if few else facts
 
 
+#: Bits of the filter on asked keys at most (16 MB), and so many for each claim below that.
+FILTER_BITS, BITS_A_CLAIM = 1 << 27, 16
+
+
+def near_asked(facts: DataFrame, claims: DataFrame, *keys: str) -> DataFrame:
+    """All facts that a claim asks for by these keys together, and few others, so that the rest is not shuffled to the claims.
+
+    A bitmap over hashes, made by Spark in words of 4 KB and broadcast; its size is bounded, so more claims make it less sharp but
+    never wrong. The exact join follows it.
+    """
+    bits = min(FILTER_BITS, 1 << max(15, (claims.count() * BITS_A_CLAIM).bit_length()))
+    slot = F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1))
+    word, place = F.shiftright(slot, 15), slot.bitwiseAND(F.lit(32767))
+    bitmap = claims.groupBy(word.alias("_word")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return facts.withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("_word", "_bits")
+
+
 def vote_cast(claims: DataFrame, kb: dict[str, DataFrame], k: int = 10) -> DataFrame:
     """kb: cast_vote (person_id, vote_event_id, value), vote_event (with bill_id), bill, vote_documents (optional)."""
     c = of_type(claims, "vote_cast", "speaker_person_id", "bill_id")
     cast, events = asked_for(kb["cast_vote"], c, "person_id", "speaker_person_id"), asked_for(kb["vote_event"], c, "bill_id", "bill_id")
     votes = cast.withColumnRenamed("person_id", "speaker_person_id").join(events.select("vote_event_id", "bill_id", "occurred_at"), "vote_event_id")
+    votes = near_asked(votes, c, "speaker_person_id", "bill_id")
     votes = with_documents(votes, kb.get("vote_documents"), "vote_event_id")  # where votes and events already lie by event
     asked = c.select("claim_id", "speaker_person_id", "bill_id", "time_start", "time_end").join(kb["bill"].select("bill_id", "title"), "bill_id")
     f = asked.join(votes, ["speaker_person_id", "bill_id"]).where(inside(F.col("occurred_at")))

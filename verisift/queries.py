@@ -110,7 +110,7 @@ def verdict_trace(t: demo.Tables) -> DataFrame:
 @query(f"WITH {VOTES}, o AS (SELECT k, ev, row_number() OVER (PARTITION BY k ORDER BY overall DESC, list_aggregate(list_sort([p::VARCHAR, b::VARCHAR, ev]), 'string_agg', ':'), tm DESC) AS r FROM sc) SELECT ver.k::VARCHAR AS claim_id, status, coalesce(string_agg(ev, ',' ORDER BY r), '') AS top FROM ver LEFT JOIN o ON o.k = ver.k AND r <= 5 GROUP BY ALL")
 def provenance_top5(t: demo.Tables) -> DataFrame:
     claims, ranked = ranked_votes(t)
-    b = verdict.bundle(verdict.decide(claims, ranked), ranked)
+    b = verdict.bundles(claims, ranked)
     return b.select("claim_id", "status", F.array_join(F.transform("top_evidence", lambda e: F.element_at(e.node_ids, "vote_event_id")), ",").alias("top"))
 
 
