@@ -1,6 +1,7 @@
 """The whole check on a small knowledge base: checkable claims meet their facts, all others stay where they lie."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,21 @@ def test_evidence_is_computed_once(spark):
     shown = lambda df: sorted((r.claim_id, r.status, len(r.top_evidence), [e.node_ids["vote_event_id"] for e in r.top_evidence]) for r in df.collect())
     assert shown(once) == shown(apart) == [("c1", "supported", 1, ["e1"]), ("c2", "contradicted", 1, ["e1"]), ("c3", "insufficient_evidence", 0, []), ("c4", "non_checkable", 1, ["e1"])]
     assert exchanges(once) < exchanges(apart)
+
+
+def test_best_names_only(monkeypatch):
+    """Of names that are all alike a task hands on the best only, equal ones in order, whatever the block of texts."""
+    rng = random.Random(4)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    cn, he = [f"supplier#{i:06d}" for i in range(300)] + [word("abc", 9) for _ in range(40)], [""] * 300 + [word("אבג", 9) for _ in range(40)]
+    asked = [(i, word("אבגד", 7), word("abcd", 9)) for i in range(40)] + [(40, "", "supxlier#000123"), (41, "", "a" * 70), (42, "", "")]
+    want = []
+    for ident, h, e in asked:
+        ratio = lambda a, b: resolve.ratio(a, b) if a and b else 0.0
+        score = [int(max(ratio(h, nh), ratio(e, nc), int(resolve.partial_ratio(h, nh) * resolve.PARTIAL if h and nh else 0))) for nh, nc in zip(he, cn)]
+        want += [(ident, i, score[i]) for i in sorted(range(len(cn)), key=lambda i: (-score[i], i))[:5] if score[i] >= resolve.FLOOR]
+    names = [resolve.Names(x) for x in (he, cn)]
+    for pairs in (1 << 15, 1):
+        monkeypatch.setattr(resolve, "PAIRS_AT_ONCE", pairs)
+        assert [hit[:3] for hit in resolve.best_names(asked, names[0], names[1], names[1], resolve.FLOOR, 5)] == want
+    assert sum(ident == 40 for ident, *_ in want) == 5

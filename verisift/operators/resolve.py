@@ -111,47 +111,80 @@ class Names:
     def __init__(self, names: list[str]):
         self.names, self.length = names, np.array([len(n) for n in names], np.int64)
         self.number = {c: i + 1 for i, c in enumerate(sorted(set("".join(names))))}
-        self.letters = np.zeros((int(self.length.max(initial=0)), len(names)), np.int32)
+        self.letters = np.zeros((int(self.length.max(initial=0)), len(names)), np.intp)
         for j, n in enumerate(names):
             self.letters[: len(n), j] = [self.number[c] for c in n]
 
-    def common(self, text: str) -> np.ndarray:
-        """Length of the longest common subsequence with every name: bit rows, all names at once."""
-        if len(text) > WORD_BITS:
-            return np.array([lcs_length(text, n) for n in self.names], np.int64)
-        masks = np.zeros(len(self.number) + 1, np.uint64)
-        for i, c in enumerate(text):
-            if c in self.number:
-                masks[self.number[c]] |= np.uint64(1 << i)
-        full = np.uint64((1 << len(text)) - 1)
-        row = np.full(len(self.names), full, np.uint64)
+    def common(self, texts: list[str]) -> np.ndarray:
+        """Length of the longest common subsequence of each text with every name: bit rows, all texts and names at once."""
+        out, short = np.zeros((len(texts), len(self.names)), np.int64), [i for i, t in enumerate(texts) if 0 < len(t) <= WORD_BITS]
+        for i, t in enumerate(texts):
+            if len(t) > WORD_BITS:
+                out[i] = [lcs_length(t, n) for n in self.names]
+        if not short or not len(self.letters):
+            return out
+        masks, length = np.zeros((len(short), len(self.number) + 1), np.uint64), np.array([len(texts[i]) for i in short], np.int64)[:, None]
+        for j, i in enumerate(short):
+            own: dict[int, int] = {}
+            for k, c in enumerate(texts[i]):
+                own[self.number.get(c, 0)] = own.get(self.number.get(c, 0), 0) | 1 << k
+            own.pop(0, None)  # letters that no name has
+            masks[j, list(own)] = np.array(list(own.values()), np.uint64)
+        full = np.array([(1 << len(texts[i])) - 1 for i in short], np.uint64)[:, None]
+        row = np.repeat(full, len(self.names), axis=1)
+        u, carried = np.empty_like(row), np.empty_like(row)
         with np.errstate(over="ignore"):
-            for letters in self.letters:
-                u = row & masks[letters]
-                row = ((row + u) | (row - u)) & full
-        return len(text) - np.bitwise_count(row).astype(np.int64)
+            for letters in self.letters:  # bits above a text's never reach the others, so they are cut off once at the end
+                np.take(masks, letters, axis=1, out=u, mode="clip")
+                np.bitwise_and(u, row, out=u)
+                np.add(row, u, out=carried)
+                np.subtract(row, u, out=row)
+                np.bitwise_or(row, carried, out=row)
+        out[short] = length - np.bitwise_count(row & full)
+        return out
 
-    def ratios(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ratio with every name, common letters); nothing is like an empty text."""
-        common = self.common(text) if text else np.zeros(len(self.names), np.int64)
-        return np.where((self.length > 0) & (len(text) > 0), 100.0 * 2 * common / np.maximum(1, self.length + len(text)), 0.0), common
+    def ratios(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ratio of each text with every name, common letters); nothing is like an empty text."""
+        common, length = self.common(texts), np.array([len(t) for t in texts], np.int64)[:, None]
+        return np.where((self.length > 0) & (length > 0), 100.0 * 2 * common / np.maximum(1, self.length + length), 0.0), common
 
 
-def fuzzy_scores(he: str, en: str, nhe: Names, ncn: Names, nen: Names, floor: int) -> list[tuple[int, int, str]]:
-    """(number of the name, score, reason) of all names at the floor or above."""
-    (sh, common), (sc, _) = nhe.ratios(he), ncn.ratios(en)
-    se = sc if nen is ncn else nen.ratios(en)[0]
+#: Pairs of text and name compared by one array operation.
+PAIRS_AT_ONCE = 1 << 15
+
+
+def best_names(asked: list[tuple], nhe: Names, ncn: Names, nen: Names, floor: int, top: int) -> Iterator[tuple]:
+    """asked: (id, he, en). -> (id, number of the name, score, reason) of each text's best names, a block of texts at a time."""
+    each = max(1, PAIRS_AT_ONCE // max(1, len(ncn.names)))
+    for at in range(0, len(asked), each):
+        ids, he, en = (list(x) for x in zip(*asked[at : at + each]))
+        (sh, common), (sc, _) = nhe.ratios(he), ncn.ratios(en)
+        se = sc if nen is ncn else nen.ratios(en)[0]
+        for j, ident in enumerate(ids):
+            for hit in fuzzy_scores(he[j], nhe, sh[j], common[j], sc[j], se[j], floor, top):
+                yield (ident, *hit)
+
+
+def fuzzy_scores(he: str, nhe: Names, sh: np.ndarray, common: np.ndarray, sc: np.ndarray, se: np.ndarray, floor: int, top: int) -> list[tuple[int, int, str]]:
+    """(number of the name, score, reason) of a text's ``top`` best names at the floor or above, of equal ones the first.
+
+    Only names whose best possible score reaches the best ones' are looked at one by one.
+    """
     exact = np.maximum(sh, np.maximum(sc, se))
     # a window has at most the common letters of the whole, and is at its best when it has no others
     short = np.minimum(nhe.length, len(he))
     bound = np.where((common > 0) & (short > 0), 100.0 * 2 * common / np.maximum(1, short + common), 0.0) * PARTIAL
+    score, most = exact.astype(np.int64), np.maximum(exact, bound).astype(np.int64)
+    least = max(floor, int(np.partition(score, -top)[-top])) if len(score) > top else floor
+    at = np.flatnonzero(most >= least)
+    part = {i: partial_ratio(he, nhe.names[i]) * PARTIAL for i in at[bound[at] > exact[at]]}
+    for i, p in part.items():
+        score[i] = int(max(exact[i], int(p)))
+    at = at[score[at] >= floor]
     out = []
-    for i in np.flatnonzero((exact >= floor) | (bound >= floor)):
-        part = partial_ratio(he, nhe.names[i]) * PARTIAL if bound[i] >= floor and bound[i] > exact[i] else 0.0
-        score = int(max(exact[i], int(part)))
-        if score >= floor:
-            reason = "fuzzy_en" if se[i] >= sh[i] and se[i] >= sc[i] else "fuzzy_cn" if sc[i] > sh[i] else "fuzzy_he"
-            out.append((int(i), score, "fuzzy_partial_he" if part > exact[i] else reason))
+    for i in at[np.argsort(-score[at], kind="stable")[:top]]:
+        reason = "fuzzy_en" if se[i] >= sh[i] and se[i] >= sc[i] else "fuzzy_cn" if sc[i] > sh[i] else "fuzzy_he"
+        out.append((int(i), int(score[i]), "fuzzy_partial_he" if part.get(i, 0.0) > exact[i] else reason))
     return out
 
 
@@ -159,7 +192,7 @@ def by_similarity(mentions: DataFrame, entities: DataFrame, floor: int = FLOOR,
     """Every mention against every entity of its kind, at the floor or above, best five.
 
     The mentions are a stated query set: blocks of about ``block`` are shipped to the tasks, which read the entities where they lie
-    and compare a batch of names with one text at a time. Equal texts and equal names are compared once. A ratio of 60 leaves no common part that a join could use
+    and compare a batch of names with one text at a time, of which they keep the best. Equal texts and equal names are compared once. A ratio of 60 leaves no common part that a join could use
     (``abc`` and ``axbxc`` reach 75 without a common 2-gram), so no pair is left out.
     """
     m = mentions.select("mention_id", "kind", F.when(F.length("hebrew_name") > 0, normalize_hebrew(F.col("hebrew_name"))).otherwise("").alias("he"), F.lower(F.trim(F.coalesce("english_name", F.lit("")))).alias("en"))
@@ -180,12 +213,13 @@ def by_similarity(mentions: DataFrame, entities: DataFrame, floor: int = FLOOR,
 
         def compare(frames: Iterator[pd.DataFrame], shipped: Broadcast = shipped) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for kind, rows in frame.groupby("kind"):
-                    ids, names, out = list(rows["ids"]), [Names(list(rows[c].fillna(""))) for c in ("nhe", "ncn", "nen")], []
+                frame = frame[frame["ids"].map(len) > 0]
+                frame = frame.iloc[np.argsort(frame["ids"].map(lambda x: x[0]).to_numpy(), kind="stable")]  # equal scores go by id
+                for kind, rows in frame[frame["kind"].isin(shipped.value)].groupby("kind"):
+                    ids, names = list(rows["ids"]), [Names(list(rows[c].fillna(""))) for c in ("nhe", "ncn", "nen")]
                     if names[1].names == names[2].names:
                         names[2] = names[1]
-                    for ident, he, en in shipped.value.get(kind, []):
-                        out += [(ident, ids[i], reason, score) for i, score, reason in fuzzy_scores(he, en, *names, floor)]
+                    out = [(ident, ids[i], reason, score) for ident, i, score, reason in best_names(shipped.value[kind], *names, floor, top)]
                     if out:
                         yield pd.DataFrame({f.name: pd.Series([r[i] for r in out], dtype=object) for i, f in enumerate(schema.fields)})
 
